@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.joins import lookup_join
-from statloom.session import bounded_rows, cut_lineage, quoted
+from statloom.session import bounded_rows, cut_lineage, quoted, small_frame
 
 # Fixed value: column names of one-hot features start with this.
 ONE_HOT_PREFIX = "linreg_ohe_"
@@ -100,7 +100,7 @@ def number_rows(df: DataFrame, order: list[str], out: str, partitions: int | Non
     counts = dict(pinned.groupBy(part.alias("p")).count().collect())
     parts = sorted(counts)
     starts = [0, *accumulate(counts[p] for p in parts)]
-    offsets = spark.createDataFrame([(p, s) for p, s in zip(parts, starts)], "_part int, _start long")
+    offsets = small_frame(spark, list(zip(parts, starts)), "_part int, _start long")
     local = F.col("_place").bitwiseAND(F.lit(2**33 - 1))
     return (
         pinned.withColumn("_part", part)

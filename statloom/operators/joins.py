@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.session import small_frame
+
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 512
 
@@ -34,10 +36,9 @@ def lookup_join(
     if has_at_most(table, broadcast_rows):
         return rows.join(F.broadcast(table), keys, "left")
 
-    spark = rows.sparkSession
     counted = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
     frequent = counted.orderBy(F.desc("_rows")).limit(hot_keys).select(*keys)
-    hot = spark.createDataFrame(frequent.collect(), frequent.schema)
+    hot = small_frame(rows.sparkSession, frequent.collect(), frequent.schema)
     flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     apart = F.coalesce(F.col("_hot"), F.lit(False)) | any_null

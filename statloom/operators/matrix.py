@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions.scores import EXPRESSION_TERMS, total
 from statloom.operators.joins import BROADCAST_ROWS, has_at_most
-from statloom.session import as_frame, bounded_rows, number, quoted
+from statloom.session import as_frame, bounded_rows, number, quoted, small_frame
 
 MAX_MATRIX_COLUMNS = 4_000
 
@@ -100,4 +100,4 @@ def cross_products(df: DataFrame, columns: list[str]) -> DataFrame:
 
     sums = gram(df, columns)[1:, 1:]
     cells = [(i + 1, j + 1, float(sums[i, j])) for i in range(len(columns)) for j in range(len(columns))]
-    return df.sparkSession.createDataFrame(cells, "i int, j int, v double")
+    return small_frame(df.sparkSession, cells, "i int, j int, v double")

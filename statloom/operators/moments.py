@@ -69,8 +69,8 @@ def grouped_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool)
     data = df.select(
         F.col(quoted(key)).alias("key"), *[number(c).alias(f"z{i}") for i, c in enumerate(columns)]
     ).dropna()
-    if not diagonal and d > EXPRESSION_COLUMNS:
-        return _wide_moments(data, d)
+    if d > EXPRESSION_COLUMNS:
+        return _wide_moments(data, d, diagonal)
     moments = data.groupBy("key").agg(
         F.count("*").alias("n"),
         *[F.avg(f"z{i}").alias(f"m{i}") for i in range(d)],
@@ -88,10 +88,11 @@ def grouped_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool)
     return sorted(groups, key=lambda g: g.key)
 
 
-def _wide_moments(data: DataFrame, d: int) -> list[GroupMoments]:
+def _wide_moments(data: DataFrame, d: int, diagonal: bool) -> list[GroupMoments]:
+    """The same from matrix products per Arrow batch, around the overall means."""
     names = [f"z{i}" for i in range(d)]
     centre = np.array([v or 0.0 for v in data.agg(*[F.avg(n) for n in names]).first()])
-    pairs = np.triu_indices(d)
+    pairs = (np.arange(d), np.arange(d)) if diagonal else np.triu_indices(d)
     width = 1 + d + len(pairs[0])
     schema = f"key {data.schema['key'].dataType.simpleString()}, sums array<double>"
 
@@ -100,7 +101,8 @@ def _wide_moments(data: DataFrame, d: int) -> list[GroupMoments]:
         for batch in batches:
             for value, group in batch.groupby("key", sort=False):
                 z = group[names].to_numpy(dtype=float) - centre
-                part = np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z)[pairs]])
+                squares = (z * z).sum(axis=0) if diagonal else (z.T @ z)[pairs]
+                part = np.concatenate([[len(z)], z.sum(axis=0), squares])
                 totals[value] = totals.get(value, np.zeros(width)) + part
         yield pd.DataFrame({"key": list(totals), "sums": list(totals.values())})
 
@@ -119,6 +121,7 @@ def _wide_moments(data: DataFrame, d: int) -> list[GroupMoments]:
         n, shift = sums[0], sums[1 : 1 + d] / sums[0]
         cov = np.zeros((d, d))
         cov[pairs] = sums[1 + d :] / n
-        cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(shift, shift)
+        cov = np.triu(cov) + np.triu(cov, 1).T
+        cov -= np.diag(shift * shift) if diagonal else np.outer(shift, shift)
         groups.append(GroupMoments(key, int(n), centre + shift, cov))
     return groups

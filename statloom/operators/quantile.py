@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.session import number, quoted
+from statloom.session import number, quoted, small_frame
 
 SINGLE_CHUNK_ROWS = 2_000_000
 MAX_CHUNKS = 10_000
@@ -177,8 +177,7 @@ def equal_frequency_buckets(
                     open_chunks.append((f, r.chunk, start, rows[f]))
 
     if open_chunks:
-        spark = df.sparkSession
-        table = spark.createDataFrame(open_chunks, "f int, chunk int, start long, total long")
+        table = small_frame(df.sparkSession, open_chunks, "f int, chunk int, start long, total long")
         counted = (
             spread.join(F.broadcast(table), ["f", "chunk"])
             .groupBy("f", "chunk", "x", "start", "total")

@@ -107,11 +107,10 @@ class GaussianModel:
 
     def parameters(self, spark: SparkSession) -> DataFrame:
         """(y, n, prior, feature, mean, variance)."""
-        return spark.createDataFrame(self.parameter_rows(), self._schema("n long, prior double, feature string, mean double, variance double"))
+        return session.small_frame(spark, self.parameter_rows(), self._schema("n long, prior double, feature string, mean double, variance double"))
 
     def priors(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            [(c.label, int(c.n), float(c.prior)) for c in self.classes], self._schema("n long, prior double")
+        return session.small_frame(spark, [(c.label, int(c.n), float(c.prior)) for c in self.classes], self._schema("n long, prior double")
         )
 
     def covariances(self, spark: SparkSession) -> DataFrame:
@@ -123,11 +122,11 @@ class GaussianModel:
             for i in range(d)
             for j in range(d)
         ]
-        return spark.createDataFrame(rows, self._schema("i int, j int, covariance double, inverse double"))
+        return session.small_frame(spark, rows, self._schema("i int, j int, covariance double, inverse double"))
 
     def determinants(self, spark: SparkSession) -> DataFrame:
         rows = [(c.label, c.det, float(c.ridge)) for c in self.classes]
-        return spark.createDataFrame(rows, self._schema("determinant double, ridge double"))
+        return session.small_frame(spark, rows, self._schema("determinant double, ridge double"))
 
     def _schema(self, rest: str) -> T.StructType:
         return T.StructType([T.StructField("y", self.label_type), *T.StructType.fromDDL(rest).fields])
@@ -159,7 +158,8 @@ def fit_gaussian(df: DataFrame, x_columns: list[str], y_column: str, multivariat
     if not groups:
         raise ValueError("no complete rows to fit")
     rows = sum(g.n for g in groups)
-    floor = SMOOTHING * max(float(np.diag(g.cov).max()) for g in groups) or SMOOTHING
+    widest = np.max([np.diag(g.cov) for g in groups], axis=0)
+    floor = np.where(widest > 0, SMOOTHING * widest, SMOOTHING)
     classes = []
     for g in groups:
         cov, ridge = g.cov, 0.0
@@ -346,4 +346,4 @@ class GaussianClassifier:
             "levels": model.levels if model else {},
             "accuracy": self.accuracy,
         }
-        self.registry.save(self.id, meta, self.spark.createDataFrame(rows, schema))
+        self.registry.save(self.id, meta, session.small_frame(self.spark, rows, schema))

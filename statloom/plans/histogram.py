@@ -77,7 +77,7 @@ class HistogramModel:
             for b, after in zip(group, [*group[1:], None]):
                 rows.append((f, b.xq, b.mn, b.mx, after.mn if after else None, group[0].mn, group[-1].mx, b.n))
         schema = "f string, xq int, mn double, mx double, next_mn double, tmn double, tmx double, n long"
-        return self.spark.createDataFrame(rows, schema)
+        return session.small_frame(self.spark, rows, schema)
 
     def _edges_of(self, feature: str, prefix: str = "") -> DataFrame:
         """One feature's edges; the upper end of the last bucket is its own maximum."""
@@ -92,9 +92,9 @@ class HistogramModel:
         out = self.cells
         for f in self.numeric:
             out = out.join(F.broadcast(self._edges_of(f, f"{f}_")), bucket_name(f), "left")
-        totals = self.spark.createDataFrame(self.class_counts, self._class_schema())
+        totals = session.small_frame(self.spark, self.class_counts, self._class_schema())
         out = out.join(F.broadcast(totals), F.col("y").eqNullSafe(F.col("_y")), "left").drop("_y")
-        return out.withColumn("n__", F.lit(self.rows))
+        return out.withColumn("n__", F.lit(self.rows).cast("long"))
 
     def _class_schema(self) -> str:
         return f"_y {self.cells.schema['y'].dataType.simpleString()}, n_y long"
@@ -160,7 +160,7 @@ class HistogramModel:
         )
 
     def _summed(self, keys: list[str]) -> DataFrame:
-        totals = self.spark.createDataFrame(self.class_counts, self._class_schema())
+        totals = session.small_frame(self.spark, self.class_counts, self._class_schema())
         summed = self.cells.groupBy(*keys, "y").agg(F.sum("nxy").alias("_n"))
         joined = summed.join(F.broadcast(totals), F.col("y").eqNullSafe(F.col("_y")), "left")
         return joined.withColumn("p", F.col("_n") / F.lit(self.rows)).withColumn("p_given_y", F.col("_n") / F.col("n_y"))

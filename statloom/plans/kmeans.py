@@ -178,7 +178,7 @@ class KMeansModel:
     def centroid_table(self) -> DataFrame:
         """(j, l, value), both counted from 0."""
         cells = [(j, l, float(v)) for j, row in enumerate(self.centroids) for l, v in enumerate(row)]
-        return self.spark.createDataFrame(cells, "j int, l int, value double")
+        return session.small_frame(self.spark, cells, "j int, l int, value double")
 
     def get_information(self) -> dict[str, Any]:
         k, d = self.centroids.shape
@@ -228,7 +228,7 @@ class KMeansModel:
             for j, row in enumerate(table)
             for l, v in enumerate(row)
         ]
-        self.registry.save(self.model_id, meta, self.spark.createDataFrame(rows, "kind string, j int, l int, value double"))
+        self.registry.save(self.model_id, meta, session.small_frame(self.spark, rows, "kind string, j int, l int, value double"))
 
 
 def _wide_sums(data: DataFrame, centroids: np.ndarray) -> dict[int, np.ndarray]:
@@ -316,12 +316,14 @@ class KMeans:
         metric: str = "euclidean",
         seed: int = 1,
         max_steps: int = 100,
+        starts: dict[int, list[list[float]]] | None = None,
     ) -> KMeansModel | None:
         """Fit every k and return the model with the best silhouette (the first on a tie)."""
         best, best_value = None, None
         self.silhouettes = {}
         for k in k_list:
-            model = self.create_model(table, feature_names, k, f"{model_identifier}_k{k}", normalization, seed=seed)
+            start = (starts or {}).get(k)
+            model = self.create_model(table, feature_names, k, f"{model_identifier}_k{k}", normalization, start, seed)
             value = model.estimate(max_steps).get_silhouette_avg(metric)
             self.silhouettes[k] = value
             session.logger.info("result for k=%d: %s", k, value)

@@ -209,5 +209,5 @@ class LinearRegression:
             "r2": self.r2,
         }
         self.registry.save(
-            self.id, meta, self.spark.createDataFrame(rows, "position int, name string, value double")
+            self.id, meta, session.small_frame(self.spark, rows, "position int, name string, value double")
         )

@@ -219,18 +219,18 @@ class TreeModel:
             "node_id int, parent_id int, depth int, feature string, op string, threshold double, level string, "
             "mi double, n long, n_left long, n_right long, is_leaf boolean"
         ).add(PREDICTION, self.label_type)
-        return spark.createDataFrame(rows, schema)
+        return session.small_frame(spark, rows, schema)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [
             (n.node_id, n.parent_id, n.depth, n.counts, n.mi, n.feature, n.categorical, n.threshold, n.level, n.null_left, n.left, n.right)
             for n in self.nodes.values()
         ]
-        spark.createDataFrame(rows, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
+        session.small_frame(spark, rows, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
         about = T.StructType.fromDDL("target string, numeric array<string>, categorical array<string>").add(
             "classes", T.ArrayType(self.label_type)
         )
-        spark.createDataFrame([(self.target, self.numeric, self.categorical, self.classes)], about).write.mode(
+        session.small_frame(spark, [(self.target, self.numeric, self.categorical, self.classes)], about).write.mode(
             "overwrite"
         ).parquet(f"{path}/about")
 
@@ -452,7 +452,7 @@ def _level(data: DataFrame, model: TreeModel, open_nodes: list[int], criterion:
         if kept is not None:
             rows = rows.where(F.col("node").isin(open_nodes))
         else:
-            table = data.sparkSession.createDataFrame([(i,) for i in open_nodes], "node int")
+            table = session.small_frame(data.sparkSession, [(i,) for i in open_nodes], "node int")
             wanted = F.broadcast(table) if len(open_nodes) <= BROADCAST_ROWS else table
             rows = rows.join(wanted, "node", "left_semi")
     parts = []

@@ -6,9 +6,11 @@ import logging
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 logger = logging.getLogger("statloom")
 
@@ -27,6 +29,7 @@ def local_session(app: str = "statloom", cpus: int | None = None) -> SparkSessio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,6 +48,15 @@ def as_frame(spark: SparkSession, table: DataFrame | str) -> DataFrame:
     return spark.table(table) if isinstance(table, str) else table
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Fitted parameters as a local relation, which needs no Python worker to be read."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [()] * len(arrow)
+    arrays = [pa.array(values, type=f.type) for values, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=fields)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Pin `df` in reliable storage so that lost executors cannot change it."""
     spark = df.sparkSession

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from statloom.session import small_frame
+
 DEFAULT_ID = "m0"
 
 
@@ -31,7 +33,7 @@ class ModelRegistry:
     def models(self) -> DataFrame:
         """Ids, names and states of every model."""
         rows = [(m["id"], m["name"], m.get("state", 0)) for m in self.entries()]
-        return self.spark.createDataFrame(rows, "id string, name string, state int")
+        return small_frame(self.spark, rows, "id string, name string, state int")
 
     def find(self, id_or_name: str | None) -> dict[str, Any] | None:
         wanted = id_or_name or DEFAULT_ID
@@ -61,7 +63,7 @@ class ModelRegistry:
         """Insert or replace one model; the metadata line is written last."""
         params.write.mode("overwrite").parquet(f"{self.root}/{model_id}/params")
         line = json.dumps({**metadata, "id": model_id}, default=str)
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(
+        small_frame(self.spark, [(line,)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{self.root}/{model_id}/metadata"
         )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.session import quoted
+from statloom.session import quoted, small_frame
 
 # JDBC URL forms and driver classes of the supported databases.
 JDBC = {
@@ -109,7 +109,7 @@ def drop(spark: SparkSession, name: str) -> None:
 
 def append_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
     """`df` and the given rows, which follow its column order."""
-    return df.unionByName(df.sparkSession.createDataFrame(rows, df.schema))
+    return df.unionByName(small_frame(df.sparkSession, rows, df.schema))
 
 
 def scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def column_types(df: DataFrame) -> DataFrame:
         (n, f.name, f.dataType.simpleString(), isinstance(f.dataType, T.StringType))
         for n, f in enumerate(df.schema.fields, start=1)
     ]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, categorical boolean")
+    return small_frame(df.sparkSession, rows, "position int, name string, type string, categorical boolean")
 
 
 def tables_like(spark: SparkSession, pattern: str) -> list[str]:
@@ -144,6 +144,6 @@ def run(spark: SparkSession, statement: str, as_pandas: bool = False) -> DataFra
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A model's text, one line per row, in a folder of text files."""
-    spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.mode(
+    small_frame(spark, [(line,) for line in text.splitlines()], "value string").coalesce(1).write.mode(
         "overwrite"
     ).text(path)
