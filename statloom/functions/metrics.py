@@ -39,7 +39,7 @@ def mutual_information(counts: DataFrame) -> DataFrame:
     part = {"xy": 0, "x": 1, "y": 2}
     sums = cube.groupBy("f").agg(
         F.sum(F.when(F.col("g") == 0, F.col("n"))).alias("n"),
-        *[F.sum(F.when(F.col("g") == g, xlog2x(F.col("n").cast("double")))).alias(f"h_{k}") for k, g in part.items()],
+        *[F.expr(f"sum(IF(g = {g}, {xlog2x('CAST(n AS DOUBLE)')}, NULL)) AS h_{k}") for k, g in part.items()],
     )
     mi = (F.col("h_xy") - F.col("h_x") - F.col("h_y")) / F.col("n") + F.log2("n")
     return sums.select("f", mi.alias("mi"))

@@ -7,46 +7,46 @@ generated code of that size is no longer compiled.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statloom.session import number
+from statloom.session import literal_sql
 
 EXPRESSION_TERMS = 300
 
 
-def total(terms: list[Column]) -> Column:
-    return reduce(add, terms)
+def total(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def any_null(values: list[str]) -> str:
+    return "(" + " OR ".join(f"{x} IS NULL" for x in values) + ")"
 
 
-def linear(columns: list[str], weights: list[float], intercept: float) -> Column:
-    """intercept + sum of weight * column."""
-    return total([F.lit(float(intercept)), *[F.lit(float(w)) * number(c) for c, w in zip(columns, weights)]])
+def linear(values: list[str], weights: list[float], intercept: float) -> Column:
+    """intercept + sum of weight * value."""
+    terms = [literal_sql(intercept), *[f"{literal_sql(w)} * {x}" for x, w in zip(values, weights)]]
+    return F.expr(total(terms))
 
 
-def squared_distance(columns: list[Column], centre) -> Column:
-    return total([(x - F.lit(float(c))) * (x - F.lit(float(c))) for x, c in zip(columns, centre)])
+def squared_distance(values: list[str], centre) -> str:
+    diff = [f"({x} - {literal_sql(c)})" for x, c in zip(values, centre)]
+    return total([f"{v} * {v}" for v in diff])
 
 
-def nearest(columns: list[Column], centres: np.ndarray) -> Column:
+def nearest(values: list[str], centres: np.ndarray) -> Column:
     """struct(dist, j): least squared distance; ties go to the lowest number.
 
     NULL when a coordinate is NULL.
     """
-    k, d = centres.shape
-    if k * d > EXPRESSION_TERMS:
-        return _nearest_by_batch(centres)(F.array(*columns))
-    choices = [F.struct(squared_distance(columns, c).alias("dist"), F.lit(j).alias("j")) for j, c in enumerate(centres)]
-    return F.when(~any_null(columns), F.array_min(F.array(*choices)))
-
-
-def any_null(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [x.isNull() for x in columns])
+    if centres.size > EXPRESSION_TERMS:
+        return _nearest_by_batch(centres)(F.expr(f"array({', '.join(values)})"))
+    choices = ", ".join(
+        f"named_struct('dist', {squared_distance(values, c)}, 'j', {j})" for j, c in enumerate(centres)
+    )
+    return F.expr(f"IF({any_null(values)}, NULL, array_min(array({choices})))")
 
 
 def _nearest_by_batch(centres: np.ndarray):
@@ -79,42 +79,33 @@ def _matrix(points: pd.Series, d: int) -> tuple[np.ndarray, np.ndarray]:
     return x, ~np.isnan(x).any(axis=1)
 
 
-def gaussian_log_scores(columns: list[Column], classes: list[dict]) -> list[Column]:
+def quadratic(values: list[str], mean, precision) -> str:
+    """(x - mean)' precision (x - mean), without the terms that are 0."""
+    diff = [f"({x} - {literal_sql(m)})" for x, m in zip(values, mean)]
+    terms = [
+        f"{literal_sql(precision[i, j] * (1.0 if i == j else 2.0))} * {diff[i]} * {diff[j]}"
+        for i in range(len(mean))
+        for j in range(i, len(mean))
+        if precision[i, j] != 0.0
+    ]
+    return total(terms)
+
+
+def gaussian_log_scores(values: list[str], classes: list[dict]) -> list[str]:
     """Per class: log(prior * density), from `const`, `mean` and `precision`."""
-    scores = []
-    for c in classes:
-        precision, mean = c["precision"], c["mean"]
-        diff = [x - F.lit(float(m)) for x, m in zip(columns, mean)]
-        terms = [
-            F.lit(float(precision[i, j]) * (1.0 if i == j else 2.0)) * diff[i] * diff[j]
-            for i in range(len(mean))
-            for j in range(i, len(mean))
-            if precision[i, j] != 0.0
-        ]
-        scores.append(F.lit(float(c["const"])) - F.lit(0.5) * total(terms))
-    return scores
-
-
-def mahalanobis(columns: list[Column], mean, precision) -> Column:
-    """(x - mean)' precision (x - mean)."""
-    diff = [x - F.lit(float(m)) for x, m in zip(columns, mean)]
-    return total(
-        [
-            F.lit(float(precision[i, j]) * (1.0 if i == j else 2.0)) * diff[i] * diff[j]
-            for i in range(len(mean))
-            for j in range(i, len(mean))
-        ]
-    )
+    return [
+        f"({literal_sql(c['const'])} - 0.5D * {quadratic(values, c['mean'], c['precision'])})" for c in classes
+    ]
 
 
 def has_few_terms(classes: list[dict]) -> bool:
     return sum(int(np.count_nonzero(np.triu(c["precision"]))) for c in classes) <= EXPRESSION_TERMS
 
 
-def gaussian_scores(columns: list[Column], classes: list[dict]) -> Column:
+def gaussian_scores(values: list[str], classes: list[dict]) -> Column:
     """Array of log(prior * density), one entry per class; NULL when a feature is NULL."""
     if has_few_terms(classes):
-        return F.when(~any_null(columns), F.array(*gaussian_log_scores(columns, classes)))
+        return F.expr(f"IF({any_null(values)}, NULL, array({', '.join(gaussian_log_scores(values, classes))}))")
     score = _batch_scores(classes)
 
     @F.pandas_udf("array<double>")
@@ -122,20 +113,19 @@ def gaussian_scores(columns: list[Column], classes: list[dict]) -> Column:
         scores, known = score(points)
         return pd.Series([row if ok else None for row, ok in zip(scores, known)])
 
-    return every(F.array(*columns))
+    return every(F.expr(f"array({', '.join(values)})"))
 
 
-def gaussian_best(columns: list[Column], classes: list[dict]) -> Column:
+def gaussian_best(values: list[str], classes: list[dict]) -> Column:
     """struct(score, at): the class with the greatest score; ties go to the first."""
     last = len(classes) - 1
     if has_few_terms(classes):
-        ranked = [
-            F.struct(s.alias("score"), F.lit(last - c).alias("back"))
-            for c, s in enumerate(gaussian_log_scores(columns, classes))
-        ]
-        top = F.array_max(F.array(*ranked))
-        best = F.struct(top["score"].alias("score"), (F.lit(last) - top["back"]).alias("at"))
-        return F.when(~any_null(columns), best)
+        ranked = ", ".join(
+            f"named_struct('score', {score}, 'back', {last - c})"
+            for c, score in enumerate(gaussian_log_scores(values, classes))
+        )
+        top = F.expr(f"IF({any_null(values)}, NULL, array_max(array({ranked})))")
+        return F.struct(top["score"].alias("score"), (F.lit(last) - top["back"]).alias("at"))
     score = _batch_scores(classes)
 
     @F.pandas_udf("struct<score:double,at:int>")
@@ -147,7 +137,7 @@ def gaussian_best(columns: list[Column], classes: list[dict]) -> Column:
         found.loc[~known] = pd.NA
         return found
 
-    return top_one(F.array(*columns))
+    return top_one(F.expr(f"array({', '.join(values)})"))
 
 
 def _batch_scores(classes: list[dict]):
@@ -166,6 +156,6 @@ def _batch_scores(classes: list[dict]):
     return score
 
 
-def xlog2x(value: Column) -> Column:
+def xlog2x(value: str) -> str:
     """x * log2(x), 0 at x = 0."""
-    return F.when(value > 0, value * F.log2(value)).otherwise(F.lit(0.0))
+    return f"IF({value} > 0, {value} * log2({value}), 0D)"

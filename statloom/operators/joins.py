@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.session import small_frame
+from statloom.session import known, small_frame
 
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 512
@@ -36,12 +34,11 @@ def lookup_join(
     if has_at_most(table, broadcast_rows):
         return rows.join(F.broadcast(table), keys, "left")
 
-    counted = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    counted = rows.where(known(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
     frequent = counted.orderBy(F.desc("_rows")).limit(hot_keys).select(*keys)
     hot = small_frame(rows.sparkSession, frequent.collect(), frequent.schema)
     flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    apart = F.coalesce(F.col("_hot"), F.lit(False)) | any_null
+    apart = F.coalesce(F.col("_hot"), F.lit(False)) | ~known(keys)
     hot_table = table.join(F.broadcast(hot), keys, "left_semi")
     hot_part = flagged.where(apart).drop("_hot").join(F.broadcast(hot_table), keys, "left")
     cold_part = flagged.where(~apart).drop("_hot").join(table.hint("merge"), keys, "left")

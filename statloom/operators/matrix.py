@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.functions.scores import EXPRESSION_TERMS, total
+from statloom import session
+from statloom.functions.scores import EXPRESSION_TERMS, linear
 from statloom.operators.joins import BROADCAST_ROWS, has_at_most
 from statloom.session import as_frame, bounded_rows, number, quoted, small_frame
 
@@ -37,10 +38,10 @@ def multiply_matrices(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFra
         raise ValueError(f"dimension mismatch: {len(left)} columns on the left, {many} rows on the right")
     rows.sort(key=lambda r: r[id_col])
     factor = np.array([[r[f"b{j}"] for j in range(len(right))] for r in rows], dtype=float)
-    values = [number(c) for c in left]
+    values = [session.number_sql(c) for c in left]
     if factor.size <= EXPRESSION_TERMS:
         products = [
-            total([x * F.lit(float(w)) for x, w in zip(values, factor[:, j])]).alias(f"x{j + 1}")
+            linear(values, factor[:, j], 0.0).alias(f"x{j + 1}")
             for j in range(factor.shape[1])
         ]
         return a.select(id_col, *products)
@@ -51,7 +52,7 @@ def multiply_matrices(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFra
             return pd.Series([], dtype=object)
         return pd.Series(list(np.array([np.asarray(p, dtype=float) for p in points]) @ factor))
 
-    product = a.select(id_col, times(F.array(*values)).alias("_row"))
+    product = a.select(id_col, times(F.expr(f"array({', '.join(values)})")).alias("_row"))
     return product.select(id_col, *[F.col("_row")[j].alias(f"x{j + 1}") for j in range(factor.shape[1])])
 
 

@@ -7,10 +7,10 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.session import bounded_rows, number, quoted
+from statloom.session import bounded_rows, known, number, quoted
 
 EXPRESSION_COLUMNS = 24
 MAX_GROUPS = 10_000
@@ -18,7 +18,13 @@ MAX_GROUPS = 10_000
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as doubles, rows with a missing value left out."""
-    return df.select(*[number(c).alias(f"z{i}") for i, c in enumerate(columns)]).dropna()
+    values = [number(c) for c in columns]
+    return df.where(known(values)).select(*[v.alias(f"z{i}") for i, v in enumerate(values)])
+
+
+def doubles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles and nothing else, for use in batches."""
+    return df.select(*[F.col(quoted(c)).cast("double").alias(f"z{i}") for i, c in enumerate(columns)])
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -28,12 +34,12 @@ def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
     matrices per Arrow batch and only the sums are shuffled.
     """
     size = len(columns) + 1
-    data = complete(df, columns)
     result = np.zeros((size, size))
     if len(columns) <= EXPRESSION_COLUMNS:
-        z: list[Column] = [F.lit(1.0), *[F.col(f"z{i}") for i in range(len(columns))]]
+        data = complete(df, columns)
+        z = ["1D", *[f"z{i}" for i in range(len(columns))]]
         pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        row = data.agg(*[F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+        row = data.selectExpr(*[f"sum({z[i]} * {z[j]}) AS s{i}_{j}" for i, j in pairs]).first()
         for i, j in pairs:
             result[i, j] = result[j, i] = row[f"s{i}_{j}"] or 0.0
         return result
@@ -42,11 +48,12 @@ def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
         total = np.zeros((size, size))
         for batch in batches:
             z = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
+            z = z[~np.isnan(z).any(axis=1)]
             total += z.T @ z
         at = np.triu_indices(size)
         yield pd.DataFrame({"i": at[0], "j": at[1], "s": total[at]})
 
-    sums = data.mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    sums = doubles(df, columns).mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     for r in sums.collect():
         result[r.i, r.j] = result[r.j, r.i] = r.s
     return result
@@ -65,19 +72,17 @@ class GroupMoments:
 def grouped_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -> list[GroupMoments]:
     """Per-class count, means and population (co)variances, sorted by class."""
     d = len(columns)
-    pairs = [(i, i) for i in range(d)] if diagonal else [(i, j) for i in range(d) for j in range(i, d)]
-    data = df.select(
-        F.col(quoted(key)).alias("key"), *[number(c).alias(f"z{i}") for i, c in enumerate(columns)]
-    ).dropna()
     if d > EXPRESSION_COLUMNS:
-        return _wide_moments(data, d, diagonal)
+        return _wide_moments(df, columns, key, diagonal)
+    pairs = [(i, i) for i in range(d)] if diagonal else [(i, j) for i in range(d) for j in range(i, d)]
+    values = [number(c) for c in columns]
+    data = df.where(known([key, *values])).select(
+        F.col(quoted(key)).alias("key"), *[v.alias(f"z{i}") for i, v in enumerate(values)]
+    )
     moments = data.groupBy("key").agg(
         F.count("*").alias("n"),
-        *[F.avg(f"z{i}").alias(f"m{i}") for i in range(d)],
-        *[
-            (F.var_pop(f"z{i}") if i == j else F.covar_pop(f"z{i}", f"z{j}")).alias(f"c{i}_{j}")
-            for i, j in pairs
-        ],
+        *[F.expr(f"avg(z{i}) AS m{i}") for i in range(d)],
+        *[F.expr(f"{f'var_pop(z{i})' if i == j else f'covar_pop(z{i}, z{j})'} AS c{i}_{j}") for i, j in pairs],
     )
     groups = []
     for r in bounded_rows(moments, MAX_GROUPS, "classes"):
@@ -88,10 +93,20 @@ def grouped_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool)
     return sorted(groups, key=lambda g: g.key)
 
 
-def _wide_moments(data: DataFrame, d: int, diagonal: bool) -> list[GroupMoments]:
-    """The same from matrix products per Arrow batch, around the overall means."""
+def _wide_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -> list[GroupMoments]:
+    """The same from matrix products per Arrow batch.
+
+    Sums are taken around the mean of some rows at hand: any origin near the
+    data keeps the differences accurate, and it cancels out in the end.
+    """
+    d = len(columns)
     names = [f"z{i}" for i in range(d)]
-    centre = np.array([v or 0.0 for v in data.agg(*[F.avg(n) for n in names]).first()])
+    data = df.select(
+        F.col(quoted(key)).alias("key"),
+        *[F.col(quoted(c)).cast("double").alias(n) for c, n in zip(columns, names)],
+    ).where(F.col("key").isNotNull())
+    near = data.select(*names).limit(1_000).toPandas().to_numpy(dtype=float)
+    centre = np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else 0.0 for c in near.T])
     pairs = (np.arange(d), np.arange(d)) if diagonal else np.triu_indices(d)
     width = 1 + d + len(pairs[0])
     schema = f"key {data.schema['key'].dataType.simpleString()}, sums array<double>"
@@ -101,6 +116,7 @@ def _wide_moments(data: DataFrame, d: int, diagonal: bool) -> list[GroupMoments]
         for batch in batches:
             for value, group in batch.groupby("key", sort=False):
                 z = group[names].to_numpy(dtype=float) - centre
+                z = z[~np.isnan(z).any(axis=1)]
                 squares = (z * z).sum(axis=0) if diagonal else (z.T @ z)[pairs]
                 part = np.concatenate([[len(z)], z.sum(axis=0), squares])
                 totals[value] = totals.get(value, np.zeros(width)) + part
@@ -118,6 +134,8 @@ def _wide_moments(data: DataFrame, d: int, diagonal: bool) -> list[GroupMoments]
     groups = []
     for key in sorted(found):
         sums = found[key]
+        if not sums[0]:
+            continue
         n, shift = sums[0], sums[1 : 1 + d] / sums[0]
         cov = np.zeros((d, d))
         cov[pairs] = sums[1 + d :] / n

@@ -79,28 +79,28 @@ def running_sums(
     number of rows without filling one task.
     """
     if chunk is None:
-        running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*keys)
-        return df.select(
+        inside = f"PARTITION BY {', '.join(keys)}" if keys else ""
+        return df.selectExpr(
             "*",
-            *[F.sum(v).over(running).alias(f"cum_{v}") for v in values],
-            *[F.sum(v).over(whole).alias(f"tot_{v}") for v in values],
+            *[f"sum({v}) OVER ({inside} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS cum_{v}" for v in values],
+            *[f"sum({v}) OVER ({inside}) AS tot_{v}" for v in values],
         )
     group = [*keys, chunk]
     sums = df.groupBy(*group).agg(*[F.sum(v).alias(v) for v in values])
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    starts = sums.select(
+    inside = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    starts = sums.selectExpr(
         *group,
-        *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"off_{v}") for v in values],
-        *[F.sum(v).over(whole).alias(f"tot_{v}") for v in values],
+        *[
+            f"coalesce(sum({v}) OVER ({inside} ORDER BY {chunk} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off_{v}"
+            for v in values
+        ],
+        *[f"sum({v}) OVER ({inside}) AS tot_{v}" for v in values],
     )
-    running = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.join(starts, group)
-    return joined.select(
+    local = f"PARTITION BY {', '.join(group)} ORDER BY {order} ROWS UNBOUNDED PRECEDING"
+    return df.join(starts, group).selectExpr(
         *df.columns,
-        *[(F.col(f"off_{v}") + F.sum(v).over(running)).alias(f"cum_{v}") for v in values],
-        *[F.col(f"tot_{v}") for v in values],
+        *[f"off_{v} + sum({v}) OVER ({local}) AS cum_{v}" for v in values],
+        *[f"tot_{v}" for v in values],
     )
 
 

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.scores import total
-from statloom.session import bounded_rows
+from statloom.functions.scores import linear, total
+from statloom.session import bounded_rows, quoted
 
 BLOCK_ROWS = 2048
 MAX_CLUSTERS = 10_000
@@ -101,7 +101,7 @@ def squared_silhouette(points: DataFrame, features: list[str], cluster: str) ->
     if middle[0] is None:
         return None
     centred = points.select(cluster, *[(F.col(c) - F.lit(middle[c])).alias(c) for c in features])
-    norm = total([F.col(c) * F.col(c) for c in features])
+    norm = F.expr(total([f"{quoted(c)} * {quoted(c)}" for c in features]))
     sums = centred.groupBy(cluster).agg(
         F.count("*").alias("n"), F.sum(norm).alias("q"), *[F.sum(c).alias(c) for c in features]
     )
@@ -110,7 +110,7 @@ def squared_silhouette(points: DataFrame, features: list[str], cluster: str) ->
         return None
     own, others = [], []
     for g in groups:
-        dot = total([F.lit(2.0 * g[c]) * F.col(c) for c in features])
+        dot = linear([quoted(c) for c in features], [2.0 * g[c] for c in features], 0.0)
         distance = F.lit(float(g["n"])) * norm - dot + F.lit(float(g["q"]))
         inside = F.col(cluster) == F.lit(g[cluster])
         own.append(F.when(inside, F.try_divide(distance, F.lit(float(g["n"] - 1)))))

@@ -55,11 +55,11 @@ class GaussianModel:
     multivariate: bool
     levels: dict[str, list[str]] = field(default_factory=dict)
 
-    def _values(self, df: DataFrame) -> tuple[DataFrame, list[Column], list[str]]:
+    def _values(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
         helpers = {c: f"_code_{i}" for i, c in enumerate(self.levels)}
         for c, name in helpers.items():
             df = apply_ordinal(df, c, self.levels[c], name)
-        return df, [session.number(helpers.get(c, c)) for c in self.x_columns], list(helpers.values())
+        return df, [session.number_sql(helpers.get(c, c)) for c in self.x_columns], list(helpers.values())
 
     def _labels(self) -> Column:
         return F.array(*[F.lit(c.label).cast(self.label_type) for c in self.classes])
@@ -91,7 +91,7 @@ class GaussianModel:
         each = [
             F.struct(
                 F.lit(c.label).cast(self.label_type).alias(label),
-                scores.mahalanobis(values, c.mean, c.precision).alias(distance),
+                F.expr(scores.quadratic(values, c.mean, c.precision)).alias(distance),
             )
             for c in self.classes
         ]

@@ -196,7 +196,7 @@ def fit_histogram(
     """
     if numeric is None:
         numeric = session.split_features(df, [target])[0]
-    known = df.dropna(subset=numeric) if numeric else df
+    known = df.where(session.known([session.number(c) for c in numeric]))
     buckets = equal_frequency_buckets(known, numeric, bins)
     coded = quantise(known, buckets, {c: bucket_name(c) for c in numeric})
     keys = [bucket_name(c) for c in numeric] + categorical

@@ -41,14 +41,18 @@ def scaling(df: DataFrame, features: list[str], normalization: str | None) -> tu
     return row["n"], [(row[f"a{i}"], row[f"b{i}"]) for i in range(len(features))]
 
 
-def scaled(feature: str, shift: float | None, divisor: float | None) -> Column:
+def scaled_sql(feature: str, shift: float | None, divisor: float | None) -> str:
     """(x - shift) / divisor; NULL for a constant feature, whose divisor is 0."""
-    x = session.number(feature)
+    x = session.number_sql(feature)
     if (shift, divisor) == (0.0, 1.0):
         return x
     if not divisor:
-        return F.lit(None).cast("double")
-    return (x - F.lit(shift)) / F.lit(divisor)
+        return "CAST(NULL AS DOUBLE)"
+    return f"(({x} - {session.literal_sql(shift)}) / {session.literal_sql(divisor)})"
+
+
+def scaled(feature: str, shift: float | None, divisor: float | None) -> Column:
+    return F.expr(scaled_sql(feature, shift, divisor))
 
 
 def normalise(df: DataFrame, features: list[str], normalization: str | None, out: list[str] | None = None) -> DataFrame:
@@ -69,7 +73,7 @@ def start_rows(points: DataFrame, k: int, seed: int) -> np.ndarray:
     copies of a row collapse before anything is shuffled.
     """
     names = points.columns
-    known = points.dropna()
+    known = points.where(session.known(names))
     digest = F.xxhash64(*names, F.lit(seed))
     cell = F.pmod(digest, F.lit(64 * k)).alias("cell")
     chosen = known.groupBy(cell).agg(F.min_by(F.struct(*names), digest).alias("row"), F.min(digest).alias("h")).collect()
@@ -110,7 +114,7 @@ class KMeansModel:
 
         Sums arrive in any order, so "the same" allows their rounding.
         """
-        data = self._points(keep=False)
+        data = self._points()
         if cache:
             data = data.persist()
         last: float | None = None
@@ -132,16 +136,14 @@ class KMeansModel:
     def _step(self, data: DataFrame) -> tuple[float, np.ndarray]:
         """Assign, and sum cost and coordinates per cluster, in one job."""
         names = coordinates(len(self.features))
-        k, d = self.centroids.shape
-        if k * d > scores.EXPRESSION_TERMS:
+        if self._in_batches():
             sums = _wide_sums(data, self.centroids)
         else:
-            best = scores.nearest([F.col(c) for c in names], self.centroids)
+            best = scores.nearest(names, self.centroids)
             found = (
                 data.select(best.alias("b"), *names)
-                .where("b IS NOT NULL")
                 .groupBy(F.col("b.j").alias("j"))
-                .agg(F.count("*").alias("n"), F.sum("b.dist").alias("cost"), *[F.sum(c).alias(c) for c in names])
+                .agg(F.count("*").alias("n"), F.sum("b.dist").alias("cost"), *[F.expr(f"sum({c}) AS {c}") for c in names])
                 .collect()
             )
             sums = {r.j: np.array([r.n, r.cost, *[r[c] for c in names]], dtype=float) for r in found}
@@ -152,16 +154,34 @@ class KMeansModel:
             moved[j] = s[2:] / s[0]
         return float(sum(s[1] for s in sums.values()) / self.rows), moved
 
-    def _points(self, keep: bool) -> DataFrame:
+    def _table(self) -> DataFrame:
         if self.table is None:
             raise RuntimeError("a loaded model needs its table: load_model(name, table)")
-        columns = [scaled(c, *s).alias(o) for c, s, o in zip(self.features, self.scales, coordinates(len(self.features)))]
-        return self.table.select("*", *columns) if keep else self.table.select(*columns)
+        return self.table
+
+    def _scaled(self) -> list[Column]:
+        return [scaled(c, *s) for c, s in zip(self.features, self.scales)]
+
+    def _points(self) -> DataFrame:
+        """Normalised features; of the complete rows, unless batches pick them out."""
+        values = self._scaled()
+        named = [v.alias(x) for v, x in zip(values, coordinates(len(values)))]
+        rows = self._table() if self._in_batches() else self._table().where(session.known(values))
+        return rows.select(*named)
+
+    def _in_batches(self) -> bool:
+        return self.centroids.size > scores.EXPRESSION_TERMS
+
+    def _assigned_points(self) -> DataFrame:
+        """The same with the cluster `j` of the last step."""
+        names = coordinates(len(self.features))
+        best = scores.nearest(names, self.assigned_by)
+        points = self._points().select(*names, best["j"].alias("j"))
+        return points.where("j IS NOT NULL") if self._in_batches() else points
 
     def transform(self, df: DataFrame, centroids: np.ndarray | None = None) -> DataFrame:
         """Add `min_dist` and cluster `j` by the given (default: current) centroids."""
-        values = [scaled(c, *s) for c, s in zip(self.features, self.scales)]
-        best = scores.nearest(values, self.centroids if centroids is None else centroids)
+        best = scores.nearest([scaled_sql(c, *s) for c, s in zip(self.features, self.scales)], self.centroids if centroids is None else centroids)
         return df.withColumn("_b", best).select(
             *[session.quoted(c) for c in df.columns], F.col("_b.dist").alias("min_dist"), F.col("_b.j").alias("j")
         )
@@ -169,8 +189,8 @@ class KMeansModel:
     def assignments(self) -> DataFrame:
         """The table with normalised features, `min_dist` and `j` as of the last step."""
         names = coordinates(len(self.features))
-        best = scores.nearest([F.col(c) for c in names], self.assigned_by)
-        points = self._points(keep=True)
+        best = scores.nearest(names, self.assigned_by)
+        points = self._table().select("*", *[v.alias(x) for v, x in zip(self._scaled(), names)])
         return points.withColumn("_b", best).select(
             *[session.quoted(c) for c in points.columns], F.col("_b.dist").alias("min_dist"), F.col("_b.j").alias("j")
         )
@@ -191,7 +211,7 @@ class KMeansModel:
         of different rows; "squared" is linear work on per-cluster sums.
         """
         names = coordinates(len(self.features))
-        points = self.assignments().select(*names, "j").where("j IS NOT NULL")
+        points = self._assigned_points()
         if metric == "euclidean":
             return euclidean_silhouette(points, names, "j")
         if metric == "squared":
@@ -203,8 +223,7 @@ class KMeansModel:
         names = coordinates(len(self.features))
         window = Window.partitionBy("j").orderBy(*names)
         return (
-            self.assignments()
-            .where("j IS NOT NULL")
+            self._assigned_points()
             .select(*names, "j", F.row_number().over(window).alias("_place"))
             .where(F.col("_place") <= per_cluster)
             .select(*names, "j")
@@ -238,7 +257,8 @@ def _wide_sums(data: DataFrame, centroids: np.ndarray) -> dict[int, np.ndarray]:
     def partial(batches):
         total = np.zeros((k, d + 2))
         for batch in batches:
-            x = batch.dropna().to_numpy(dtype=float)
+            x = batch.to_numpy(dtype=float)
+            x = x[~np.isnan(x).any(axis=1)]
             if not len(x):
                 continue
             dist = scores.squared_distances(x, centroids)
@@ -295,7 +315,8 @@ class KMeans:
                 raise ValueError("a constant feature cannot be normalised")
             centroids = np.array([[(v - a) / b for v, (a, b) in zip(s, scales)] for s in start], dtype=float)
         else:
-            points = frame.select(*[scaled(c, *s).alias(o) for c, s, o in zip(feature_names, scales, coordinates(len(scales)))])
+            named = zip(feature_names, scales, coordinates(len(scales)))
+            points = frame.select(*[scaled(c, *s).alias(o) for c, s, o in named])
             centroids = start_rows(points, k, seed)
         model_id = None
         if self.registry is not None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +36,19 @@ class LinearModel:
         if len(given) != len(self.x_columns):
             raise ValueError(f"{len(self.x_columns)} columns were fitted, {len(given)} given")
         named = dict(zip(self.x_columns, given))
-        terms = [F.lit(self.coefficients[0])]
+        terms: list = []
+        numeric: list[str] = []
         weights = dict(zip(self.features, self.coefficients[1:]))
         for x in self.x_columns:
             if x in self.levels:
                 values = self.levels[x][1:] if self.drop_first else self.levels[x]
                 for v in values:
-                    hit = F.when(F.col(session.quoted(named[x])) == F.lit(v), 1.0).otherwise(0.0)
-                    terms.append(F.lit(weights[one_hot_name(x, v)]) * hit)
+                    hit = F.when(F.col(session.quoted(named[x])) == F.lit(v), weights[one_hot_name(x, v)])
+                    terms.append(hit.otherwise(0.0))
             else:
-                terms.append(F.lit(weights[x]) * session.number(named[x]))
-        return df.withColumn(output, scores.total(terms))
+                numeric.append(x)
+        linear = scores.linear([session.number_sql(named[x]) for x in numeric], [weights[x] for x in numeric], self.coefficients[0])
+        return df.withColumn(output, reduce(add, terms, linear))
 
     def coefficient_rows(self) -> list[tuple[int, str, float]]:
         names = ["intercept", *self.features]
@@ -64,7 +68,7 @@ def fit_linear(
         raise ValueError(f"columns {categorical} are not numeric; ask for one-hot handling")
     levels = category_levels(df, categorical)
     if categorical:
-        df = one_hot(df.dropna(subset=categorical), levels, drop_first)
+        df = one_hot(df.where(session.known(categorical)), levels, drop_first)
     features: list[str] = []
     for c in x_columns:
         if c in levels:

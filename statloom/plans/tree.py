@@ -92,21 +92,25 @@ class TreeModel:
 
     def node_column(self) -> Column:
         """The id of the node a row ends in."""
-        inner = sum(not n.is_leaf for n in self.nodes.values())
-        if inner <= EXPRESSION_NODES and self._depth() <= EXPRESSION_DEPTH:
-            return self._node_expression(self.nodes[1])
+        if self._is_small():
+            return F.expr(self._nested_case(self.nodes[1], lambda n: str(n.node_id)))
         return self._node_by_batch()
 
-    def _node_expression(self, node: Node) -> Column:
+    def _is_small(self) -> bool:
+        inner = sum(not n.is_leaf for n in self.nodes.values())
+        return inner <= EXPRESSION_NODES and self._depth() <= EXPRESSION_DEPTH
+
+    def _nested_case(self, node: Node, leaf_value) -> str:
+        """The tree as nested CASE text, so a row is tested along its own path only."""
         if node.is_leaf:
-            return F.lit(node.node_id)
+            return leaf_value(node)
+        name = session.quoted(node.feature)
         if node.categorical:
-            test = F.col(session.quoted(node.feature)) == F.lit(node.level)
+            test = f"{name} = {_literal(node.level)}"
         else:
-            test = session.number(node.feature) <= F.lit(node.threshold)
-        left = self._node_expression(self.nodes[node.left])
-        right = self._node_expression(self.nodes[node.right])
-        return F.when(F.coalesce(test, F.lit(node.null_left)), left).otherwise(right)
+            test = f"{session.number_sql(node.feature)} <= {_literal(node.threshold)}"
+        left, right = (self._nested_case(self.nodes[i], leaf_value) for i in (node.left, node.right))
+        return f"CASE WHEN coalesce({test}, {str(node.null_left).lower()}) THEN {left} ELSE {right} END"
 
     def _node_by_batch(self) -> Column:
         """Whole Arrow batches walk down the tree together."""
@@ -151,31 +155,16 @@ class TreeModel:
 
     def transform(self, df: DataFrame, output: str = PREDICTION) -> DataFrame:
         """Add the predicted class, as a column expression."""
-        leaves = [n for n in self.nodes.values() if n.is_leaf]
-        labels = F.create_map(*[F.lit(v) for n in leaves for v in (n.node_id, self.predicted(n))])
-        inner = len(self.nodes) - len(leaves)
-        if inner <= EXPRESSION_NODES and self._depth() <= EXPRESSION_DEPTH:
-            return df.withColumn(output, self._label_expression(self.nodes[1]))
-        if len(leaves) <= 1_000:
-            return df.withColumn(output, F.try_element_at(labels, self.node_column()).cast(self.label_type))
-        place = {self.classes[c]: c for c in range(len(self.classes))}
+        known = F.array(*[F.lit(c).cast(self.label_type) for c in self.classes])
+        place = {label: c for c, label in enumerate(self.classes)}
+        if self._is_small():
+            at = F.expr(self._nested_case(self.nodes[1], lambda n: str(place[self.predicted(n)])))
+            return df.withColumn(output, F.get(known, at))
         by_node = [0] * (max(self.nodes) + 1)
-        for n in leaves:
+        for n in self.nodes.values():
             by_node[n.node_id] = place[self.predicted(n)]
-        known = F.array(*[F.lit(c).cast(self.label_type) for c in self.classes])
         return df.withColumn(output, F.get(known, _looked_up(by_node)(self.node_column())))
 
-    def _label_expression(self, node: Node) -> Column:
-        if node.is_leaf:
-            return F.lit(self.predicted(node)).cast(self.label_type)
-        if node.categorical:
-            test = F.col(session.quoted(node.feature)) == F.lit(node.level)
-        else:
-            test = session.number(node.feature) <= F.lit(node.threshold)
-        left = self._label_expression(self.nodes[node.left])
-        right = self._label_expression(self.nodes[node.right])
-        return F.when(F.coalesce(test, F.lit(node.null_left)), left).otherwise(right)
-
     def case_text(self) -> str:
         """The tree as SQL text: one WHEN per leaf."""
         lines = ["CASE"]
@@ -301,73 +290,62 @@ def value_counts(data: DataFrame, features: list[str], number_of_classes: int, c
         data.select("node", "_y", F.inline(F.array(*parts)))
         .where("x IS NOT NULL")
         .groupBy(*keys)
-        .agg(*[F.count_if(F.col("_y") == c).alias(f"n{c}") for c in range(number_of_classes)])
+        .agg(*[F.expr(f"count_if(_y = {c}) AS n{c}") for c in range(number_of_classes)])
     )
 
 
-def split_score(left: list[Column], whole: list[Column], here: list[Column], criterion: str) -> Column:
-    """Mutual information of a split with the class, in bits.
+def split_score(left: list[str], whole: list[str], here: list[str], criterion: str) -> str:
+    """Mutual information of a split with the class in bits, as SQL text.
 
     "full" takes both sides and all classes. "partial" adds the left side's
     terms only, for the classes that occur at the very value.
     """
-    n_left = total([c.cast("double") for c in left])
-    n = total([c.cast("double") for c in whole])
     if criterion == "partial":
         terms = [
-            F.when(h > 0, (l / n) * F.log2(F.try_divide(l / n, (w / n) * (n_left / n)))).otherwise(F.lit(0.0))
+            f"IF({h} > 0, {l} / n * log2(try_divide({l} / n, ({w} / n) * (n_left / n))), 0D)"
             for l, w, h in zip(left, whole, here)
         ]
         return total(terms)
-    right = [(w - l).cast("double") for l, w in zip(left, whole)]
-    n_right = n - n_left
-    sides = total([xlog2x(l.cast("double")) + xlog2x(r) for l, r in zip(left, right)])
-    classes = total([xlog2x(w.cast("double")) for w in whole])
-    return (sides - xlog2x(n_left) - xlog2x(n_right) - classes + xlog2x(n)) / n
+    sides = [xlog2x(l) for l in left] + [xlog2x(f"({w} - {l})") for l, w in zip(left, whole)]
+    classes = total([xlog2x(w) for w in whole])
+    return f"({total(sides)} - {xlog2x('n_left')} - {xlog2x('(n - n_left)')} - {classes} + {xlog2x('n')}) / n"
 
 
 def numeric_scores(counts: DataFrame, classes: int, criterion: str, chunked: bool) -> DataFrame:
-    """(node, f, x, mi, left, whole) of every threshold `<= x`."""
+    """(node, f, x, mi, n_left, n, left, whole) of every threshold `<= x`."""
     names = [f"n{c}" for c in range(classes)]
     summed = running_sums(counts, ["node", "f"], "x", names, "chunk" if chunked else None)
-    left = [F.col(f"cum_{v}") for v in names]
-    whole = [F.col(f"tot_{v}") for v in names]
-    return _scored(summed, left, whole, [F.col(v) for v in names], criterion)
+    return _scored(summed, [f"cum_{v}" for v in names], [f"tot_{v}" for v in names], names, criterion)
 
 
 def categorical_scores(counts: DataFrame, classes: int, criterion: str, groups: int) -> DataFrame:
-    """(node, f, x, mi, left, whole) of every split `= x`; `groups` bounds (node, f)."""
+    """(node, f, x, mi, n_left, n, left, whole) of every split `= x`; `groups` bounds (node, f)."""
     names = [f"n{c}" for c in range(classes)]
-    sums = counts.groupBy("node", "f").agg(*[F.sum(v).alias(f"tot_{v}") for v in names])
+    sums = counts.groupBy("node", "f").agg(*[F.expr(f"sum({v}) AS tot_{v}") for v in names])
     if groups <= BROADCAST_ROWS:
         sums = F.broadcast(sums)
-    joined = counts.join(sums, ["node", "f"])
-    left = [F.col(v) for v in names]
-    return _scored(joined, left, [F.col(f"tot_{v}") for v in names], left, criterion)
+    return _scored(counts.join(sums, ["node", "f"]), names, [f"tot_{v}" for v in names], names, criterion)
 
 
-def _scored(df: DataFrame, left, whole, here, criterion: str) -> DataFrame:
-    return df.select(
+def _scored(df: DataFrame, left: list[str], whole: list[str], here: list[str], criterion: str) -> DataFrame:
+    sizes = df.selectExpr("*", f"{total(left)} AS n_left", f"{total(whole)} AS n")
+    return sizes.selectExpr(
         "node",
         "f",
         "x",
-        split_score(left, whole, here, criterion).alias("mi"),
-        F.array(*left).cast("array<long>").alias("left"),
-        F.array(*whole).cast("array<long>").alias("whole"),
+        f"{split_score(left, whole, here, criterion)} AS mi",
+        "n_left",
+        "n",
+        f"array({', '.join(left)}) AS left",
+        f"array({', '.join(whole)}) AS whole",
     )
 
 
 def best_splits(scored: DataFrame) -> DataFrame:
     """Per node, the split of greatest information with rows on both sides;
     ties go to the first feature, then to the smallest value."""
-    sizes = [F.aggregate(c, F.lit(0).cast("long"), lambda a, b: a + b) for c in ("left", "whole")]
-    order = F.struct(-F.round("mi", MI_DIGITS), F.col("f"), F.col("x"))
-    return (
-        scored.where(sizes[0] < sizes[1])
-        .groupBy("node")
-        .agg(F.min_by(F.struct("f", "x", "mi", "left", "whole"), order).alias("s"))
-        .select("node", "s.*")
-    )
+    chosen = F.expr(f"min_by(struct(f, x, mi, left, whole), struct(-round(mi, {MI_DIGITS}), f, x)) AS s")
+    return scored.where("n_left < n").groupBy("node").agg(chosen).select("node", "s.*")
 
 
 def grow_tree(

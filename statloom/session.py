@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 import tempfile
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,26 @@ def number(column: str | Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def number_sql(column: str) -> str:
+    """The same as SQL text."""
+    return f"nanvl(CAST({quoted(column)} AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def literal_sql(value: float) -> str:
+    """A number as an exact DOUBLE literal."""
+    return f"({float(value)!r}D)"
+
+
+def known(columns: list[str | Column]) -> Column:
+    """All columns have a value.
+
+    Written as one IS NOT NULL per column: a single predicate over many
+    computed columns makes the optimizer derive it once per subset of them.
+    """
+    tests = [(F.col(quoted(c)) if isinstance(c, str) else c).isNotNull() for c in columns]
+    return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+
+
 def quoted(name: str) -> str:
     """A column name safe to use in an expression string."""
     return "`" + name.replace("`", "``") + "`"
