@@ -120,7 +120,8 @@ def _wide_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -
                 squares = (z * z).sum(axis=0) if diagonal else (z.T @ z)[pairs]
                 part = np.concatenate([[len(z)], z.sum(axis=0), squares])
                 totals[value] = totals.get(value, np.zeros(width)) + part
-        yield pd.DataFrame({"key": list(totals), "sums": list(totals.values())})
+        if totals:
+            yield pd.DataFrame({"key": list(totals), "sums": list(totals.values())})
 
     summed = (
         data.mapInPandas(partial, schema)

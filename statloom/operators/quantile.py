@@ -217,7 +217,7 @@ def quantise(df: DataFrame, buckets: dict[str, list[Bucket]], out: dict[str, str
     index = {c: f"_bucket_{i}" for i, c in enumerate(buckets)}
     df = bucket_index(df, {c: [b.mn for b in buckets[c][1:]] for c in buckets}, index)
     numbers = [
-        F.element_at(F.array(*[F.lit(b.xq) for b in buckets[c]]), F.col(index[c]) + 1).alias(out[c])
+        F.get(F.array(*[F.lit(b.xq) for b in buckets[c]]), F.col(index[c])).alias(out[c])
         if buckets[c]
         else F.lit(None).cast("int").alias(out[c])
         for c in buckets

@@ -75,8 +75,8 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
         *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(labels))]
     )
     totals = [count[c] for c in labels]
-    own_sum = F.element_at(F.array(*[f"s{i}" for i in range(len(labels))]), F.col("own") + 1)
-    own_size = F.element_at(F.array(*[F.lit(float(n)) for n in totals]), F.col("own") + 1)
+    own_sum = F.get(F.array(*[f"s{i}" for i in range(len(labels))]), F.col("own"))
+    own_size = F.get(F.array(*[F.lit(float(n)) for n in totals]), F.col("own"))
     others = [F.when(F.col("own") != i, F.col(f"s{i}") / F.lit(float(n))) for i, n in enumerate(totals)]
     scored = per_point.select(
         "w",

@@ -268,7 +268,8 @@ def _wide_sums(data: DataFrame, centroids: np.ndarray) -> dict[int, np.ndarray]:
             part = np.column_stack([np.ones(len(x)), dist[np.arange(len(x)), j], x])
             total += one_of.T @ part
         used = np.flatnonzero(total[:, 0])
-        yield pd.DataFrame({"j": used, "sums": [total[u] for u in used]})
+        if len(used):
+            yield pd.DataFrame({"j": used, "sums": [total[u] for u in used]})
 
     rows = (
         data.mapInPandas(partial, "j int, sums array<double>")
