@@ -178,11 +178,8 @@ def equal_frequency_buckets(
 
     if open_chunks:
         table = small_frame(df.sparkSession, open_chunks, "f int, chunk int, start long, total long")
-        counted = (
-            spread.join(F.broadcast(table), ["f", "chunk"])
-            .groupBy("f", "chunk", "x", "start", "total")
-            .agg(F.count("*").alias("n"))
-        )
+        kept = spread if chunks == 1 else spread.join(F.broadcast(table), ["f", "chunk"], "left_semi")
+        counted = kept.groupBy("f", "chunk", "x").agg(F.count("*").alias("n")).join(F.broadcast(table), ["f", "chunk"])
         before = Window.partitionBy("f", "chunk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
         rank = F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0)) + 1
         edges = (

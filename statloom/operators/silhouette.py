@@ -11,6 +11,7 @@ from statloom.functions.scores import linear, total
 from statloom.session import bounded_rows, quoted
 
 BLOCK_ROWS = 2048
+PAIRS_PER_TASK = 16
 MAX_CLUSTERS = 10_000
 
 
@@ -47,7 +48,8 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
     pairs = spark.range(blocks * blocks).select(
         F.floor(F.col("id") / blocks).alias("a"), F.pmod("id", F.lit(blocks)).alias("b")
     )
-    tasks = min(blocks * blocks, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    paired = blocks * (blocks + 1) // 2
+    tasks = max(-(-paired // PAIRS_PER_TASK), min(paired, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     matched = pairs.where("a <= b").join(left, "a").join(right, "b").repartition(tasks)
     k = len(labels)
 

@@ -88,5 +88,8 @@ def complement(df: DataFrame, part: DataFrame, id_col: str) -> DataFrame:
 
 
 def set_complement(df: DataFrame, part: DataFrame) -> DataFrame:
-    """Distinct rows of `df` that do not occur in `part`."""
-    return df.subtract(part)
+    """Distinct rows of `df` that do not occur in `part`.
+
+    Copies collapse inside their own tasks before the two sides meet.
+    """
+    return df.distinct().subtract(part.distinct())

@@ -69,20 +69,23 @@ def coordinates(d: int) -> list[str]:
 def start_rows(points: DataFrame, k: int, seed: int) -> np.ndarray:
     """k different rows, chosen by a seeded hash of their values.
 
-    One representative per hash cell comes out of a partial aggregate, so
-    copies of a row collapse before anything is shuffled.
+    One representative per hash cell, the row of least hash, comes out of a
+    partial aggregate over plain numbers, so nothing is sorted and copies of a
+    row collapse before anything is shuffled.
     """
     names = points.columns
     known = points.where(session.known(names))
     digest = F.xxhash64(*names, F.lit(seed))
     cell = F.pmod(digest, F.lit(64 * k)).alias("cell")
-    chosen = known.groupBy(cell).agg(F.min_by(F.struct(*names), digest).alias("row"), F.min(digest).alias("h")).collect()
+    hashed = known.select(*names, cell, digest.alias("h"))
+    least = hashed.groupBy("cell").agg(*[F.expr(f"min_by({c}, h) AS {c}") for c in names], F.min("h").alias("h"))
+    chosen = least.collect()
     if len(chosen) < k:
-        chosen = known.distinct().select(F.struct(*names).alias("row"), digest.alias("h")).orderBy("h").limit(k).collect()
+        chosen = known.distinct().select(*names, digest.alias("h")).orderBy("h").limit(k).collect()
     if len(chosen) < k:
         raise ValueError(f"{k} clusters need {k} different complete rows, found {len(chosen)}")
     chosen.sort(key=lambda r: r.h)
-    return np.array([list(r.row) for r in chosen[:k]], dtype=float)
+    return np.array([[r[c] for c in names] for r in chosen[:k]], dtype=float)
 
 
 class KMeansModel:

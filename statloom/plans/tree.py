@@ -20,7 +20,7 @@ from statloom import session
 from statloom.functions import metrics
 from statloom.functions.scores import total, xlog2x
 from statloom.operators.encode import ordinal
-from statloom.operators.joins import BROADCAST_ROWS
+from statloom.operators.joins import BROADCAST_ROWS, lookup_join
 from statloom.operators.quantile import (
     SINGLE_CHUNK_ROWS,
     bucket_index,
@@ -323,8 +323,10 @@ def categorical_scores(counts: DataFrame, classes: int, criterion: str, groups:
     names = [f"n{c}" for c in range(classes)]
     sums = counts.groupBy("node", "f").agg(*[F.expr(f"sum({v}) AS tot_{v}") for v in names])
     if groups <= BROADCAST_ROWS:
-        sums = F.broadcast(sums)
-    return _scored(counts.join(sums, ["node", "f"]), names, [f"tot_{v}" for v in names], names, criterion)
+        joined = counts.join(F.broadcast(sums), ["node", "f"])
+    else:
+        joined = lookup_join(counts, sums, ["node", "f"])
+    return _scored(joined, names, [f"tot_{v}" for v in names], names, criterion)
 
 
 def _scored(df: DataFrame, left: list[str], whole: list[str], here: list[str], criterion: str) -> DataFrame:

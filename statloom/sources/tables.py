@@ -90,8 +90,8 @@ def register(spark: SparkSession, data: DataFrame | pd.DataFrame, name: str, sav
 
 
 def materialise(spark: SparkSession, name: str, query: str) -> DataFrame:
-    """Store a query's result as a table of that name, replacing an older one."""
-    spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
+    """Store a query's result as a table of that (qualified) name, replacing an older one."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.sql(query).write.mode("overwrite").saveAsTable(name)
     return spark.table(name)
 
@@ -104,7 +104,7 @@ def empty_like(df: DataFrame) -> DataFrame:
 def drop(spark: SparkSession, name: str) -> None:
     """Remove a temporary view or a stored table of that name, if there is one."""
     if not spark.catalog.dropTempView(name):
-        spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def append_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:

@@ -146,6 +146,20 @@ def test_csv_and_names(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "text")).collect()) == ["one", "two"]
 
 
+def test_stored_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE stored LOCATION '{tmp_path}/stored'")
+    try:
+        for top in (3, 5):
+            found = tables.materialise(spark, "stored.numbers", f"SELECT id FROM range({top})")
+            assert found.count() == top
+        tables.register(spark, spark.range(4), "stored.others", saved=True)
+        assert spark.table("stored.others").count() == 4
+        tables.drop(spark, "stored.others")
+        assert not spark.catalog.tableExists("stored.others")
+    finally:
+        spark.sql("DROP DATABASE stored CASCADE")
+
+
 def test_jdbc_options():
     found = tables.jdbc_options("mysql", "shop", "orders", "db", user="me", password="pw")
     assert found["url"] == "jdbc:mysql://db:3306/shop" and found["dbtable"] == "orders" and found["user"] == "me"
