@@ -1,8 +1,9 @@
 """Scoring expressions: pure projections that also run on a stream.
 
 Small models become arithmetic on columns and stay in generated code. Models
-with many terms are scored as matrix products over Arrow batches, since
-generated code of that size is no longer compiled.
+with many terms are scored as matrix products over Arrow batches: beyond these
+limits the JVM no longer compiles the generated method and runs it many times
+slower, while a batch keeps its pace.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from statloom.session import literal_sql
 
-EXPRESSION_TERMS = 300
+EXPRESSION_TERMS = 100
+QUADRATIC_TERMS = 60
 
 
 def total(terms: list[str]) -> str:
@@ -99,7 +101,7 @@ def gaussian_log_scores(values: list[str], classes: list[dict]) -> list[str]:
 
 
 def has_few_terms(classes: list[dict]) -> bool:
-    return sum(int(np.count_nonzero(np.triu(c["precision"]))) for c in classes) <= EXPRESSION_TERMS
+    return sum(int(np.count_nonzero(np.triu(c["precision"]))) for c in classes) <= QUADRATIC_TERMS
 
 
 def gaussian_scores(values: list[str], classes: list[dict]) -> Column:

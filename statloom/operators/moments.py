@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from statloom.session import bounded_rows, known, number, quoted
 
-EXPRESSION_COLUMNS = 24
+EXPRESSION_COLUMNS = 12
+EXPRESSION_PAIRS = 28
 MAX_GROUPS = 10_000
 
 
@@ -72,9 +73,9 @@ class GroupMoments:
 def grouped_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -> list[GroupMoments]:
     """Per-class count, means and population (co)variances, sorted by class."""
     d = len(columns)
-    if d > EXPRESSION_COLUMNS:
-        return _wide_moments(df, columns, key, diagonal)
     pairs = [(i, i) for i in range(d)] if diagonal else [(i, j) for i in range(d) for j in range(i, d)]
+    if len(pairs) > EXPRESSION_PAIRS:
+        return _wide_moments(df, columns, key, diagonal)
     values = [number(c) for c in columns]
     data = df.where(known([key, *values])).select(
         F.col(quoted(key)).alias("key"), *[v.alias(f"z{i}") for i, v in enumerate(values)]

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.functions.scores import linear, total
-from statloom.session import bounded_rows, quoted
+from statloom.functions import scores
+from statloom.functions.scores import linear, squared_distances, total
+from statloom.session import bounded_rows, literal_sql
 
 BLOCK_ROWS = 2048
 PAIRS_PER_TASK = 16
@@ -85,8 +86,7 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
         F.try_divide(own_sum, own_size - 1).alias("a"),
         (F.least(*others) if len(others) > 1 else others[0]).alias("b"),
     )
-    value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return _weighted_average(scored.select("w", F.when(F.col("a").isNotNull(), value).alias("s")))
+    return _weighted_average(scored)
 
 
 def _sum_frame(x: np.ndarray, own: np.ndarray, w: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
@@ -102,26 +102,60 @@ def squared_silhouette(points: DataFrame, features: list[str], cluster: str) ->
     middle = points.agg(*[F.avg(c).alias(c) for c in features]).first()
     if middle[0] is None:
         return None
-    centred = points.select(cluster, *[(F.col(c) - F.lit(middle[c])).alias(c) for c in features])
-    norm = F.expr(total([f"{quoted(c)} * {quoted(c)}" for c in features]))
-    sums = centred.groupBy(cluster).agg(
-        F.count("*").alias("n"), F.sum(norm).alias("q"), *[F.sum(c).alias(c) for c in features]
+    centred = points.select(
+        F.col(cluster).alias("own"), *[(F.col(c) - F.lit(middle[c])).alias(f"v{i}") for i, c in enumerate(features)]
     )
+    values = [f"v{i}" for i in range(len(features))]
+    normed = centred.selectExpr("*", total([f"{v} * {v}" for v in values]) + " AS q")
+    sums = normed.groupBy("own").agg(F.count("*").alias("n"), F.sum("q").alias("q"), *[F.expr(f"sum({v}) AS {v}") for v in values])
     groups = bounded_rows(sums, MAX_CLUSTERS, "clusters")
     if len(groups) < 2:
         return None
-    own, others = [], []
-    for g in groups:
-        dot = linear([quoted(c) for c in features], [2.0 * g[c] for c in features], 0.0)
-        distance = F.lit(float(g["n"])) * norm - dot + F.lit(float(g["q"]))
-        inside = F.col(cluster) == F.lit(g[cluster])
-        own.append(F.when(inside, F.try_divide(distance, F.lit(float(g["n"] - 1)))))
-        others.append(F.when(~inside, distance / F.lit(float(g["n"]))))
-    scored = centred.select(F.lit(1.0).alias("w"), F.coalesce(*own).alias("a"), F.least(*others).alias("b"))
-    value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
-    return _weighted_average(scored.select("w", F.when(F.col("a").isNotNull(), value).alias("s")))
+    if len(groups) * len(features) > scores.EXPRESSION_TERMS:
+        return _squared_by_batch(centred, values, groups)
+    measured = normed.select(
+        "own",
+        *[
+            (F.expr(f"{literal_sql(g['n'])} * q") - linear(values, [2.0 * g[v] for v in values], -g["q"])).alias(f"d{c}")
+            for c, g in enumerate(groups)
+        ],
+    )
+    inside = [f"own = {g['own']!r}" for g in groups]
+    a = [f"WHEN {test} THEN try_divide(d{c}, {literal_sql(g['n'] - 1)})" for c, (test, g) in enumerate(zip(inside, groups))]
+    b = [f"IF({test}, NULL, d{c} / {literal_sql(g['n'])})" for c, (test, g) in enumerate(zip(inside, groups))]
+    scored = measured.selectExpr("1D AS w", f"CASE {' '.join(a)} END AS a", f"least({', '.join(b)}) AS b")
+    return _weighted_average(scored)
+
+
+def _squared_by_batch(centred: DataFrame, values: list[str], groups: list) -> float | None:
+    """The same per Arrow batch: |x - mean|² plus the cluster's own spread."""
+    place = {g["own"]: c for c, g in enumerate(groups)}
+    n = np.array([g["n"] for g in groups], dtype=float)
+    means = np.array([[g[v] for v in values] for g in groups]) / n[:, None]
+    spread = np.array([g["q"] for g in groups]) / n - (means * means).sum(axis=1)
+
+    def partial(batches):
+        summed, counted = 0.0, 0
+        for batch in batches:
+            own = batch["own"].map(place).to_numpy()
+            mean_distance = squared_distances(batch[values].to_numpy(dtype=float), means) + spread
+            at = (np.arange(len(own)), own)
+            alone = n[own] == 1
+            a = mean_distance[at] * n[own] / np.where(alone, 1.0, n[own] - 1)
+            mean_distance[at] = np.inf
+            b = mean_distance.min(axis=1)
+            greater = np.maximum(a, b)
+            used = ~alone & (greater > 0)
+            summed += ((b - a)[used] / greater[used]).sum()
+            counted += int(used.sum())
+        yield pd.DataFrame({"s": [summed], "n": [counted]})
+
+    rows = centred.mapInPandas(partial, "s double, n long")
+    return rows.selectExpr("try_divide(sum(s), sum(n)) AS s").first()["s"]
 
 
 def _weighted_average(scored: DataFrame) -> float | None:
-    known = scored.where("s IS NOT NULL")
-    return known.agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum("w")).alias("s")).first()["s"]
+    """Average silhouette of (w, a, b) rows; a row without one counts for nothing."""
+    value = "IF(a IS NULL, NULL, try_divide(b - a, greatest(a, b)))"
+    valued = scored.selectExpr("w", f"{value} AS s")
+    return valued.selectExpr("try_divide(sum(w * s), sum(IF(s IS NULL, NULL, w))) AS s").first()["s"]

@@ -37,8 +37,8 @@ def brute(rows, x, multivariate):
 @pytest.mark.parametrize("in_batches", [False, True])
 def test_scores_match_brute_force(points, multivariate, in_batches, monkeypatch):
     if in_batches:
-        monkeypatch.setattr(scores, "EXPRESSION_TERMS", 0)
-        monkeypatch.setattr(moments, "EXPRESSION_COLUMNS", 0)
+        monkeypatch.setattr(scores, "QUADRATIC_TERMS", 0)
+        monkeypatch.setattr(moments, "EXPRESSION_PAIRS", 0)
     model = fit_gaussian(points, ["a", "b"], "y", multivariate)
     rows = model.transform(points).toPandas().sort_values("id", ignore_index=True)
     expected = brute(rows, ["a", "b"], multivariate)
@@ -54,7 +54,7 @@ def test_scores_match_brute_force(points, multivariate, in_batches, monkeypatch)
 def test_missing_feature_has_no_prediction(points, spark, in_batches, monkeypatch):
     model = fit_gaussian(points, ["a", "b"], "y")
     if in_batches:
-        monkeypatch.setattr(scores, "EXPRESSION_TERMS", 0)
+        monkeypatch.setattr(scores, "QUADRATIC_TERMS", 0)
     row = model.transform(spark.createDataFrame([(None, 1.0)], "a double, b double")).first()
     assert row.y_prediction is None and row.probability is None
 

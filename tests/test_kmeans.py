@@ -92,7 +92,7 @@ def brute_silhouette(x, j, squared=False):
 
 
 @pytest.mark.parametrize("block_rows", [7, 2048])
-def test_silhouettes_match_brute_force(points, spark, block_rows):
+def test_silhouettes_match_brute_force(points, spark, block_rows, monkeypatch):
     rows = points.toPandas()[["a", "b"]]
     rows["j"] = np.where(rows["a"] > 9, 5, np.where(rows["a"] > 3, 2, 9))
     rows.loc[len(rows)] = [99.0, 99.0, 77]
@@ -100,6 +100,8 @@ def test_silhouettes_match_brute_force(points, spark, block_rows):
     x, j = rows[["a", "b"]].to_numpy(), rows["j"].to_numpy()
     assert np.isclose(euclidean_silhouette(frame, ["a", "b"], "j", block_rows), brute_silhouette(x, j))
     assert np.isclose(squared_silhouette(frame, ["a", "b"], "j"), brute_silhouette(x, j, squared=True))
+    monkeypatch.setattr(scores, "EXPRESSION_TERMS", 0)
+    assert np.isclose(squared_silhouette(frame, ["a", "b"], "j"), brute_silhouette(x, j, squared=True))
 
 
 def test_best_k_and_saved_models(points, spark, tmp_path):
