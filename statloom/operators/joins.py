@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from statloom.session import known, small_frame
+from statloom.session import known, quoted, small_frame
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
 HOT_KEYS = 512
 
 
-def has_at_most(df: DataFrame, limit: int) -> bool:
-    """Whether `df` has no more than `limit` rows, reading no further than that."""
-    return df.limit(limit + 1).count() <= limit
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` has no more than `rows` rows and about `size` bytes, reading no further than that."""
+    width = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        value = F.col(quoted(field.name))
+        if isinstance(field.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            width = width + 32 * F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0))
+        width = width + 16
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return found["n"] <= rows and found["b"] <= size
 
 
 def lookup_join(
@@ -31,7 +42,7 @@ def lookup_join(
     entries are broadcast, and no key left in the shuffle holds more than
     1/hot_keys of the rows.
     """
-    if has_at_most(table, broadcast_rows):
+    if fits_broadcast(table, broadcast_rows):
         return rows.join(F.broadcast(table), keys, "left")
 
     counted = rows.where(known(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))

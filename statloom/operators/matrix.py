@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statloom import session
 from statloom.functions.scores import EXPRESSION_TERMS, linear
-from statloom.operators.joins import BROADCAST_ROWS, has_at_most
+from statloom.operators.joins import BROADCAST_ROWS, fits_broadcast
 from statloom.session import as_frame, bounded_rows, number, quoted, small_frame
 
 MAX_MATRIX_COLUMNS = 4_000
@@ -90,7 +90,7 @@ def multiply_coordinates(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     left = a.groupBy("i", "k").agg(F.sum("v").alias("va"))
     right = b.groupBy("k", "j").agg(F.sum("v").alias("vb"))
-    if has_at_most(right, BROADCAST_ROWS):
+    if fits_broadcast(right, BROADCAST_ROWS):
         right = F.broadcast(right)
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
 

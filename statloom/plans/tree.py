@@ -37,6 +37,7 @@ EXPRESSION_NODES = 128
 EXPRESSION_DEPTH = 24
 MAX_CLASSES = 1_000
 MI_DIGITS = 10
+BROADCAST_NUMBERS = 2_000_000
 PREDICTION = "prediction"
 
 
@@ -322,7 +323,7 @@ def categorical_scores(counts: DataFrame, classes: int, criterion: str, groups:
     """(node, f, x, mi, n_left, n, left, whole) of every split `= x`; `groups` bounds (node, f)."""
     names = [f"n{c}" for c in range(classes)]
     sums = counts.groupBy("node", "f").agg(*[F.expr(f"sum({v}) AS tot_{v}") for v in names])
-    if groups <= BROADCAST_ROWS:
+    if groups * classes <= BROADCAST_NUMBERS:
         joined = counts.join(F.broadcast(sums), ["node", "f"])
     else:
         joined = lookup_join(counts, sums, ["node", "f"])

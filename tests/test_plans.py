@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
 from statloom import KMeans, fit_gaussian, fit_histogram, fit_linear, grow_tree
 from statloom.operators.quantile import long_form
 
@@ -40,14 +39,6 @@ def test_scoring_moves_no_rows_and_reads_its_columns_only(scored, name):
     assert "Exchange hash" not in before_lookup and "Python" not in text
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
-def test_no_query_pairs_rows_by_nested_loops(spark, name):
-    if name.startswith(("kmeans_", "tree_")) and name not in ("kmeans_assign", "tree_counts", "tree_numeric_scores"):
-        pytest.skip("fits before it returns parameters")
-    text = plan(entry_module.queries()[name](spark, FOLDER))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-
-
 def test_unpivot_feeds_a_partial_aggregate(lines):
     text = plan(long_form(lines, ["l_quantity"]).groupBy("f", "x").agg(F.count("*")))
     assert text.index("Exchange hashpartitioning") < text.index("partial_count")

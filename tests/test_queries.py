@@ -24,7 +24,10 @@ def test_oracles_belong_to_queries():
 
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query(spark, con, name):
-    found = entry_module.queries()[name](spark, FOLDER).toPandas()
+    frame = entry_module.queries()[name](spark, FOLDER)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    found = frame.toPandas()
     if name not in ORACLES:
         assert len(found)
         return

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators.encode import apply_ordinal, number_rows, ordinal
-from statloom.operators.joins import lookup_join
+from statloom.operators.joins import fits_broadcast, lookup_join
 from statloom.operators.quantile import Bucket, equal_frequency_buckets, equal_width, quantise, value_ranks
 from statloom.operators.split import bernoulli_split, complement, exact_split, set_complement
 from statloom.session import small_frame
@@ -79,6 +79,13 @@ def test_lookup_join_with_hot_and_missing_keys(spark):
         assert sorted(map(str, found.select("id", "k", "m", "w").collect())) == expected
 
 
+def test_broadcast_needs_few_rows_and_few_bytes(spark):
+    frame = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array("id", "id").alias("pair"))
+    assert fits_broadcast(frame) and fits_broadcast(frame, 100)
+    assert not fits_broadcast(frame, 99) and not fits_broadcast(frame, 100, 90_000)
+    assert fits_broadcast(frame.limit(0), 0, 0)
+
+
 def test_ties_share_a_bucket(spark):
     frame = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,)], "x double")
     buckets = equal_frequency_buckets(frame, ["x"], 3)
