@@ -27,9 +27,9 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _label_means(spark: SparkSession, d: str) -> DataFrame:
-    """One row per label (id), one column per component."""
-    means = _wide(spark, d).groupBy("label").agg(*[F.avg(c).alias(c) for c in COMPONENTS])
-    return means.withColumnRenamed("label", "id")
+    """One row per label (id), one column per component; read more than once below."""
+    means = _wide(spark, d).groupBy("label").agg(*[F.expr(f"avg({c}) AS {c}") for c in COMPONENTS])
+    return means.withColumnRenamed("label", "id").persist()
 
 
 def product(spark: SparkSession, d: str) -> DataFrame:

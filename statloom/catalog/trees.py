@@ -130,7 +130,7 @@ def many_valued(spark: SparkSession, d: str) -> DataFrame:
 def stopped_early(spark: SparkSession, d: str) -> DataFrame:
     """Part types by brand and size until the stopping rules hold; rows per leaf class."""
     part = load(spark, d, "part")
-    model = grow_tree(part, "p_type", ["p_size"], ["p_brand"], max_samples=200, max_mutual_inf=0.0005)
+    model = grow_tree(part, "p_type", ["p_size"], ["p_brand"], max_samples=200, max_mutual_inf=0.0005, max_depth=8)
     return model.transform(part).groupBy("p_type", "prediction").agg(F.count("*").alias("n"))
 
 
