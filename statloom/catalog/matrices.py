@@ -11,6 +11,7 @@ from statloom.operators.matrix import (
     multiply_coordinates,
     multiply_matrices,
     to_coordinates,
+    to_wide,
     transpose,
     transpose_coordinates,
 )
@@ -28,8 +29,9 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 def _label_means(spark: SparkSession, d: str) -> DataFrame:
     """One row per label (id), one column per component; read more than once below."""
-    means = _wide(spark, d).groupBy("label").agg(*[F.expr(f"avg({c}) AS {c}") for c in COMPONENTS])
-    return means.withColumnRenamed("label", "id").persist()
+    cells = load(spark, d, "embeddings").select(F.col("label").alias("i"), F.posexplode("embedding").alias("k", "v"))
+    means = cells.groupBy("i", "k").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return to_wide(means, list(range(DIMENSIONS)), "id", "e").persist()
 
 
 def product(spark: SparkSession, d: str) -> DataFrame:
