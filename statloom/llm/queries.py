@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import packing
+from statloom.llm import packing, secrets
 from statloom.llm.common import load
 
 
@@ -27,6 +27,18 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, by patterns and by tests of randomness."""
+    found = secrets.find_secrets(load(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.listed("spans", secrets.KINDS[:3]), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in pieces of 1024 tokens and of smaller powers of two."""
     codec = bpe_codec.ByteBpe.from_merges(public_tokenizers.path("byte_bpe_50k.json"))
@@ -38,6 +50,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op7_secrets": op7_secrets,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
