@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import packing, secrets
+from statloom.llm import html, packing, secrets
 from statloom.llm.common import load
 
 
@@ -39,6 +39,12 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = load(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in pieces of 1024 tokens and of smaller powers of two."""
     codec = bpe_codec.ByteBpe.from_merges(public_tokenizers.path("byte_bpe_50k.json"))
@@ -51,6 +57,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op7_secrets": op7_secrets,
+    "op8_html_main_text": op8_html_main_text,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
