@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import mixed, row_slices, text_bytes, worker_store
+from statloom.llm.common import long_texts, mixed, row_slices, text_bytes, worker_store
 
 LETTER, NUMBER, OTHER, LAST_BLANK, LAST_WHITE, WHITE, SHORT, LONG = range(8)
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
@@ -44,11 +44,11 @@ TWO_LETTERS = ("re", "ve", "ll")
 #: Symbols scanned one after another, for all rows of symbols at once.
 SPAN = 256
 #: Different pieces that a worker remembers.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: Bytes of a piece that is merged side by side with others; longer ones are merged alone.
 LANES = 32
 #: Bytes of text encoded at a time.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 
 
 def step(state: int, symbol: int) -> tuple[int, bool]:
@@ -170,8 +170,6 @@ class Vocabulary:
     NONE = np.int64(1 << 40)
 
     def __init__(self, tokens: list[bytes], pairs: dict[tuple[int, int], int], whole: dict[bytes, int] | None) -> None:
-        self.tokens = tokens
-        self.pairs = pairs
         self.whole = whole or {}
         self.byte_ids = np.zeros(256, np.int64)
         for i, token in enumerate(tokens):
@@ -225,6 +223,23 @@ class Vocabulary:
                 break
         return out
 
+    def rank(self, left: int, right: int) -> int | None:
+        """The rank of one pair."""
+        key = (left << 32) | right
+        x = key ^ (key >> 30)
+        x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+        slot = (x ^ (x >> 31)) & self.mask
+        for _ in range(self.reach):
+            value = self.values[slot]
+            if value == self.NONE:
+                return None
+            if self.keys[slot] == key:
+                return int(value)
+            slot = (slot + 1) & self.mask
+        return None
+
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in a row, and how many each has.
 
@@ -272,11 +287,11 @@ class Vocabulary:
 
     def merge_long(self, piece: bytes) -> list[int]:
         """One piece of any length, with a heap of pairs and linked parts."""
-        n, get = len(piece), self.pairs.get
+        n, get = len(piece), self.rank
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get((a, b))) is not None]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := get(a, b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -286,7 +301,7 @@ class Vocabulary:
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n and (r := get((ids[left], ids[right]))) is not None:
+                if left >= 0 and right < n and (r := get(ids[left], ids[right])) is not None:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
             if k < n:
                 before[k] = i
@@ -363,23 +378,28 @@ class ByteBpe:
         return cls({raw[t]: i for t, i in ids.items() if t in raw}, [(raw[a], raw[b]) for a, b in merges], added)
 
     def open(self) -> tuple[Scanner, Vocabulary]:
-        """Tables of the vocabulary, built once in each worker."""
+        """What encoding needs, built once in each worker."""
         store = worker_store("bpe")
         if "scanner" not in store:
             store["scanner"] = Scanner()
         if self.key not in store:
-            ids, merges, special = pickle.loads(self.source)
-            tokens = [b""] * (max([*ids.values(), *special.values()], default=-1) + 1)
-            for token, i in [*ids.items(), *((text.encode(), i) for text, i in special.items())]:
-                tokens[i] = token
+            ids, merges, _ = pickle.loads(self.source)
             if merges is None:
                 splits = ((t[:k], t[k:], i) for t, i in ids.items() for k in range(1, len(t)))
                 pairs = {(ids[a], ids[b]): i for a, b, i in splits if a in ids and b in ids}
             else:
                 pairs = {(ids[a], ids[b]): ids[a + b] for a, b in merges}
-            store[self.key] = Vocabulary(tokens, pairs, ids if merges is None else None)
+            store[self.key] = Vocabulary(self.tokens(), pairs, ids if merges is None else None)
         return store["scanner"], store[self.key]
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id, all that decoding needs."""
+        ids, _, special = pickle.loads(self.source)
+        out = [b""] * (max([*ids.values(), *special.values()], default=-1) + 1)
+        for token, i in [*ids.items(), *((text.encode(), i) for text, i in special.items())]:
+            out[i] = token
+        return out
+
     def encode_slice(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit words."""
         scanner, vocabulary = self.open()
@@ -491,7 +511,7 @@ def encode(df: DataFrame, bpe: ByteBpe, text: str = "text", ids: str = "ids", of
                     columns.append(pa.array([_token_starts(x, lengths) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *[n for n, _ in added]])
 
-    return df.mapInArrow(run, _out(df, *added))
+    return long_texts(df).mapInArrow(run, _out(df, *added))
 
 
 def _token_starts(ids: bytes, lengths: np.ndarray) -> bytes:
@@ -510,9 +530,9 @@ def decode(df: DataFrame, bpe: ByteBpe, ids: str = "ids", offsets: str | None =
     at = df.columns.index(offsets) if offsets else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = bpe.open()[1]
-        lengths = vocabulary.lengths
-        blob = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
+        tokens = bpe.tokens()
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        blob = np.frombuffer(b"".join(tokens), np.uint8)
         homes = np.cumsum(lengths) - lengths
         for batch in batches:
             data, starts = text_bytes(batch.column(place))
@@ -534,7 +554,7 @@ def decode(df: DataFrame, bpe: ByteBpe, ids: str = "ids", offsets: str | None =
                 columns = [*batch.slice(a, b - a).columns, pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, decoded])
 
-    return df.mapInArrow(run, _out(df, (decoded, T.BinaryType())))
+    return long_texts(df).mapInArrow(run, _out(df, (decoded, T.BinaryType())))
 
 
 def token_count(ids: str) -> F.Column:

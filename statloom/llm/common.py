@@ -17,12 +17,22 @@ __all__ = ["cut_lineage", "quoted"]
 
 #: Bytes of text that a batch function works on at a time.
 SLICE_BYTES = 2 << 20
+#: Rows of a batch that holds texts.
+BATCH_ROWS = 500
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def long_texts(df: DataFrame) -> DataFrame:
+    """The same rows; batches for Python hold at most BATCH_ROWS of them from now on, as texts can be long."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def fresh(df: DataFrame | list[str], *names: str) -> list[str]:
     """Each name, with underscores in front where a column has it, whatever the case."""
     taken = {c.lower() for c in (df.columns if isinstance(df, DataFrame) else df)}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statloom.llm.bpe import ENCODED_BYTES, ByteBpe
-from statloom.llm.common import quoted, row_slices, text_bytes
+from statloom.llm.common import long_texts, quoted, row_slices, text_bytes
 
 RESULT = ("start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset")
 
@@ -69,7 +69,7 @@ def pack(
                 made = [pa.array(begins, pa.int64()), pa.array(lengths, pa.int64()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=schema.names)
 
-    return rows.mapInArrow(run, schema).select(
+    return long_texts(rows).mapInArrow(run, schema).select(
         "*",
         F.log2("length").cast("int").alias("bucket"),
         F.monotonically_increasing_id().alias("sequence_id"),
