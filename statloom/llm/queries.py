@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import html, packing, secrets
+from statloom.llm import html, packing, secrets, toxicity
 from statloom.llm.common import load
 
 
@@ -27,6 +27,23 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out(id_col: str = "doc_id") -> F.Column:
+    """Documents whose labels are not learned from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def fit_toxicity(spark: SparkSession, folder: str, documents: DataFrame) -> toxicity.ToxicityModel:
+    """Learn from the labels of rows that are not held out."""
+    return toxicity.fit(documents, load(spark, folder, "labels").where(~held_out()))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document."""
+    documents = load(spark, folder, "documents").select("doc_id", "text")
+    scored = fit_toxicity(spark, folder, documents).transform(documents)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document, by patterns and by tests of randomness."""
     found = secrets.find_secrets(load(spark, folder, "documents").select("doc_id", "text"))
@@ -56,6 +73,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_html_main_text": op8_html_main_text,
     "op9_packing": op9_packing,
