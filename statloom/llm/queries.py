@@ -9,10 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import html, packing, secrets, toxicity
+from statloom.llm import html, packing, repeats, secrets, toxicity
 from statloom.llm.common import load
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its bytes in strings of 400 bytes that occur more than once."""
+    found = repeats.remove_repeats(load(spark, folder, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to."""
     codec = bpe_codec.ByteBpe.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -72,6 +85,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
