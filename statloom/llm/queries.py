@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import html, packing, repeats, secrets, toxicity
+from statloom.llm import html, near, packing, repeats, secrets, toxicity
 from statloom.llm.common import load
 
 
@@ -40,6 +40,12 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document, by its least doc_id."""
+    found = near.near_classes(load(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "stays")
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """Documents whose labels are not learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -87,6 +93,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_html_main_text": op8_html_main_text,
