@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import html, near, packing, repeats, secrets, toxicity
+from statloom.llm import html, near, packing, repeats, secrets, toxicity, vafile, vptree
 from statloom.llm.common import load
 
 
@@ -40,6 +40,34 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors of largest whole-number inner product for every fiftieth vector."""
+    rows = load(spark, folder, "embeddings")
+    return vafile.largest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+OP4_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+        CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole q JOIN whole r ON q.vec_id <> r.vec_id AND q.vec_id % 50 = 0 AND len(q.v) = len(r.v)),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM scored)
+SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 5
+"""
+
+
+def op10_vantage_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    rows = load(spark, folder, "embeddings")
+    return vptree.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document, by its least doc_id."""
     found = near.near_classes(load(spark, folder, "documents").select("doc_id", "text"))
@@ -93,10 +121,14 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_html_main_text": op8_html_main_text,
     "op9_packing": op9_packing,
+    "op10_vantage_points": op10_vantage_points,
+}
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": OP4_SQL,
 }
-ORACLES: dict[str, str] = {}
