@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import html, near, packing, repeats, secrets, toxicity, vafile, vptree
+from statloom.llm import html, language_model, near, packing, repeats, secrets, toxicity, vafile, vptree
 from statloom.llm.common import load
 
 
@@ -26,6 +26,34 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document by the bigram model of all documents."""
+    return language_model.score(load(spark, folder, "documents"))
+
+
+OP2_SQL = """
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS ws
+    FROM documents),
+places AS (
+    SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(list_concat([NULL], ws[:-2])) AS before FROM words WHERE len(ws) > 0),
+one AS (SELECT w, count(*) AS c FROM places GROUP BY w),
+two AS (SELECT before, w, count(*) AS c FROM places WHERE before IS NOT NULL GROUP BY before, w HAVING count(*) >= 2),
+logs AS (SELECT w, CAST(round(ln(c) * 1e6) AS BIGINT) AS l FROM one),
+whole AS (SELECT CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l FROM places),
+scored AS (
+    SELECT p.r, p.before IS NOT NULL AND two.c IS NOT NULL AS found,
+        CASE WHEN two.c IS NOT NULL THEN CAST(round(ln(two.c) * 1e6) AS BIGINT) - b.l
+            WHEN p.before IS NULL THEN a.l - whole.l
+            ELSE CAST(round(ln(0.4) * 1e6) AS BIGINT) + a.l - whole.l END AS s
+    FROM places p JOIN logs a ON p.w = a.w LEFT JOIN logs b ON p.before = b.w LEFT JOIN two ON two.before = p.before AND two.w = p.w, whole),
+sums AS (SELECT r, count(*) AS n, sum(found::INT) AS f, sum(s) AS s FROM scored GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(f, 0) AS BIGINT) AS n_found,
+    CAST(coalesce(s, 0) AS BIGINT) AS score_micro, CASE WHEN n > 0 THEN CAST(s AS BIGINT) / CAST(n AS BIGINT) / 1e6::DOUBLE END AS mean_score
+FROM words LEFT JOIN sums USING (r)
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to."""
     codec = bpe_codec.ByteBpe.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -120,6 +148,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_stupid_backoff": op2_stupid_backoff,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -130,5 +159,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vantage_points": op10_vantage_points,
 }
 ORACLES: dict[str, str] = {
+    "op2_stupid_backoff": OP2_SQL,
     "op4_exact_top_k": OP4_SQL,
 }
