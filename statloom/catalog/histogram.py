@@ -91,7 +91,7 @@ _DRAW = draw_sql("o_orderkey")
 
 def _edge(name: str, column: str) -> str:
     return (
-        f"{name} AS (SELECT xq, mn, mx, n, lead(mn) OVER (ORDER BY xq) AS next_mn, min(mn) OVER () AS tmn, max(mx) OVER () AS tmx "
+        f"{name} AS (SELECT xq, mn, mx, n, lead(mn) OVER (ORDER BY xq) AS next_mn, row_number() OVER (ORDER BY xq) = 1 AS is_first "
         f"FROM (SELECT q_{column} AS xq, min({column}) AS mn, max({column}) AS mx, count(*) AS n FROM q GROUP BY q_{column}))"
     )
 
@@ -102,28 +102,28 @@ _FIT = (
     f"{_edge('ep', 'o_totalprice')}, {_edge('ec', 'o_custkey')}, "
     "cells AS (SELECT o_orderstatus AS y, q_o_totalprice, q_o_custkey, o_orderpriority, count(*) AS nxy FROM q GROUP BY ALL), "
     "ny AS (SELECT y, CAST(sum(nxy) AS BIGINT) AS n_y FROM cells GROUP BY y), "
-    "nn AS (SELECT CAST(sum(nxy) AS BIGINT) AS n__ FROM cells)"
+    "nn AS (SELECT CAST(sum(nxy) AS BIGINT) AS n_all FROM cells)"
 )
 
 
-def _range_join(edge: str, column: str) -> str:
-    return (
-        f"JOIN {edge} ON ({edge}.next_mn > {column} OR {edge}.mx = {edge}.tmx) AND ({edge}.mn <= {column} OR {edge}.mn = {edge}.tmn)"
-    )
+def _bucket_of(edge: str, column: str) -> str:
+    """The last bucket that begins at or below the value, else the first bucket."""
+    begun = f"SELECT max_by(xq, mn) FROM {edge} WHERE mn <= {column}"
+    return f"coalesce(({begun}), (SELECT xq FROM {edge} WHERE is_first))"
 
 
 _PLACED = (
-    f"{_FIT}, e AS (SELECT r.*, ep.xq AS q_o_totalprice, ec.xq AS q_o_custkey FROM r "
-    f"{_range_join('ep', 'r.o_totalprice')} {_range_join('ec', 'r.o_custkey')}), "
+    f"{_FIT}, e AS (SELECT r.*, {_bucket_of('ep', 'r.o_totalprice')} AS q_o_totalprice, "
+    f"{_bucket_of('ec', 'r.o_custkey')} AS q_o_custkey FROM r), "
     "best AS (SELECT * FROM cells QUALIFY row_number() OVER "
     "(PARTITION BY q_o_totalprice, q_o_custkey, o_orderpriority ORDER BY nxy DESC, y) = 1), "
     "major AS (SELECT y AS majority FROM ny ORDER BY n_y DESC, y LIMIT 1), "
-    "p AS (SELECT o_orderkey, o_orderstatus, coalesce(y, majority) AS prediction, nxy / n__ AS measure, y IS NOT NULL AS matched "
+    "p AS (SELECT o_orderkey, o_orderstatus, coalesce(y, majority) AS prediction, nxy / n_all AS measure, y IS NOT NULL AS matched "
     "FROM e LEFT JOIN best USING (q_o_totalprice, q_o_custkey, o_orderpriority), nn, major)"
 )
 _ENDS = "mn, coalesce(next_mn, mx) AS mx, round((mn + coalesce(next_mn, mx)) / 2, 4) AS x_, "
 _LABEL = "xq || ': ]' || mn || ',' || coalesce(next_mn, mx) || ']' AS bin, "
-_SHARES = "round(n / n__, 10) AS p, round(n / n_y, 10) AS p_given_y"
+_SHARES = "round(n / n_all, 10) AS p, round(n / n_y, 10) AS p_given_y"
 
 _NUM, _CAT, _RANK_BINS = RANKED["lineitem"]
 _PAIRS = " UNION ALL ".join(
@@ -131,7 +131,14 @@ _PAIRS = " UNION ALL ".join(
     + [f"SELECT '{c}', {c}, l_returnflag FROM lineitem" for c in _CAT]
 )
 
+def named_like_helpers(spark: SparkSession, d: str) -> DataFrame:
+    """Columns whose names look like those of helper columns stay."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("_value_0"), F.col("o_custkey").alias("_index_0"))
+    return quantise(orders, equal_frequency_buckets(orders, ["o_totalprice"], BINS), {"o_totalprice": "q"}).drop("o_totalprice")
+
+
 QUERIES = {
+    "quantise_taken_names": named_like_helpers,
     "quantise_equal_frequency": equal_frequency,
     "quantise_equal_width": equal_widths,
     "histogram_edges": edges,
@@ -146,6 +153,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "quantise_taken_names": f"SELECT o_orderkey, o_orderpriority AS _value_0, o_custkey AS _index_0, {_bucket('o_totalprice')} AS q FROM orders",
     "quantise_equal_frequency": f"SELECT o_orderkey, {_bucket('o_totalprice')} AS q_o_totalprice, {_bucket('o_custkey')} AS q_o_custkey FROM orders",
     "quantise_equal_width": "SELECT o_orderkey, "
     + ", ".join(
@@ -157,18 +165,18 @@ ORACLES = {
     "histogram_edges": f"WITH {_FIT} "
     + " UNION ALL ".join(
         f"SELECT '{c}' AS f, xq, CAST(mn AS DOUBLE) AS mn, CAST(mx AS DOUBLE) AS mx, CAST(next_mn AS DOUBLE) AS next_mn, "
-        f"CAST(tmn AS DOUBLE) AS tmn, CAST(tmx AS DOUBLE) AS tmx, n FROM {e}"
+        f"CAST(min(mn) OVER () AS DOUBLE) AS first_mn, CAST(max(mx) OVER () AS DOUBLE) AS last_mx, n FROM {e}"
         for c, e in (("o_totalprice", "ep"), ("o_custkey", "ec"))
     ),
     "histogram_contingency": (
-        f"WITH {_FIT} SELECT y, q_o_totalprice, q_o_custkey, o_orderpriority, nxy, n_y, n__, "
+        f"WITH {_FIT} SELECT y, q_o_totalprice, q_o_custkey, o_orderpriority, nxy, n_y, n_all, "
         "ep.mn AS o_totalprice_mn, coalesce(ep.next_mn, ep.mx) AS o_totalprice_mx, "
         "CAST(ec.mn AS DOUBLE) AS o_custkey_mn, CAST(coalesce(ec.next_mn, ec.mx) AS DOUBLE) AS o_custkey_mx "
         "FROM cells JOIN ny USING (y) JOIN ep ON q_o_totalprice = ep.xq JOIN ec ON q_o_custkey = ec.xq, nn"
     ),
     "histogram_predict": f"WITH {_PLACED} SELECT o_orderkey, prediction, round(measure, 12) AS measure, matched FROM p",
     "histogram_density": (
-        f"WITH {_PLACED} SELECT o_orderkey, y AS y_, round(nxy / n__, 12) AS measure "
+        f"WITH {_PLACED} SELECT o_orderkey, y AS y_, round(nxy / n_all, 12) AS measure "
         "FROM e LEFT JOIN cells USING (q_o_totalprice, q_o_custkey, o_orderpriority), nn"
     ),
     "histogram_accuracy": (

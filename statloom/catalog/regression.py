@@ -35,6 +35,18 @@ def coefficients_three(spark: SparkSession, d: str) -> DataFrame:
     return _coefficients(spark, fit_linear(load(spark, d, "lineitem"), THREE, "l_extendedprice"), 4)
 
 
+def large_keys(spark: SparkSession, d: str) -> DataFrame:
+    """A regressor of some 10**8 with a small spread: price by a long order key."""
+    lines = load(spark, d, "lineitem").withColumn("x", F.col("l_orderkey") * 1000 + 600_000_000)
+    return _coefficients(spark, fit_linear(lines, ["x"], "l_extendedprice"), 7)
+
+
+def epoch_seconds(spark: SparkSession, d: str) -> DataFrame:
+    """A regressor of some 10**9: price by the second of the ship date."""
+    lines = load(spark, d, "lineitem").withColumn("x", F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
+    return _coefficients(spark, fit_linear(lines, ["x"], "l_extendedprice"), 7)
+
+
 def predict(spark: SparkSession, d: str) -> DataFrame:
     part = load(spark, d, "part")
     scored = fit_linear(part, PART_X, "p_retailprice").transform(part)
@@ -116,10 +128,22 @@ _GROUPS = (
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
+def _one_regressor(x: str, digits: int) -> str:
+    """Centred before it is summed, so that large values cost no digits."""
+    return (
+        f"WITH v AS (SELECT {x} AS x, l_extendedprice AS y FROM lineitem), a AS (SELECT avg(x) AS ax, avg(y) AS ay FROM v), "
+        "b AS (SELECT sum((x - ax) * (y - ay)) / sum((x - ax) * (x - ax)) AS b, any_value(ax) AS ax, any_value(ay) AS ay FROM v, a) "
+        f"SELECT CAST(0 AS INT) AS position, 'intercept' AS name, round(ay - b * ax, {digits}) AS value FROM b UNION ALL "
+        f"SELECT CAST(1 AS INT), 'x', round(b, {digits}) FROM b"
+    )
+
+
 QUERIES = {
     "linreg_simple": simple,
     "linreg_coefficients": coefficients,
     "linreg_coefficients_three": coefficients_three,
+    "linreg_large_keys": large_keys,
+    "linreg_epoch_seconds": epoch_seconds,
     "linreg_predict": predict,
     "linreg_r2": score,
     "linreg_one_hot_coefficients": one_hot_coefficients,
@@ -142,6 +166,8 @@ ORACLES = {
         f"WITH {_covariances('lineitem', THREE, 'l_extendedprice')}, {_three()} "
         + _rows(["intercept", *THREE], ["ay - b1 * a1 - b2 * a2 - b3 * a3", "b1", "b2", "b3"], 4)
     ),
+    "linreg_large_keys": _one_regressor("CAST(l_orderkey * 1000 + 600000000 AS DOUBLE)", 7),
+    "linreg_epoch_seconds": _one_regressor("CAST(epoch(l_shipdate) AS DOUBLE)", 7),
     "linreg_predict": (
         f"WITH {_covariances('part', PART_X, 'p_retailprice')}, {_TWO} "
         "SELECT p_partkey, round(ay + b1 * (p_partkey - a1) + b2 * (p_size - a2), 6) AS y_prediction FROM part, b"

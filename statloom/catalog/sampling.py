@@ -31,6 +31,29 @@ def exact(spark: SparkSession, d: str) -> DataFrame:
     return _halves(*exact_split(load(spark, d, "orders"), "o_orderkey", 0.8, 1, "md5"), "o_orderkey")
 
 
+def _scattered(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by an id that is NULL for every tenth customer and repeats else."""
+    customer = F.col("o_custkey") % 1000
+    return load(spark, d, "orders").select(F.when(customer % 10 != 0, customer).alias("id"), "o_orderkey")
+
+
+def bernoulli_scattered(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without an id, or with one that repeats, are in one half each."""
+    return _halves(*bernoulli_split(_scattered(spark, d), 0.8, 1, "id", "md5"), "o_orderkey")
+
+
+def exact_scattered(spark: SparkSession, d: str) -> DataFrame:
+    """The halves have their exact sizes and hold every row once, whatever the ids."""
+    both = _halves(*exact_split(_scattered(spark, d), "id", 0.8, 1, "md5"), "o_orderkey")
+    return both.groupBy("part").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("orders"))
+
+
+def complement_scattered(spark: SparkSession, d: str) -> DataFrame:
+    """Rows without an id are part of the part, so none is left."""
+    rows = _scattered(spark, d)
+    return complement(rows, rows.where("id IS NULL OR id < 500"), "id").select("id", "o_orderkey")
+
+
 def by_id(spark: SparkSession, d: str) -> DataFrame:
     """Orders outside the training part, by id."""
     orders = load(spark, d, "orders")
@@ -111,6 +134,9 @@ QUERIES = {
     "split_bernoulli": bernoulli,
     "split_bernoulli_fast": bernoulli_fast,
     "split_exact": exact,
+    "split_bernoulli_scattered_ids": bernoulli_scattered,
+    "split_exact_scattered_ids": exact_scattered,
+    "complement_scattered_ids": complement_scattered,
     "complement_by_id": by_id,
     "complement_by_set": by_set,
     "ordinal_encode": ordinal_few,
@@ -131,6 +157,17 @@ ORACLES = {
         f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_DRAW}, o_orderkey) AS i, count(*) OVER () AS n FROM orders) "
         "SELECT o_orderkey, CASE WHEN i <= round(n * 0.8) THEN 'train' ELSE 'eval' END AS part FROM r"
     ),
+    "split_bernoulli_scattered_ids": (
+        f"WITH s AS (SELECT CASE WHEN o_custkey % 10 <> 0 THEN o_custkey % 1000 END AS id, o_orderkey FROM orders) "
+        f"SELECT o_orderkey, CASE WHEN {draw_sql("coalesce(id::VARCHAR, '')")} < 0.8 THEN 'train' ELSE 'eval' END AS part FROM s"
+    ),
+    "split_exact_scattered_ids": (
+        "WITH n AS (SELECT count(*) AS n, CAST(round(count(*) * 0.8) AS BIGINT) AS k FROM orders) "
+        "SELECT 'train' AS part, k AS n, k AS orders FROM n UNION ALL SELECT 'eval', n - k, n - k FROM n"
+    ),
+    "complement_scattered_ids": (
+        "SELECT o_custkey % 1000 AS id, o_orderkey FROM orders WHERE o_custkey % 10 <> 0 AND o_custkey % 1000 >= 500"
+    ),
     "complement_by_id": f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_DRAW} >= 0.8",
     "complement_by_set": f"WITH {_TRAIN} SELECT o_custkey, o_orderstatus FROM orders EXCEPT SELECT o_custkey, o_orderstatus FROM t",
     "ordinal_encode": "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INT) AS code FROM orders",

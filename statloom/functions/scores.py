@@ -158,6 +158,21 @@ def _batch_scores(classes: list[dict]):
     return score
 
 
+def batch_distances(values: list[str], classes: list[dict]) -> Column:
+    """Array of (x - mean)' precision (x - mean), one entry per class; NULL when a feature is NULL."""
+    means = np.array([c["mean"] for c in classes])
+    precisions = np.array([c["precision"] for c in classes])
+
+    @F.pandas_udf("array<double>")
+    def every(points: pd.Series) -> pd.Series:
+        x, known = _matrix(points, means.shape[1])
+        diffs = [x - m for m in means]
+        found = np.column_stack([((d @ p) * d).sum(axis=1) for d, p in zip(diffs, precisions)])
+        return pd.Series([row if ok else None for row, ok in zip(found, known)], dtype=object)
+
+    return every(F.expr(f"array({', '.join(values)})"))
+
+
 def xlog2x(value: str) -> str:
     """x * log2(x), 0 at x = 0."""
     return f"IF({value} > 0, {value} * log2({value}), 0D)"

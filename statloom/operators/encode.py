@@ -60,6 +60,7 @@ def ordinal(df: DataFrame, columns: list[str], out: dict[str, str] | None = None
         c: df.select(F.col(quoted(c)).alias("level")).dropna().distinct().limit(INLINE_LEVELS + 1).collect()
         for c in columns
     }
+    names = df.columns
     for c in columns:
         if len(distinct[c]) <= INLINE_LEVELS:
             df = apply_ordinal(df, c, sorted(r.level for r in distinct[c]), out[c])
@@ -67,7 +68,7 @@ def ordinal(df: DataFrame, columns: list[str], out: dict[str, str] | None = None
             coded = ordinal_levels(df, c).select(F.col("level").alias(c), F.col("code").alias("_code"))
             joined = lookup_join(df, coded, [c]).withColumn("_code", F.col("_code").cast("int"))
             df = joined.drop(c).withColumnRenamed("_code", c) if out[c] == c else joined.withColumnRenamed("_code", out[c])
-    return df
+    return df.select(*[quoted(c) for c in names], *[quoted(out[c]) for c in columns if out[c] not in names])
 
 
 def apply_ordinal(df: DataFrame, column: str, levels: list, out: str) -> DataFrame:

@@ -20,7 +20,7 @@ MAX_GROUPS = 10_000
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as doubles, rows with a missing value left out."""
     values = [number(c) for c in columns]
-    return df.where(known(values)).select(*[v.alias(f"z{i}") for i, v in enumerate(values)])
+    return df.where(known(columns)).where(known(values)).select(*[v.alias(f"z{i}") for i, v in enumerate(values)])
 
 
 def doubles(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,8 +97,8 @@ def grouped_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool)
 def _wide_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -> list[GroupMoments]:
     """The same from matrix products per Arrow batch.
 
-    Sums are taken around the mean of some rows at hand: any origin near the
-    data keeps the differences accurate, and it cancels out in the end.
+    Sums are taken around the exact mean of each class, which an aggregate of
+    its own finds first, so large values do not swallow small variances.
     """
     d = len(columns)
     names = [f"z{i}" for i in range(d)]
@@ -106,8 +106,9 @@ def _wide_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -
         F.col(quoted(key)).alias("key"),
         *[F.col(quoted(c)).cast("double").alias(n) for c, n in zip(columns, names)],
     ).where(F.col("key").isNotNull())
-    near = data.select(*names).limit(1_000).toPandas().to_numpy(dtype=float)
-    centre = np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else 0.0 for c in near.T])
+    whole = data.where(known([number(n) for n in names]))
+    means = whole.groupBy("key").agg(*[F.avg(n).alias(n) for n in names])
+    centres = {r.key: np.array([r[n] for n in names]) for r in bounded_rows(means, MAX_GROUPS, "classes")}
     pairs = (np.arange(d), np.arange(d)) if diagonal else np.triu_indices(d)
     width = 1 + d + len(pairs[0])
     schema = f"key {data.schema['key'].dataType.simpleString()}, sums array<double>"
@@ -116,8 +117,11 @@ def _wide_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -
         totals: dict[Any, np.ndarray] = {}
         for batch in batches:
             for value, group in batch.groupby("key", sort=False):
-                z = group[names].to_numpy(dtype=float) - centre
+                z = group[names].to_numpy(dtype=float)
                 z = z[~np.isnan(z).any(axis=1)]
+                if not len(z):
+                    continue
+                z = z - centres[value]
                 squares = (z * z).sum(axis=0) if diagonal else (z.T @ z)[pairs]
                 part = np.concatenate([[len(z)], z.sum(axis=0), squares])
                 totals[value] = totals.get(value, np.zeros(width)) + part
@@ -143,5 +147,5 @@ def _wide_moments(df: DataFrame, columns: list[str], key: str, diagonal: bool) -
         cov[pairs] = sums[1 + d :] / n
         cov = np.triu(cov) + np.triu(cov, 1).T
         cov -= np.diag(shift * shift) if diagonal else np.outer(shift, shift)
-        groups.append(GroupMoments(key, int(n), centre + shift, cov))
+        groups.append(GroupMoments(key, int(n), centres[key] + shift, cov))
     return groups

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.session import number, quoted, small_frame
+from statloom.session import number, quoted, small_frame, unused_names
 
 SINGLE_CHUNK_ROWS = 2_000_000
 MAX_CHUNKS = 10_000
@@ -51,9 +51,10 @@ def cut_points(df: DataFrame, columns: list[str], chunks: int) -> dict[str, list
 def bucket_index(df: DataFrame, cuts: dict[str, list[float]], out: dict[str, str]) -> DataFrame:
     """Add, per column, how many of its cut points are <= the value (NULL for NULL)."""
     searched = [c for c in cuts if cuts[c]]
+    kept = [quoted(c) for c in df.columns]
     if searched:
-        source = {c: f"_value_{i}" for i, c in enumerate(searched)}
-        target = {c: f"_index_{i}" for i, c in enumerate(searched)}
+        names = unused_names(df, [f"_{kind}_{i}" for kind in ("value", "index") for i in range(len(searched))])
+        source, target = dict(zip(searched, names)), dict(zip(searched, names[len(searched) :]))
         df = df.select("*", *[number(c).alias(source[c]) for c in searched])
         df = Bucketizer(
             inputCols=[source[c] for c in searched],
@@ -65,7 +66,6 @@ def bucket_index(df: DataFrame, cuts: dict[str, list[float]], out: dict[str, str
         F.when(number(c).isNotNull(), F.col(target[c]).cast("int") if cuts[c] else F.lit(0)).alias(out[c])
         for c in cuts
     ]
-    kept = [quoted(c) for c in df.columns if not c.startswith(("_value_", "_index_"))]
     return df.select(*kept, *columns)
 
 

@@ -88,6 +88,12 @@ class GaussianModel:
     def mahalanobis(self, df: DataFrame, label: str = "y_class", distance: str = "distance") -> DataFrame:
         """One row per input row and class, with (x - mean)' S^-1 (x - mean)."""
         df, values, helpers = self._values(df)
+        terms = [c.terms() for c in self.classes]
+        columns = [session.quoted(c) for c in df.columns if c not in helpers]
+        if not scores.has_few_terms(terms):
+            # Too many terms for generated code: distances by whole batches.
+            found = F.arrays_zip(self._labels().alias(label), scores.batch_distances(values, terms).alias(distance))
+            return df.select(*columns, F.inline(F.coalesce(found, self._no_distance(label, distance))))
         each = [
             F.struct(
                 F.lit(c.label).cast(self.label_type).alias(label),
@@ -95,9 +101,12 @@ class GaussianModel:
             )
             for c in self.classes
         ]
-        columns = [session.quoted(c) for c in df.columns if c not in helpers]
         return df.select(*columns, F.inline(F.array(*each)))
 
+    def _no_distance(self, label: str, distance: str) -> Column:
+        missing = F.lit(None).cast("double").alias(distance)
+        return F.array(*[F.struct(F.lit(c.label).cast(self.label_type).alias(label), missing) for c in self.classes])
+
     def parameter_rows(self) -> list[tuple]:
         return [
             (c.label, int(c.n), float(c.prior), x, float(c.mean[i]), float(c.cov[i, i]))

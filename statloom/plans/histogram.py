@@ -70,13 +70,13 @@ class HistogramModel:
         return [bucket_name(c) for c in self.numeric] + self.categorical
 
     def edges(self) -> DataFrame:
-        """(f, xq, mn, mx, next_mn, tmn, tmx, n): at most `bins` rows per feature."""
+        """(f, xq, mn, mx, next_mn, first_mn, last_mx, n): at most `bins` rows per feature."""
         rows = []
         for f in self.numeric:
             group = self.buckets[f]
             for b, after in zip(group, [*group[1:], None]):
                 rows.append((f, b.xq, b.mn, b.mx, after.mn if after else None, group[0].mn, group[-1].mx, b.n))
-        schema = "f string, xq int, mn double, mx double, next_mn double, tmn double, tmx double, n long"
+        schema = "f string, xq int, mn double, mx double, next_mn double, first_mn double, last_mx double, n long"
         return session.small_frame(self.spark, rows, schema)
 
     def _edges_of(self, feature: str, prefix: str = "") -> DataFrame:
@@ -94,7 +94,7 @@ class HistogramModel:
             out = out.join(F.broadcast(self._edges_of(f, f"{f}_")), bucket_name(f), "left")
         totals = session.small_frame(self.spark, self.class_counts, self._class_schema())
         out = out.join(F.broadcast(totals), F.col("y").eqNullSafe(F.col("_y")), "left").drop("_y")
-        return out.withColumn("n__", F.lit(self.rows).cast("long"))
+        return out.withColumn("n_all", F.lit(self.rows).cast("long"))
 
     def _class_schema(self) -> str:
         return f"_y {self.cells.schema['y'].dataType.simpleString()}, n_y long"
@@ -191,12 +191,12 @@ def fit_histogram(
 ) -> HistogramModel:
     """Quantise by exact equal-frequency edges and count per cell and class.
 
-    Rows without a value in a numeric feature are left out; without a feature
-    list every numeric column but the target is used.
+    Rows without a value in a numeric feature or in the target are left out;
+    without a feature list every numeric column but the target is used.
     """
     if numeric is None:
         numeric = session.split_features(df, [target])[0]
-    known = df.where(session.known([session.number(c) for c in numeric]))
+    known = df.where(F.col(session.quoted(target)).isNotNull()).where(session.known([session.number(c) for c in numeric]))
     buckets = equal_frequency_buckets(known, numeric, bins)
     coded = quantise(known, buckets, {c: bucket_name(c) for c in numeric})
     keys = [bucket_name(c) for c in numeric] + categorical
@@ -207,7 +207,7 @@ def fit_histogram(
         .persist()
     )
     by_class = session.bounded_rows(cells.groupBy("y").agg(F.sum("nxy").alias("n")), MAX_GROUPS, "classes")
-    counts = sorted(((r.y, r.n) for r in by_class), key=lambda c: (c[0] is None, c[0] if c[0] is not None else 0))
+    counts = sorted((r.y, r.n) for r in by_class)
     return HistogramModel(numeric, list(categorical), target, bins, buckets, cells, counts, df.sparkSession)
 
 

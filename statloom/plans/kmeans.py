@@ -126,7 +126,7 @@ class KMeansModel:
                 self.variance, moved = self._step(data)
                 self.assigned_by = self.centroids
                 self.steps += 1
-                session.logger.info("step %d: variance=%s", self.steps, self.variance)
+                session.logger.info("k-means: %d steps done, variance now %s", self.steps, self.variance)
                 if last is not None and abs(self.variance - last) <= ROUNDING * abs(last):
                     break
                 last, self.centroids = self.variance, moved
@@ -351,7 +351,7 @@ class KMeans:
             model = self.create_model(table, feature_names, k, f"{model_identifier}_k{k}", normalization, start, seed)
             value = model.estimate(max_steps).get_silhouette_avg(metric)
             self.silhouettes[k] = value
-            session.logger.info("result for k=%d: %s", k, value)
+            session.logger.info("k-means with %d clusters scores %s", k, value)
             if value is not None and (best_value is None or value > best_value):
                 best, best_value = model, value
         return best

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from statloom import session
 from statloom.functions import metrics, scores
 from statloom.operators.encode import category_levels, one_hot, one_hot_name
-from statloom.operators.moments import gram
+from statloom.operators.moments import complete, gram
 from statloom.sources.registry import DEFAULT_ID, ModelRegistry
 
 PREDICTION = "y_prediction"
@@ -58,7 +58,7 @@ class LinearModel:
 def fit_linear(
     df: DataFrame, x_columns: list[str], y_column: str, encode: bool = False, drop_first: bool = False
 ) -> LinearModel:
-    """One aggregate of products, then a small least-squares solve.
+    """Means and deviations, one aggregate of centred products, then a small least-squares solve.
 
     Rows with a missing value are left out as a whole; a singular system gets
     its minimum-norm answer.
@@ -75,13 +75,43 @@ def fit_linear(
             features += [one_hot_name(c, v) for v in (levels[c][1:] if drop_first else levels[c])]
         else:
             features.append(c)
-    sums = gram(df, [*features, y_column])
-    if sums[0, 0] == 0:
-        raise ValueError("no complete rows to fit")
-    theta = np.linalg.lstsq(sums[:-1, :-1], sums[:-1, -1], rcond=None)[0]
+    theta = _least_squares(df, features, y_column)
     return LinearModel(list(x_columns), y_column, features, [float(t) for t in theta], levels, drop_first)
 
 
+def _least_squares(df: DataFrame, features: list[str], y_column: str) -> np.ndarray:
+    """Intercept and slopes of least squares; of all answers of a singular system the one of least norm.
+
+    Products are summed of columns that are centred by their means and scaled by
+    their deviations, so neither large offsets nor unequal units cost digits.
+    """
+    columns = [*features, y_column]
+    data = complete(df, columns)
+    names = data.columns
+    row = data.agg(F.count("*"), *[F.avg(z) for z in names], *[F.stddev_pop(z) for z in names]).first()
+    if not row[0]:
+        raise ValueError("no complete rows to fit")
+    mean = np.array(row[1 : 1 + len(names)], dtype=float)
+    scale = np.array(row[1 + len(names) :], dtype=float)
+    # What is left of a constant column after centring is rounding.
+    constant = scale <= 1e-14 * np.abs(mean)
+    scale = np.where(constant | (scale == 0), 1.0, scale)
+    centred = data.select(*[((F.col(z) - F.lit(float(m))) / F.lit(float(s))).alias(z) for z, m, s in zip(names, mean, scale)])
+    sums = gram(centred, names)[1:, 1:] / row[0]
+    sums[constant, :] = sums[:, constant] = 0.0
+    values, vectors = np.linalg.eigh(sums[:-1, :-1])
+    open_ = values > max(values.max(initial=0.0), 0.0) * len(features) * 1e-12
+    slopes = vectors[:, open_] @ ((vectors[:, open_].T @ sums[:-1, -1]) / values[open_])
+    slopes = slopes * scale[-1] / scale[:-1]
+    theta = np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
+    free = vectors[:, ~open_] / scale[:-1, None]
+    if free.size:
+        # Directions that change no fitted value, with the intercept they need.
+        free = np.vstack([-(mean[:-1] @ free), free])
+        theta = theta - free @ np.linalg.lstsq(free, theta, rcond=None)[0]
+    return theta
+
+
 class LinearRegression:
     """Estimate, predict and score, with named saved models."""
 

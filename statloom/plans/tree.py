@@ -169,17 +169,17 @@ class TreeModel:
     def case_text(self) -> str:
         """The tree as SQL text: one WHEN per leaf."""
         lines = ["CASE"]
-        pending = deque([(self.nodes[1], ["1=1"])])
+        pending = deque([(self.nodes[1], [])])
         while pending:
             node, path = pending.popleft()
             if node.is_leaf:
-                lines.append(f"WHEN {' AND '.join(path)} THEN {_literal(self.predicted(node))}")
+                lines.append(f"WHEN {' AND '.join(path) or 'TRUE'} THEN {_literal(self.predicted(node))}")
                 continue
             name = session.quoted(node.feature)
             if node.categorical:
                 test = f"{name} = {_literal(node.level)}"
             else:
-                test = f"{name} <= {_literal(node.threshold)}"
+                test = f"{session.number_sql(node.feature)} <= {_literal(node.threshold)}"
             test = f"coalesce({test}, {str(node.null_left).lower()})"
             pending.append((self.nodes[node.left], [*path, test]))
             pending.append((self.nodes[node.right], [*path, f"NOT {test}"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import os
 import tempfile
 from functools import reduce
@@ -84,7 +85,11 @@ def number_sql(column: str) -> str:
 
 
 def literal_sql(value: float) -> str:
-    """A number as an exact DOUBLE literal."""
+    """A number as an exact DOUBLE literal; NaN stands for a missing value."""
+    if math.isnan(value):
+        return "CAST(NULL AS DOUBLE)"
+    if math.isinf(value):
+        return f"CAST('{'-' if value < 0 else ''}Infinity' AS DOUBLE)"
     return f"({float(value)!r}D)"
 
 
@@ -103,6 +108,17 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused_names(df: DataFrame, names: list[str]) -> list[str]:
+    """The names, with underscores in front of those that columns of `df` have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def is_categorical(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
 
