@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +53,38 @@ def worker_store(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+class Scratch:
+    """Tables below the folder of `spark.checkpoint.dir`, to cut lineage.
+
+    Unlike a checkpoint, a table's size is known to the planner; estimates of a
+    plan that a loop goes on with would multiply at each join.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="statloom-checkpoint-"))
+            folder = spark.sparkContext.getCheckpointDir()
+        self.folder = folder.rstrip("/")
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write `df` and read it back."""
+        path = f"{self.folder}/statloom-{uuid.uuid4()}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Empty all tables written so far."""
+        for path in self.paths:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts of a column and where each begins; NULL is empty."""
     column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")

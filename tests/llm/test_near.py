@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.llm import near as N
+from statloom.llm.common import Scratch
 from statloom.llm.queries import op5_minhash_near_dedup
 from statloom.llm.shingles import lowered, shingles
 
@@ -125,7 +126,7 @@ def test_odd_tables(spark):
 def test_components(spark):
     draw = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(draw.randint(100, 160), draw.randint(100, 160)) for _ in range(40)] + [(7, 7)]
-    found = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     label = {n: n for pair in links for n in pair}
     for _ in range(100):
         for a, b in links:
