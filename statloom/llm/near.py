@@ -56,7 +56,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Members of a block of a bucket.
-BLOCK = 128
+BLOCK = 1024
 #: Deviations of the registers' share below the threshold that are still verified.
 SLACK = 4.0
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
