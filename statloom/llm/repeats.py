@@ -18,8 +18,8 @@ together after the last pass are the repeated windows, exactly.
 
 Each pass is a grouped count with partial sums before the shuffle. Texts are
 read in place for the first pass, and shuffled by a key of the row for the last
-digit and the removal. Digests have 64 bits, and windows agree in two
-independent ones.
+digit and the removal. A digest has 64 bits, drawn from two rolling hashes for the
+second and last digits.
 
 Defined results: a NULL text is empty. Strings never cross texts; bytes are
 judged on the input. Texts shorter than the window lose nothing of their own.
@@ -33,8 +33,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,10 @@ from statloom.llm.common import fresh, long_texts, mixed, powers, quoted, row_ke
 
 #: Window starts that are worked on at a time.
 PIECE = 1 << 20
+#: Kinds of runs that a task holds before it passes them on.
+MOST_KINDS = 1 << 20
+#: Bits for the windows of a run beside its begin; a window has fewer bytes than they can count.
+COUNT_BITS = 20
 #: Odd multipliers of the two rolling hashes.
 FIRST_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 PLACE_BITS = np.uint64(0xFFFFFF)
@@ -117,13 +122,19 @@ def _runs(held: np.ndarray, first: int, last: int, starts: np.ndarray, sizes: np
     end = np.minimum(np.append(begin[1:], len(held)), (high - first)[owner])
     count = end - begin
     at = anchor[begin]
-    whole = two(begin, end - 1 + window)
+    whole = one(begin, end - 1 + window) * np.uint64(SECOND_BASE) + two(begin, end - 1 + window)
     shape = (count.astype(np.uint64) << np.uint64(32)) | (at - begin).astype(np.uint64)
     return rows[owner], begin + first - starts[rows[owner]], count, grams[at], mixed(whole + mixed(shape))
 
 
-RUN = "rid long, begin int, count int, digit long, whole long"
-WINDOW = "rid long, place int, weight long, digit long"
+def _required(**kinds: T.DataType) -> T.StructType:
+    """A schema without NULLs; filters against them would make equal shuffles differ."""
+    return T.StructType([T.StructField(name, kind, False) for name, kind in kinds.items()])
+
+
+KIND = _required(digit=T.LongType(), k=T.LongType(), n=T.LongType())
+RUN = _required(rid=T.LongType(), begin=T.IntegerType(), count=T.IntegerType(), k=T.LongType())
+WINDOW = _required(rid=T.LongType(), place=T.IntegerType(), weight=T.LongType(), digit=T.LongType())
 
 
 def remove_repeats(
@@ -137,6 +148,8 @@ def remove_repeats(
     for name in (kept, spans):
         if name.lower() in taken:
             raise ValueError(f"column {name!r} is there already; choose another result name")
+    if not 1 <= window < 1 << COUNT_BITS:
+        raise ValueError(f"a window has 1 to {(1 << COUNT_BITS) - 1} bytes")
     gram = max(1, window // 2)
     rid, found = fresh(df, "_rid", "_found")
     # The one shuffle of texts; all passes read it.
@@ -145,28 +158,36 @@ def remove_repeats(
 
     def all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, begin, count, digit, whole = runs(*text_bytes(batch.column(place)), window, gram)
+            row, begin, count, _, whole = runs(*text_bytes(batch.column(place)), window, gram)
             columns = [batch.column(key).take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(count, pa.int32())]
-            columns += [pa.array(x.view(np.int64)) for x in (digit, whole)]
-            yield pa.RecordBatch.from_arrays(columns, names=["rid", "begin", "count", "digit", "whole"])
-
-    made = texts.mapInArrow(all_runs, RUN)
-    each = made.groupBy("digit", "whole").agg(F.count("*").alias("n"))
-    shared = each.groupBy("digit").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    # Kinds of runs that are repeated, or share their anchor with another kind. The joins' keys are
-    # digests of the groups' keys, so that both sides are shuffled as they are and hot ones can be split.
-    told = each.join(shared.where("kinds > 1").select(F.xxhash64("digit").alias("h"), F.lit(True).alias("mixed")), F.xxhash64("digit") == F.col("h"), "left")
-    told = told.where("n > 1 or mixed").select(F.xxhash64("digit", "whole").alias("k"), "n", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    known = made.withColumn("k", F.xxhash64("digit", "whole")).join(told, "k")
-    first = F.min(F.struct("rid", "begin", "count", "n", "digit")).alias("one")
-    rest = known.where("mixed").groupBy("k").agg(first).select("one.*")
-    listed = rest.groupBy("rid").agg(F.collect_list(F.struct("begin", "count", "n", "digit")).alias(found))
-    held = texts.join(listed.withColumnRenamed("rid", rid), rid).select(rid, F.col(quoted(text)).alias("text"), found)
-    windows = held.mapInArrow(lambda batches: _windows(batches, window), WINDOW)
+            columns.append(pa.array(whole.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "begin", "count", "k"])
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counted()
+        for batch in batches:
+            _, _, _, digit, whole = runs(*text_bytes(batch.column(place)), window, gram)
+            held.add(digit, whole)
+            if held.waiting > MOST_KINDS:
+                yield held.drain()
+        yield held.drain()
+
+    # Tasks sum up their own copies first, so a hot anchor comes in as few rows as there are tasks.
+    each = texts.mapInArrow(kinds, KIND).repartition("digit").groupBy("digit", "k").agg(F.sum("n").alias("n"))
+    told = each.withColumn("kinds", F.count("*").over(Window.partitionBy("digit"))).where("n > 1 or kinds > 1").select("k", "n", (F.col("kinds") > 1).alias("mixed"))
+    known = texts.mapInArrow(all_runs, RUN).join(told, "k")
+    # Grouped by a digest of the key, so that the join before it may still split a hot one.
+    first = F.min(F.struct("rid", "begin", "count", "n")).alias("one")
+    rest = known.where("mixed").groupBy(F.xxhash64("k")).agg(first).select("one.*")
+    listed = rest.groupBy("rid").agg(F.collect_list(F.struct("begin", "count", "n")).alias(found))
+    # All columns stay, so that the shuffle of texts is the same one again.
+    held = texts.join(listed.withColumnRenamed("rid", rid), rid).select(*[F.col(quoted(c)) for c in texts.columns], found)
+    windows = held.mapInArrow(lambda batches: _windows(batches, place, key, window), WINDOW)
     twice = windows.groupBy("digit").agg(F.sum("weight").alias("n")).where("n > 1").select(F.xxhash64("digit").alias("k"))
     last = windows.where("weight = 1").withColumn("k", F.xxhash64("digit")).join(twice, "k", "left_semi")
-    covered = known.where("n > 1").select("rid", "begin", "count").union(last.select("rid", F.col("place").alias("begin"), F.lit(1).alias("count")))
-    gone = covered.groupBy("rid").agg(F.collect_set(F.struct("begin", "count")).alias(found)).withColumnRenamed("rid", rid)
+    stretch = [F.col("begin").cast("long") * F.lit(1 << COUNT_BITS) + F.col("count"), F.col("place").cast("long") * F.lit(1 << COUNT_BITS) + F.lit(1)]
+    covered = known.where("n > 1").select("rid", stretch[0].alias("at")).union(last.select("rid", stretch[1].alias("at")))
+    gone = covered.groupBy("rid").agg(F.collect_set("at").alias(found)).withColumnRenamed("rid", rid)
     joined = texts.join(gone, rid, "left").select(*[F.col(quoted(c)) for c in df.columns], found)
     span = T.StructType([T.StructField("start", T.LongType(), False), T.StructField("end", T.LongType(), False)])
     names = [*df.columns, kept, spans]
@@ -180,27 +201,55 @@ def remove_repeats(
     return joined.mapInArrow(remove, T.StructType([*df.schema.fields, *added]))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+class Counted:
+    """How often each pair of digests came in."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, digit: np.ndarray, whole: np.ndarray) -> None:
+        self.parts.append((digit, whole, np.ones(len(digit), np.int64)))
+        self.waiting += len(digit)
+        if len(self.parts) >= 32:
+            self._sum()
+
+    def _sum(self) -> None:
+        digit, whole, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((whole, digit))
+        digit, whole, n = digit[order], whole[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], (digit[1:] != digit[:-1]) | (whole[1:] != whole[:-1])])[: len(digit)])
+        self.parts = [(digit[new], whole[new], np.add.reduceat(n, new) if len(new) else n)]
+        self.waiting = len(new)
+
+    def drain(self) -> pa.RecordBatch:
+        self.add(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        self._sum()
+        digit, whole, n = self.parts[0]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(digit.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n)], names=["digit", "k", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], place: int, key: int, window: int) -> Iterator[pa.RecordBatch]:
     """The digest of each window of the listed runs."""
     for batch in batches:
-        data, starts = text_bytes(batch.column(1))
-        lists = batch.column(2)
+        data, starts = text_bytes(batch.column(place))
+        lists = batch.column(key + 1)
         fields = lists.flatten()
         owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        begin, count, weight, digit = (fields.field(i).to_numpy() for i in range(4))
-        ids = batch.column(0).to_numpy()
+        begin, count, weight = (fields.field(i).to_numpy() for i in range(3))
+        ids = batch.column(key).to_numpy()
         # Rows of about a piece, so that the prefix sums stay small.
         row = 0
         while row < batch.num_rows:
             end = max(row + 1, int(np.searchsorted(starts, starts[row] + PIECE, "right")) - 1)
-            digest = Rolling(data[starts[row] : starts[end]], SECOND_BASE, 5)
+            one, two = (Rolling(data[starts[row] : starts[end]], b, salt) for b, salt in ((FIRST_BASE, 3), (SECOND_BASE, 5)))
             mine = np.flatnonzero((owner >= row) & (owner < end))
             for part in np.array_split(mine, -(-max(1, len(mine)) // 5000)):
                 c = count[part].astype(np.int64)
                 step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 at = np.repeat(starts[owner[part]] - starts[row] + begin[part], c) + step
-                # A window's key joins its own digest with that of its anchor.
-                both = mixed(digest(at, at + window) + np.repeat(digit[part].view(np.uint64), c))
+                both = mixed(one(at, at + window) * np.uint64(SECOND_BASE) + two(at, at + window))
                 columns = [np.repeat(ids[owner[part]], c), (np.repeat(begin[part], c) + step).astype(np.int32), np.repeat(weight[part], c), both.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["rid", "place", "weight", "digit"])
             row = end
@@ -210,8 +259,8 @@ def _removed(texts: pa.Array, lists: pa.Array, window: int) -> tuple[pa.Array, p
     data, starts = text_bytes(texts)
     kept, cuts = [], []
     ends = lists.offsets.to_numpy()
-    fields = lists.flatten()
-    begins, counts = (fields.field(i).to_numpy().astype(np.int64) for i in range(2))
+    packed = lists.flatten().to_numpy()
+    begins, counts = packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
     ends = ends - ends[0]
     for i in range(len(texts)):
         own = data[starts[i] : starts[i + 1]]
@@ -229,3 +278,13 @@ def _removed(texts: pa.Array, lists: pa.Array, window: int) -> tuple[pa.Array, p
         cuts.append([{"start": a, "end": z} for a, z in edges.reshape(-1, 2).tolist()])
     span = pa.list_(pa.field("element", pa.struct([pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False)]), False))
     return pa.array(kept, pa.binary()), pa.array(cuts, span)
+
+
+def whole_characters(column: str) -> Column:
+    """Bytes as text, without the parts of characters that were cut in two."""
+
+    @F.pandas_udf("string")
+    def decoded(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    return decoded(column)
