@@ -43,6 +43,8 @@ from statloom.session import bounded_rows
 ALPHA = 0.4
 #: N-grams of a level that are handled as hot, and the share of a task's n-grams that makes one a candidate.
 HOT, HOT_SHARE = 20_000, 1 / 40_000
+#: Stands for no document where totals are passed on.
+NO_DOCUMENT = 0
 
 
 def keys(digest: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,10 +138,11 @@ def exploded(texts: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
             at, times = at[~is_hot], times[~is_hot]
             yield _rows(key[at], begin[at], end[at], pa.array(ids[owner[at]]), times)
         some = totals > 0
-        yield _rows(hot[some], *sides[:, some], pa.nulls(int(some.sum()), pa.int64()), totals[some])
+        yield _rows(hot[some], *sides[:, some], pa.array(np.full(int(some.sum()), NO_DOCUMENT)), totals[some])
 
+    # Without NULLs: filters against them would make equal shuffles differ.
     kinds = {"key": T.LongType(), "begin": T.LongType(), "end": T.LongType(), "rid": T.LongType(), "times": T.LongType()}
-    return long_texts(texts).mapInArrow(run, T.StructType([T.StructField(k, t, k == "rid") for k, t in kinds.items()]))
+    return long_texts(texts).mapInArrow(run, T.StructType([T.StructField(k, t, False) for k, t in kinds.items()]))
 
 
 def found_in(hot: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +191,7 @@ def score(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",),
         columns = ["key", "rid", "times"] if n == 1 else ["begin", "end", "rid", "times", *(["key"] if n < order else [])]
         own = exploded(texts, n, hot[n - 1][0]).select(*columns).repartition(*by)
         more = [F.first("key").alias("key")] if n > 1 and n < order else []
-        counted = own.groupBy(*by).agg(F.sum("times").alias("c"), F.count("rid").alias("documents"), *more).where("c >= 1 AND documents >= 0")
+        counted = own.groupBy(*by).agg(F.sum("times").alias("c"), F.count_if(F.col("rid") != NO_DOCUMENT).alias("documents"), *more).where("c >= 1 AND documents >= 0")
         if n == 1:
             log = micro_log(F.col("c"))
             values = counted.select("key", log.alias("log"), (log - base).alias("v"), (log - base).alias("gain"))
