@@ -102,30 +102,30 @@ def _battery(token: str) -> str:
         'kinds', regexp_extract_all(translate(p.body, '{DIGITS}{CAPITALS}{SMALL}+/_-', '{"0" * 10}{"A" * 26}{"a" * 26}'), '.', 0))), q ->
     transform(array(named_struct(
         'n', q.n, 'k', q.k,
-        'chi', q.squares * q.k / q.n - q.n,
-        'mean', aggregate(q.values, 0D, (a, v) -> a + v) / q.n,
+        'chi', q.squares * q.k / nullif(q.n, 0) - q.n,
+        'mean', aggregate(q.values, 0D, (a, v) -> a + v) / nullif(q.n, 0),
         'values', q.values,
         'high', aggregate(q.values, 0D, (a, v) -> a + IF(v >= q.k / 2, 1D, 0D)),
-        'runs', 1D + aggregate(zip_with(slice(q.values, 1, q.n - 1), slice(q.values, 2, q.n - 1),
+        'runs', 1D + aggregate(zip_with(slice(q.values, 1, greatest(q.n - 1, 0)), slice(q.values, 2, greatest(q.n - 1, 0)),
             (a, b) -> IF((a >= q.k / 2) != (b >= q.k / 2), 1D, 0D)), 0D, (a, v) -> a + v),
         'pairs', size(q.kinds) - 1D,
         'changes', aggregate(zip_with(slice(q.kinds, 1, greatest(size(q.kinds) - 1, 0)), slice(q.kinds, 2, greatest(size(q.kinds) - 1, 0)),
             (a, b) -> IF(a != b, 1D, 0D)), 0D, (a, v) -> a + v))), r ->
     transform(array(named_struct(
-        'n', r.n, 'share', r.changes / r.pairs, 'pairs', r.pairs,
-        'z_chi', (r.chi - (r.k - 1)) / sqrt(2D * (r.k - 1) * (r.n - 1) / r.n),
-        'expected', 1D + 2D * r.high * (r.n - r.high) / r.n, 'runs', r.runs,
+        'n', r.n, 'share', r.changes / nullif(r.pairs, 0D), 'pairs', r.pairs,
+        'z_chi', (r.chi - (r.k - 1)) / nullif(sqrt(2D * (r.k - 1) * (r.n - 1) / nullif(r.n, 0)), 0D),
+        'expected', 1D + 2D * r.high * (r.n - r.high) / nullif(r.n, 0), 'runs', r.runs,
         'spread', aggregate(r.values, 0D, (a, v) -> a + (v - r.mean) * (v - r.mean)),
-        'lag', aggregate(zip_with(slice(r.values, 1, r.n - 1), slice(r.values, 2, r.n - 1),
+        'lag', aggregate(zip_with(slice(r.values, 1, greatest(r.n - 1, 0)), slice(r.values, 2, greatest(r.n - 1, 0)),
             (a, b) -> (a - r.mean) * (b - r.mean)), 0D, (a, v) -> a + v))), s ->
     named_struct(
         'chance', CASE WHEN coalesce(s.share, 0D) <= {TEXT_CHANGES}D THEN 1D
             WHEN s.share >= 1D THEN power({TEXT_CHANGES}D, s.pairs)
             ELSE exp(-s.pairs * (s.share * ln(s.share / {TEXT_CHANGES}D) + (1D - s.share) * ln((1D - s.share) / {1 - TEXT_CHANGES}D))) END,
         'weight', CAST(s.n AS DOUBLE),
-        'random', s.z_chi <= {BATTERY_LIMIT}D
-            AND s.expected > 2D AND abs(s.runs - s.expected) <= {BATTERY_LIMIT}D * sqrt((s.expected - 1D) * (s.expected - 2D) / (s.n - 1))
-            AND s.spread > 0D AND abs(s.lag / s.spread) <= {BATTERY_LIMIT}D / sqrt(s.n))
+        'random', coalesce(s.z_chi <= {BATTERY_LIMIT}D
+            AND s.expected > 2D AND abs(s.runs - s.expected) <= {BATTERY_LIMIT}D * sqrt((s.expected - 1D) * (s.expected - 2D) / nullif(s.n - 1, 0))
+            AND s.spread > 0D AND abs(s.lag / nullif(s.spread, 0D)) <= {BATTERY_LIMIT}D / nullif(sqrt(s.n), 0D), false))
     )[0])[0])[0])[0]"""
 
 

@@ -26,6 +26,7 @@ def base_spans(text):
 
 BITS = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abcdefgh12", "x", "==", "é", "😀", "\n"]
 BITS += ["AKIA", "AKIA" + "Q" * 12, "0123456789abcdef" * 2, "a" * 33, "AKIAAKIA12345678", "token=secret:abcdefgh12", "F" * 40]
+BITS += ["-----------1-----------", " 1=================== "]
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +53,12 @@ def test_random_tokens_are_told_from_text(spark):
     assert not any(found[t] for t in plain)
 
 
+def test_tokens_of_few_letters(spark):
+    rows = ["-----------1-----------", "1===================", "a 1=================== b", "=" * 30, "=" * 19 + "1", "-" * 20 + "1", "_" * 25 + "aB", "1" + "+" * 20, "ab1" + "=" * 20]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, text string")
+    assert [r["spans"] for r in S.find_secrets(df).collect()] == [[]] * len(rows)
+
+
 def test_redaction(spark):
     rows = [(None,), ("",), ("clean",), ("a password=abcdefgh12 b",), ("x token='" + "0123456789abcdef" * 2 + "' é",)]
     df = S.redact(S.find_secrets(spark.createDataFrame(rows, "text string")))
