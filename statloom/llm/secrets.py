@@ -6,15 +6,16 @@ a digit or step from a small to a capital letter. For each such token
 
 * the encoding is inferred: hexadecimal, base 32, or base 64 with or without its
   two extra symbols; it gives the alphabet and the value of each symbol;
-* three tests ask whether the values are random: the chi-squared distance from a
-  uniform alphabet (standardised by the exact mean and variance for the length),
-  the number of runs above and below the middle, and the correlation of
-  neighbours. A token for which one of them lies beyond `BATTERY_LIMIT`
-  deviations is not random;
-* the chance that ordinary text of that length changes between small letters,
-  capitals and digits so often is bounded by Chernoff's inequality. Longer tokens
-  can reach smaller chances, and weigh more by their length, in the step-up rule
-  of Benjamini and Hochberg over the tokens of a document, at rate `RATE`.
+* tests ask whether the values are random, each with its chance for random values:
+  the chi-squared distance from a uniform alphabet over symbols (by its exact mean,
+  variance and skewness for the length) and over digits, capitals and small letters,
+  the number of runs above and below the middle, and the products of neighbours;
+* the chances of a token are combined by Brown's form of Fisher's rule, as runs and
+  products depend on each other, and the tokens of a document by the step-up rule of
+  Benjamini and Hochberg, in which a token weighs by its length. What the rule
+  rejects is not random, and random tokens are at most a share `RATE` of that. So a
+  random token is found alike in any encoding and beside any number of others; short
+  text that looks random stays, which longer text hardly can.
 
 Base spans are never dropped; a random token that overlaps one is left out.
 A document is judged by itself, so nothing is shuffled and a hot source or group
@@ -41,10 +42,14 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_RANDOM = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}"
-#: How often ordinary text changes between kinds of letters, at most.
-TEXT_CHANGES = 0.12
-BATTERY_LIMIT = 3.3
-RATE = 0.001
+#: Symbols of the shortest token without the padding of its encoding; what has fewer is not tested.
+MIN_BODY = MIN_RANDOM - 2
+#: The share of random tokens among those dismissed as text, at most.
+RATE = 0.05
+#: Sum of the covariances between the tests' -2 ln(chance), as measured on random tokens.
+SHARED = 3.4
+#: Four chances count as a chi-squared figure of mean 8 with so many degrees of freedom.
+FREEDOM = 2 * 8**2 / (4 * 4 + 2 * SHARED)
 
 DIGITS, CAPITALS, SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,8 +88,17 @@ def _matches(text: Column, pattern: str, rank: int, value: int = 0) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(NO_SPANS))
 
 
+def _tail(z: str) -> str:
+    """SQL for the chance that a normal deviate exceeds `z`, to seven digits also where it is small."""
+    series = "0.17087277D"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        series = f"({c}D + t * {series})"
+    beyond = f"transform(array(1D / (1D + abs(z) / sqrt(8D))), t -> t * exp({series} - z * z / 2D) / 2D)[0]"
+    return f"transform(array({z}), z -> transform(array({beyond}), e -> IF(z >= 0D, e, 1D - e))[0])[0]"
+
+
 def _battery(token: str) -> str:
-    """SQL for the figures of one token: (chance, weight, random)."""
+    """SQL for the figures of one token: (chance for random values, weight); the chance is NULL for too few symbols."""
     alphabet = f"""
         CASE WHEN {token} RLIKE '^[0-9a-f]+$' THEN '{DIGITS}abcdef'
              WHEN {token} RLIKE '^[0-9A-F]+$' THEN '{DIGITS}ABCDEF'
@@ -92,41 +106,36 @@ def _battery(token: str) -> str:
              WHEN {token} RLIKE '[+/]' THEN '{DIGITS}{CAPITALS}{SMALL}+/'
              WHEN {token} RLIKE '[-_]' THEN '{DIGITS}{CAPITALS}{SMALL}-_'
              ELSE '{DIGITS}{CAPITALS}{SMALL}' END"""
+    # Digits count with the two extra symbols.
+    of = lambda x: ", ".join(f"1D * length(regexp_replace({x}, '{c}', ''))" for c in ("[A-Za-z]", "[^A-Z]", "[^a-z]"))
+    neighbours = "zip_with(slice(q.values, 1, size(q.values) - 1), slice(q.values, 2, size(q.values) - 1), (a, b) -> {})"
     return f"""
     transform(array(named_struct('body', regexp_replace({token}, '=+', ''), 'alphabet', {alphabet})), p ->
+    IF(length(p.body) < {MIN_BODY}, named_struct('chance', CAST(NULL AS DOUBLE), 'weight', 0D),
     transform(array(named_struct(
-        'n', length(p.body), 'k', length(p.alphabet),
-        'squares', aggregate(regexp_extract_all(p.alphabet, '.', 0), 0D,
-            (a, s) -> a + power(length(p.body) - length(replace(p.body, s, '')), 2)),
-        'values', transform(regexp_extract_all(p.body, '.', 0), c -> instr(p.alphabet, c) - 1D),
-        'kinds', regexp_extract_all(translate(p.body, '{DIGITS}{CAPITALS}{SMALL}+/_-', '{"0" * 10}{"A" * 26}{"a" * 26}'), '.', 0))), q ->
-    transform(array(named_struct(
-        'n', q.n, 'k', q.k,
-        'chi', q.squares * q.k / nullif(q.n, 0) - q.n,
-        'mean', aggregate(q.values, 0D, (a, v) -> a + v) / nullif(q.n, 0),
-        'values', q.values,
-        'high', aggregate(q.values, 0D, (a, v) -> a + IF(v >= q.k / 2, 1D, 0D)),
-        'runs', 1D + aggregate(zip_with(slice(q.values, 1, greatest(q.n - 1, 0)), slice(q.values, 2, greatest(q.n - 1, 0)),
-            (a, b) -> IF((a >= q.k / 2) != (b >= q.k / 2), 1D, 0D)), 0D, (a, v) -> a + v),
-        'pairs', size(q.kinds) - 1D,
-        'changes', aggregate(zip_with(slice(q.kinds, 1, greatest(size(q.kinds) - 1, 0)), slice(q.kinds, 2, greatest(size(q.kinds) - 1, 0)),
-            (a, b) -> IF(a != b, 1D, 0D)), 0D, (a, v) -> a + v))), r ->
+        'n', 1D * length(p.body), 'k', 1D * length(p.alphabet),
+        'counts', transform(regexp_extract_all(p.alphabet, '.', 0), s -> 1D * (length(p.body) - length(replace(p.body, s, '')))),
+        'classes', zip_with(array({of("p.body")}), array({of("p.alphabet")}), (o, e) -> named_struct('o', o, 'e', e * length(p.body) / length(p.alphabet))),
+        'values', transform(regexp_extract_all(p.body, '.', 0), c -> instr(p.alphabet, c) - (length(p.alphabet) + 1) / 2D))), q ->
     transform(array(named_struct(
-        'n', r.n, 'share', r.changes / nullif(r.pairs, 0D), 'pairs', r.pairs,
-        'z_chi', (r.chi - (r.k - 1)) / nullif(sqrt(2D * (r.k - 1) * (r.n - 1) / nullif(r.n, 0)), 0D),
-        'expected', 1D + 2D * r.high * (r.n - r.high) / nullif(r.n, 0), 'runs', r.runs,
-        'spread', aggregate(r.values, 0D, (a, v) -> a + (v - r.mean) * (v - r.mean)),
-        'lag', aggregate(zip_with(slice(r.values, 1, greatest(r.n - 1, 0)), slice(r.values, 2, greatest(r.n - 1, 0)),
-            (a, b) -> (a - r.mean) * (b - r.mean)), 0D, (a, v) -> a + v))), s ->
+        'n', q.n, 'within', aggregate(q.counts, 0D, (a, c) -> a + c) = q.n,
+        'equal', aggregate(q.counts, 0D, (a, c) -> a + c * (c - 1D) / 2D) - q.n * (q.n - 1D) / 2D / q.k,
+        'deviation', sqrt(q.n * (q.n - 1D) / 2D * (q.k - 1D)) / q.k,
+        'third', q.n * (q.n - 1D) / 2D * (q.k - 1D) / power(q.k, 3) * (q.k - 2D + 2D * (q.n - 2D)),
+        'parts', size(filter(q.classes, c -> c.e > 0D)),
+        'apart', aggregate(filter(q.classes, c -> c.e > 0D), 0D, (a, c) -> a + (c.o - c.e) * (c.o - c.e) / c.e),
+        'turns', aggregate({neighbours.format("IF((a > 0D) != (b > 0D), 1D, 0D)")}, 0D, (a, v) -> a + v),
+        'lag', aggregate({neighbours.format("a * b")}, 0D, (a, v) -> a + v) * 12D / (q.k * q.k - 1D))), r ->
+    transform(array(named_struct('z', (r.equal - 0.5D) / r.deviation, 'skew', r.third / power(r.deviation, 3))), s ->
+    transform(array(array(
+        {_tail("6D / s.skew * (cbrt(greatest(1D + s.skew * s.z / 2D, 0D)) - 1D) + s.skew / 6D")},
+        IF(r.parts = 3, exp(-r.apart / 2D), 2D * {_tail("sqrt(r.apart)")}),
+        2D * {_tail("greatest(abs(r.turns - (r.n - 1D) / 2D) - 0.5D, 0D) / sqrt((r.n - 1D) / 4D)")},
+        2D * {_tail("abs(r.lag) / sqrt(r.n - 1D)")})), t ->
     named_struct(
-        'chance', CASE WHEN coalesce(s.share, 0D) <= {TEXT_CHANGES}D THEN 1D
-            WHEN s.share >= 1D THEN power({TEXT_CHANGES}D, s.pairs)
-            ELSE exp(-s.pairs * (s.share * ln(s.share / {TEXT_CHANGES}D) + (1D - s.share) * ln((1D - s.share) / {1 - TEXT_CHANGES}D))) END,
-        'weight', CAST(s.n AS DOUBLE),
-        'random', coalesce(s.z_chi <= {BATTERY_LIMIT}D
-            AND s.expected > 2D AND abs(s.runs - s.expected) <= {BATTERY_LIMIT}D * sqrt((s.expected - 1D) * (s.expected - 2D) / nullif(s.n - 1, 0))
-            AND s.spread > 0D AND abs(s.lag / nullif(s.spread, 0D)) <= {BATTERY_LIMIT}D / nullif(sqrt(s.n), 0D), false))
-    )[0])[0])[0])[0]"""
+        'chance', IF(r.within, {_tail(f"(cbrt(aggregate(t, 0D, (a, c) -> a - 2D * ln(greatest(c, 1e-300D))) / 8D) - (1D - 2D / {9 * FREEDOM}D)) / sqrt(2D / {9 * FREEDOM}D)")}, 0D),
+        'weight', r.n)
+    )[0])[0])[0])[0]))[0]"""
 
 
 def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -141,13 +150,14 @@ def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans") -> Dat
         _matches(source, TOKEN, 3).alias(tokens),
     )
     scored = marked.withColumn(judged, F.expr(f"transform({tokens}, t -> struct(t AS span, {_battery('t.token')} AS score))"))
-    # The step-up rule: the largest weighted chance at or below its share of the rate.
+    scored = scored.withColumn(judged, F.expr(f"filter({judged}, j -> j.score.chance IS NOT NULL)"))
+    # The step-up rule: what is at or below the largest weighted chance within its share of the rate is text.
     mean = f"aggregate({judged}, 0D, (a, j) -> a + j.score.weight) / size({judged})"
-    weighted = f"transform({judged}, j -> struct(j.score.chance * ({mean}) / j.score.weight AS chance, j.span AS span, j.score.random AS random))"
+    weighted = f"transform({judged}, j -> struct(j.score.chance * ({mean}) / j.score.weight AS chance, j.span AS span))"
     ranked = scored.withColumn(picked, F.expr(f"IF(size({judged}) = 0, NULL, array_sort({weighted}))"))
     cut = f"array_max(transform({picked}, (p, i) -> IF(p.chance <= {RATE}D * (i + 1) / size({picked}), p.chance, -1D)))"
     overlaps = f"exists({base}, b -> b.start < p.span.end AND p.span.start < b.end)"
-    added = f"IF({picked} IS NULL, {NO_SPANS}, transform(filter({picked}, p -> p.chance <= {cut} AND p.random AND NOT {overlaps}), p -> p.span))"
+    added = f"IF({picked} IS NULL, {NO_SPANS}, transform(filter({picked}, p -> p.chance > {cut} AND NOT {overlaps}), p -> p.span))"
     named = f"element_at(array({', '.join(_text(k) for k in KINDS)}), s.rank + 1)"
     every = f"array_sort(concat({base}, {added}))"
     return ranked.select(

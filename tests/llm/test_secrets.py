@@ -53,6 +53,28 @@ def test_random_tokens_are_told_from_text(spark):
     assert not any(found[t] for t in plain)
 
 
+def test_random_tokens_of_each_encoding(spark):
+    draw = random.Random(9)
+    kinds = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base 32": S.CAPITALS + "234567", "base 62": S.DIGITS + S.CAPITALS + S.SMALL}
+    # A small letter, then a capital, or a digit stands in each, so that all are tokens.
+    made = {(k, n): [t for t in ("".join(draw.choices(a, k=n)) for _ in range(300)) if re.fullmatch(S.TOKEN, t)][:200] for k, a in kinds.items() for n in (20, 24, 31)}
+    made["base 64", 24] = [base64.b64encode(draw.randbytes(16)).decode() for _ in range(200)]
+    rows = [(k, n, t) for (k, n), ts in made.items() for t in ts] + [(k, n, " ".join(ts[i : i + 20])) for (k, n), ts in made.items() for i in range(0, len(ts), 20)]
+    df = spark.createDataFrame(rows, "k string, n int, text string").repartition(4)
+    found = {}
+    for r in S.find_secrets(df).collect():
+        found.setdefault((r["k"], r["n"], len(r["text"]) > r["n"]), []).append(len(r["spans"]))
+    for (k, n, many), sizes in found.items():
+        assert sum(sizes) >= 0.9 * (20 if many else 1) * len(sizes), (k, n, many, sum(sizes))
+
+
+def test_identifiers_are_text(spark):
+    plain = "createDataFrameFromPandas getOrCreateSparkSession20 some_long_snake_case_name2 MAXIMUM_RETRY_COUNT_2 AbstractHttpConnectionPool org/apache/spark/Sql4 "
+    plain += "20240131235959123456 2024-01-31-23-59-59-000 my-long-blog-post-about-2024 numberOfPartitionsPerTask defaultMinimumValueAllowed 12345678901234567890"
+    df = spark.createDataFrame([(t,) for t in [plain, *plain.split()]], "text string")
+    assert not [r["text"] for r in S.find_secrets(df).collect() if r["spans"]]
+
+
 def test_tokens_of_few_letters(spark):
     rows = ["-----------1-----------", "1===================", "a 1=================== b", "=" * 30, "=" * 19 + "1", "-" * 20 + "1", "_" * 25 + "aB", "1" + "+" * 20, "ab1" + "=" * 20]
     df = spark.createDataFrame(list(enumerate(rows)), "k int, text string")
