@@ -82,6 +82,25 @@ def test_nearest_of_factor_one_is_exact(spark, monkeypatch):
         assert [x[3] for x in found] == pytest.approx([x[3] for x in expected])
 
 
+@pytest.mark.parametrize("kind", [2, 4, 8, 16, "clusters", "no structure"])
+def test_recall_of_full_shards(kind):
+    draw = np.random.default_rng(7)
+    if kind == "clusters":
+        vectors = draw.normal(size=(100, 64))[draw.integers(0, 100, 8192)] + 0.3 * draw.normal(size=(8192, 64))
+    else:
+        inner = 64 if kind == "no structure" else kind
+        vectors = draw.normal(size=(8192, inner)) @ (np.eye(64) if inner == 64 else draw.normal(size=(inner, 64)))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    asked = np.arange(0, 8192, 100)
+    walk = vptree.Walk(vectors[asked], asked, [np.array([i]) for i in range(8192)], vectors, 10, vptree.FACTOR)
+    walk.visit(vptree.build(vectors, draw.permutation(8192)), np.arange(len(asked)))
+    hits = 0
+    for i, q in enumerate(asked):
+        best = np.argsort(((vectors - vectors[q]) ** 2).sum(axis=1), kind="stable")[1:11]
+        hits += len(set(best) & set([p for p in walk.place[i] if p != q][:10]))
+    assert hits / (10 * len(asked)) >= 0.95
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(df, df).count() == 0 and vafile.largest(df, df).count() == 0
