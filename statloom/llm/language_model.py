@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import long_texts, mixed, quoted, row_key, row_slices
+from statloom.llm.common import Scratch, long_texts, mixed, quoted, row_key, row_slices
 from statloom.llm.shingles import NEXT, lowered, words
 from statloom.session import bounded_rows
 
@@ -203,6 +203,9 @@ def score(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",),
             known = _looked_up(known, "end", values.select("key", F.col("v").alias("shorter")), few)
             v = micro_log(F.col("c")) - F.col("before")
             known = known.select(*by, *(["key"] if n < order else []), v.alias("v"), micro_log(F.col("c")).alias("log"), (v - back - F.col("shorter")).alias("gain"))
+            if n < order:
+                # Each look-up names its table several times, so plans of higher levels would multiply.
+                known = Scratch(df.sparkSession).settle(known)
             values = known.select("key", "v", "log") if n < order else None
         found = F.col("times") if n > 1 else F.lit(0).cast("long")
         joined = own.join(known.select(*by, "gain"), by)

@@ -54,6 +54,40 @@ FROM words LEFT JOIN sums USING (r)
 """
 
 
+def op2_stupid_backoff_trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document by the trigram model of all documents."""
+    return language_model.score(load(spark, folder, "documents"), order=3)
+
+
+OP2_TRIGRAMS_SQL = """
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS ws
+    FROM documents),
+places AS (
+    SELECT r, unnest(ws) AS w, unnest(list_concat([NULL], ws)[1:len(ws)]) AS b, unnest(list_concat([NULL, NULL], ws)[1:len(ws)]) AS a
+    FROM words WHERE len(ws) > 0),
+one AS (SELECT w, count(*) AS c FROM places GROUP BY w),
+two AS (SELECT b, w, count(*) AS c FROM places WHERE b IS NOT NULL GROUP BY b, w HAVING count(*) >= 2),
+three AS (SELECT a, b, w, count(*) AS c FROM places WHERE a IS NOT NULL GROUP BY a, b, w HAVING count(*) >= 2),
+l1 AS (SELECT w, CAST(round(ln(c) * 1e6) AS BIGINT) AS l FROM one),
+l2 AS (SELECT b, w, CAST(round(ln(c) * 1e6) AS BIGINT) AS l FROM two),
+l3 AS (SELECT a, b, w, CAST(round(ln(c) * 1e6) AS BIGINT) AS l FROM three),
+fixed AS (SELECT CAST(round(ln(count(*)) * 1e6) AS BIGINT) AS l, CAST(round(ln(0.4) * 1e6) AS BIGINT) AS back FROM places),
+scored AS (
+    SELECT p.r, (g2.l IS NOT NULL)::INT + (g3.l IS NOT NULL)::INT AS found,
+        CASE WHEN g3.l IS NOT NULL THEN g3.l - h2.l
+            WHEN g2.l IS NOT NULL THEN (p.a IS NOT NULL)::INT * back + g2.l - h1.l
+            ELSE ((p.a IS NOT NULL)::INT + (p.b IS NOT NULL)::INT) * back + g1.l - fixed.l END AS s
+    FROM places p JOIN l1 g1 ON g1.w = p.w LEFT JOIN l1 h1 ON h1.w = p.b
+        LEFT JOIN l2 g2 ON g2.b = p.b AND g2.w = p.w LEFT JOIN l2 h2 ON h2.b = p.a AND h2.w = p.b
+        LEFT JOIN l3 g3 ON g3.a = p.a AND g3.b = p.b AND g3.w = p.w, fixed),
+sums AS (SELECT r, count(*) AS n, sum(found) AS f, sum(s) AS s FROM scored GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(f, 0) AS BIGINT) AS n_found,
+    CAST(coalesce(s, 0) AS BIGINT) AS score_micro, CASE WHEN n > 0 THEN CAST(s AS BIGINT) / CAST(n AS BIGINT) / 1e6::DOUBLE END AS mean_score
+FROM words LEFT JOIN sums USING (r)
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to."""
     codec = bpe_codec.ByteBpe.from_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -149,6 +183,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_stupid_backoff": op2_stupid_backoff,
+    "op2_stupid_backoff_trigrams": op2_stupid_backoff_trigrams,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
@@ -160,5 +195,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_stupid_backoff": OP2_SQL,
+    "op2_stupid_backoff_trigrams": OP2_TRIGRAMS_SQL,
     "op4_exact_top_k": OP4_SQL,
 }

@@ -10,7 +10,7 @@ from oracle import connect, difference
 from pyspark.sql import functions as F
 
 from statloom.llm import language_model as M
-from statloom.llm.queries import OP2_SQL, op2_stupid_backoff
+from statloom.llm.queries import OP2_SQL, OP2_TRIGRAMS_SQL, QUERIES, op2_stupid_backoff
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -61,3 +61,13 @@ def test_empty_table(spark):
 def test_query(spark):
     found = op2_stupid_backoff(spark, FOLDER).toPandas()
     assert difference(found, connect(FOLDER).execute(OP2_SQL).df()) is None
+
+
+def test_query_of_trigrams(spark):
+    found = QUERIES["op2_stupid_backoff_trigrams"](spark, FOLDER).toPandas()
+    assert difference(found, connect(FOLDER).execute(OP2_TRIGRAMS_SQL).df()) is None
+    assert found["n_found"].sum() > op2_stupid_backoff(spark, FOLDER).agg(F.sum("n_found")).first()[0]
+    # The SQL itself against counting word by word.
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    expected = sorted((r["doc_id"], *x) for r, x in zip(rows, plain([r["text"] for r in rows], 3)))
+    assert sorted(zip(found["doc_id"], found["n_words"], found["n_found"], found["score_micro"])) == expected
