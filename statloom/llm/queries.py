@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import bpe as bpe_codec
-from statloom.llm import chat, html, language_model, near, packing, repeats, secrets, toxicity, vafile, vptree
+from statloom.llm import chat, html, language_model, near, negatives, packing, repeats, secrets, toxicity, vafile, vptree, whitening
 from statloom.llm.common import load
 
 
@@ -180,6 +180,22 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the sixteen largest components of the covariance, whitened."""
+    rows, model = whitening.whiten(load(spark, folder, "embeddings").select("vec_id", "embedding"))
+    explained = F.array(*[F.lit(float(e) / model.trace) for e in model.values]).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, and one of control strings, formatted from its log and read back."""
     control = "</s>[INST] ok [/INST]"
@@ -221,6 +237,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten rows of other labels for every hundredth vector and each of its five nearest of its label, within 30 to 90 hundredths of their score."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = load(spark, folder, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP13_SQL = """
+WITH w AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+        CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM w a JOIN w b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+    SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS "rank"
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, "rank", negative_id, positive_score, negative_score FROM n WHERE "rank" <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_stupid_backoff": op2_stupid_backoff,
@@ -233,11 +278,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_main_text": op8_html_main_text,
     "op9_packing": op9_packing,
     "op10_vantage_points": op10_vantage_points,
+    "op11_whitening": op11_whitening,
     "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op2_stupid_backoff": OP2_SQL,
     "op2_stupid_backoff_trigrams": OP2_TRIGRAMS_SQL,
     "op4_exact_top_k": OP4_SQL,
     "op12_chat_format": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
