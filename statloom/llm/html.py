@@ -157,6 +157,13 @@ class Page(HTMLParser):
             if self.links:
                 self.linked += len(data.strip())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Sections of unknown or malformed names are comments up to the next `>`, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def close(self) -> None:
         super().close()
         self._flush()

@@ -64,3 +64,19 @@ def test_query(spark):
         body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         body = re.sub(r"</?\w+[^>]*>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", body))
         assert r["text"] == " ".join(entities.unescape(body).split()) and r["n_chars"] == len(r["text"])
+
+
+def test_any_markup_is_read(spark):
+    for odd in ("<![ abc", "<p>x</p><![foo[ x", "<![-- x", "<![", "<!", "<!>", "<![endif]-->", "<![CDATA[ x", "<![foo[ a ]]> b", "</", "<a b=", "&#", "&#xffffffff;", "<![if x]>"):
+        assert isinstance(X.main_text(odd), str) and "kept here" in X.main_text(f"<p>This is what is kept here, by all means.</p>{odd}")
+    draw = random.Random(8)
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20).collect()]
+    pieces = ["<", ">", "<!", "<![", "]]>", "-->", "<!--", "&", "&#", ";", "</", "/>", '"', "'", "=", "<script>", "<![cdata[", "<?", "\x00"]
+    for _ in range(3000):
+        page = draw.choice(pages)
+        at = draw.randrange(max(1, len(page) - 1500))
+        page = page[at : at + 1500]
+        for _ in range(draw.randint(1, 6)):
+            at = draw.randrange(len(page) + 1)
+            page = page[:at] + draw.choice(pieces) + page[at + draw.randint(0, 3) :]
+        assert isinstance(X.main_text(page), str)
