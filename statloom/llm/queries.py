@@ -23,6 +23,7 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         (size - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
