@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.catalog.common import load, rounded
 from statloom.functions.metrics import accuracy
+from statloom.plans import stored_tree
 from statloom.plans.tree import (
+    DecisionTreeClassifier,
     TreeModel,
     best_splits,
     categorical_scores,
@@ -17,7 +21,7 @@ from statloom.plans.tree import (
     prepare,
     value_counts,
 )
-from statloom.session import small_frame
+from statloom.session import shared_folder, small_frame
 
 NUMERIC = ["l_quantity", "l_discount", "l_tax"]
 CATEGORICAL = ["l_linestatus"]
@@ -121,7 +125,7 @@ def binned(spark: SparkSession, d: str) -> DataFrame:
 def many_valued(spark: SparkSession, d: str) -> DataFrame:
     """The first split over every distinct order price, summed in chunks."""
     orders = load(spark, d, "orders")
-    model = grow_tree(orders, "o_orderstatus", ["o_totalprice"], [], max_depth=1, chunk_rows=5_000)
+    model = grow_tree(orders, "o_orderstatus", ["o_totalprice"], [], max_depth=1, chunk_rows=5_000, local_rows=0)
     root = model.nodes[1]
     row = [(root.feature, root.threshold, root.mi, model.nodes[root.left].n, model.nodes[root.right].n)]
     return rounded(small_frame(spark, row, "f string, x double, mi double, n_left long, n_right long"), mi=10)
@@ -134,6 +138,33 @@ def stopped_early(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(part).groupBy("p_type", "prediction").agg(F.count("*").alias("n"))
 
 
+def full(spark: SparkSession, d: str) -> DataFrame:
+    """A tree that ends only where no split helps; rows by the depth and class of their leaf."""
+    part = load(spark, d, "part")
+    model = grow_tree(part, "p_type", ["p_size", "p_retailprice"], ["p_brand"])
+    depths = {n.node_id: n.depth for n in model.nodes.values()}
+    table = small_frame(spark, list(depths.items()), "node int, depth int")
+    rows = model.transform(part).withColumn("node", model.node_column()).join(table, "node")
+    return rows.groupBy("depth", "prediction").agg(F.count("*").alias("n"))
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    """The stopped tree kept in tables, its upper nodes grown by levels, used by joins only."""
+    part = load(spark, d, "part")
+    stored = stored_tree.grow(part, "p_type", ["p_size"], ["p_brand"], max_samples=200, max_mutual_inf=0.0005, local_rows=1_800)
+    return stored.routed(part).select("p_partkey", "prediction")
+
+
+def saved(spark: SparkSession, d: str) -> DataFrame:
+    """A classifier with the default target, its last column, saved, read again and used."""
+    part = load(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    path = f"{shared_folder(spark)}/tree-{uuid.uuid4()}"
+    tree = DecisionTreeClassifier(spark).initialize(part, features=["p_size", "p_brand"])
+    tree.estimate(max_samples=200, max_mutual_inf=0.0005).save_dtc_tree(path)
+    found = DecisionTreeClassifier(spark).read_dtc_tree(path).predict(part)
+    return found.groupBy("p_type", "prediction").agg(F.count("*").alias("n"))
+
+
 def _x(value: str) -> str:
     return f"(CASE WHEN {value} > 0 THEN {value} * log2({value}) ELSE 0 END)"
 
@@ -182,16 +213,37 @@ def _scores(rows: str, numeric_x: list[str], categorical_x: list[str], target: s
         same = ", ".join(f"n{i} AS l{i}" for i in range(len(classes)))
         tot = ", ".join(f"sum(n{i}) OVER (PARTITION BY node, f) AS w{i}" for i in range(len(classes)))
         parts.append(f"SELECT *, {same}, {tot} FROM ({cat})")
-    return f"u{tag} AS ({' UNION ALL '.join(parts)}), s{tag} AS (SELECT *, {_mi(_L, _W)} AS mi FROM u{tag})"
+    left, whole = ([f"{side}{i}" for i in range(len(classes))] for side in "lw")
+    return f"u{tag} AS ({' UNION ALL '.join(parts)}), s{tag} AS (SELECT *, {_mi(left, whole)} AS mi FROM u{tag})"
 
 
-def _best(scored: str) -> str:
+def _best(scored: str, classes: int = 3) -> str:
+    left, whole = (" + ".join(f"{side}{i}" for i in range(classes)) for side in "lw")
     return (
-        f"SELECT * FROM {scored} WHERE l0 + l1 + l2 < w0 + w1 + w2 QUALIFY row_number() OVER "
+        f"SELECT * FROM {scored} WHERE {left} < {whole} QUALIFY row_number() OVER "
         "(PARTITION BY node ORDER BY round(mi, 10) DESC, place, x, v) = 1"
     )
 
 
+def _to_the_end(table: str, key: str, numeric_x: list[str], categorical_x: list[str], target: str, classes: list[str], least: int, information: float) -> str:
+    """Recursive CTE t: the rows of every node of a tree, a node being its path of sides; then last: the last node of each row and its class."""
+    whole = [f"w{i}" for i in range(len(classes))]
+    kinds = " + ".join(f"CAST({w} > 0 AS INT)" for w in whole)
+    open_ = f"{' + '.join(whole)} >= {least} AND {kinds} > 1 AND mi >= {information} AND round(mi, 10) > 0"
+    names = [key, target, *numeric_x, *categorical_x]
+    step = (
+        f"WITH {_scores('t', numeric_x, categorical_x, target, classes)}, b AS (SELECT node, f, x, v FROM ({_best('s', len(classes))}) WHERE {open_}) "
+        f"SELECT depth + 1 AS depth, t.node || CASE WHEN {_goes_left(numeric_x, categorical_x)} THEN 'l' ELSE 'r' END AS node, "
+        f"{', '.join('t.' + c for c in names)} FROM t JOIN b ON t.node = b.node"
+    )
+    first = " ".join(f"WHEN n{i} = greatest({', '.join(f'n{j}' for j in range(len(classes)))}) THEN '{c}'" for i, c in enumerate(classes))
+    return (
+        f"RECURSIVE t AS (SELECT 0 AS depth, '' AS node, {', '.join(names)} FROM {table} UNION ALL ({step})), "
+        f"labels AS (SELECT node, CASE {first} END AS prediction FROM (SELECT node, {_class_counts(target, classes)} FROM t GROUP BY node)), "
+        f"last AS (SELECT {key}, {target}, arg_max(node, depth) AS node FROM t GROUP BY ALL)"
+    )
+
+
 def _goes_left(numeric_x: list[str], categorical_x: list[str]) -> str:
     tests = [f"WHEN f = '{c}' THEN {c} <= x" for c in numeric_x] + [f"WHEN f = '{c}' THEN {c} = v" for c in categorical_x]
     return f"(CASE {' '.join(tests)} END)"
@@ -212,6 +264,9 @@ _GROW = (
 _CONFUSION = (
     f"WITH {_GROW} SELECT {TARGET}, prediction, count(*) AS n FROM r2 JOIN y USING (node) GROUP BY ALL"
 )
+_PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+_STOPPED = _to_the_end("part", "p_partkey", ["p_size"], ["p_brand"], "p_type", _PART_TYPES, 200, 0.0005)
+_FULL = _to_the_end("part", "p_partkey", ["p_size", "p_retailprice"], ["p_brand"], "p_type", _PART_TYPES, 2, 0.0)
 _ORDERS = "o AS (SELECT 1 AS node, * FROM orders)"
 _STATUS = ["F", "O", "P"]
 
@@ -229,6 +284,9 @@ QUERIES = {
     "tree_binned_split": binned,
     "tree_many_valued_split": many_valued,
     "tree_stopped_early": stopped_early,
+    "tree_full": full,
+    "tree_routed_by_joins": routed,
+    "tree_saved_predict": saved,
 }
 
 ORACLES = {
@@ -275,4 +333,10 @@ ORACLES = {
         f"WITH {_ORDERS}, {_scores('o', ['o_totalprice'], [], 'o_orderstatus', _STATUS)}, b AS ({_best('s')}) "
         "SELECT f, x, round(mi, 10) AS mi, CAST(l0 + l1 + l2 AS BIGINT) AS n_left, CAST(w0 + w1 + w2 - l0 - l1 - l2 AS BIGINT) AS n_right FROM b"
     ),
+    "tree_stopped_early": f"WITH {_STOPPED} SELECT p_type, prediction, count(*) AS n FROM last JOIN labels USING (node) GROUP BY ALL",
+    "tree_full": (
+        f"WITH {_FULL} SELECT CAST(length(node) AS INT) AS depth, prediction, count(*) AS n FROM last JOIN labels USING (node) GROUP BY ALL"
+    ),
+    "tree_routed_by_joins": f"WITH {_STOPPED} SELECT p_partkey, prediction FROM last JOIN labels USING (node)",
+    "tree_saved_predict": f"WITH {_STOPPED} SELECT p_type, prediction, count(*) AS n FROM last JOIN labels USING (node) GROUP BY ALL",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.session import known, quoted, small_frame
+from statloom.session import known, quoted, small_frame, unused_names
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 2**20
@@ -45,12 +45,13 @@ def lookup_join(
     if fits_broadcast(table, broadcast_rows):
         return rows.join(F.broadcast(table), keys, "left")
 
-    counted = rows.where(known(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    frequent = counted.orderBy(F.desc("_rows")).limit(hot_keys).select(*keys)
+    count, flag = unused_names(rows, ["_rows", "_hot"])
+    counted = rows.where(known(keys)).groupBy(*keys).agg(F.count("*").alias(count))
+    frequent = counted.orderBy(F.desc(count)).limit(hot_keys).select(*keys)
     hot = small_frame(rows.sparkSession, frequent.collect(), frequent.schema)
-    flagged = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    apart = F.coalesce(F.col("_hot"), F.lit(False)) | ~known(keys)
+    flagged = rows.join(F.broadcast(hot.withColumn(flag, F.lit(True))), keys, "left")
+    apart = F.coalesce(F.col(flag), F.lit(False)) | ~known(keys)
     hot_table = table.join(F.broadcast(hot), keys, "left_semi")
-    hot_part = flagged.where(apart).drop("_hot").join(F.broadcast(hot_table), keys, "left")
-    cold_part = flagged.where(~apart).drop("_hot").join(table.hint("merge"), keys, "left")
+    hot_part = flagged.where(apart).drop(flag).join(F.broadcast(hot_table), keys, "left")
+    cold_part = flagged.where(~apart).drop(flag).join(table.hint("merge"), keys, "left")
     return hot_part.unionByName(cold_part)

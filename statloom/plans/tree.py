@@ -1,7 +1,7 @@
-"""Mutual-information decision trees, grown one level per job.
+"""Mutual-information decision trees: split scores, models and the classifier; `stored_tree` grows them.
 
-Each level counts (node, feature, value, class) for all open nodes at once,
-scores every split in the same plan and returns one row per open node.
+A level counts (node, feature, value, class) for all its nodes at once and
+scores every split in the same plan.
 """
 
 from __future__ import annotations
@@ -20,15 +20,8 @@ from statloom import session
 from statloom.functions import metrics
 from statloom.functions.scores import total, xlog2x
 from statloom.operators.encode import ordinal
-from statloom.operators.joins import BROADCAST_ROWS, lookup_join
-from statloom.operators.quantile import (
-    SINGLE_CHUNK_ROWS,
-    bucket_index,
-    chunk_count,
-    cut_points,
-    equal_frequency_buckets,
-    running_sums,
-)
+from statloom.operators.joins import lookup_join
+from statloom.operators.quantile import bucket_index, equal_frequency_buckets, running_sums
 from statloom.operators.split import bernoulli_split, exact_split
 from statloom.sources.tables import write_text
 
@@ -351,62 +344,14 @@ def best_splits(scored: DataFrame) -> DataFrame:
     return scored.where("n_left < n").groupBy("node").agg(chosen).select("node", "s.*")
 
 
-def grow_tree(
-    df: DataFrame,
-    target: str,
-    numeric: list[str],
-    categorical: list[str] | None = None,
-    classes: list[Any] | None = None,
-    max_samples: int = 2,
-    max_mutual_inf: float = 0.0,
-    criterion: str = "full",
-    max_depth: int | None = None,
-    max_bins: int | None = None,
-    chunk_rows: int = SINGLE_CHUNK_ROWS,
-    cache: bool = True,
-) -> TreeModel:
-    """Grow a tree level by level.
-
-    A node is a leaf when its best information is below `max_mutual_inf`
-    (if not 0), it holds one class, has fewer than `max_samples` rows, or no
-    split helps. `max_bins` restricts numeric thresholds to equal-frequency
-    bucket ends, which bounds the counts of a level by nodes x features x bins.
-    """
-    if criterion not in CRITERIA:
-        raise ValueError(f"criterion must be one of {CRITERIA}")
-    categorical = list(categorical or [])
-    classes = class_labels(df, target) if classes is None else list(classes)
-    data = prepare(df, target, classes, numeric, categorical)
-    chunks: dict[str, str] | None = None
-    if numeric and max_bins is not None:
-        data = _binned(data, numeric, max_bins)
-    if cache:
-        data = data.persist()
-    try:
-        by_class = dict(data.groupBy("_y").count().collect())
-        root = Node(1, None, 0, [by_class.get(c, 0) for c in range(len(classes))])
-        if not root.n:
-            raise ValueError("no rows with a target to fit")
-        model = TreeModel(list(numeric), categorical, target, classes, df.schema[target].dataType, {1: root})
-        routed = data
-        if numeric and max_bins is None:
-            pieces = chunk_count(root.n, chunk_rows)
-            if pieces > 1:
-                chunks = {c: f"_chunk_{i}" for i, c in enumerate(numeric)}
-                routed = bucket_index(data, cut_points(data, numeric, pieces), chunks)
-        open_nodes = [1] if _may_split(root, max_samples) else []
-        depth = 0
-        while open_nodes and (max_depth is None or depth < max_depth):
-            found = _level(routed, model, open_nodes, criterion, chunks)
-            open_nodes = _split_nodes(model, open_nodes, found, max_samples, max_mutual_inf, criterion)
-            depth += 1
-        return model
-    finally:
-        if cache:
-            data.unpersist()
-
-
-def _binned(data: DataFrame, numeric: list[str], bins: int) -> DataFrame:
+def grow_tree(df: DataFrame, target: str, numeric: list[str], categorical: list[str] | None = None, classes: list[Any] | None = None, **options) -> TreeModel:
+    """Grow a tree and hold it as one object; see `stored_tree.grow` for the options and for trees too large for that."""
+    from statloom.plans import stored_tree
+
+    return stored_tree.grow(df, target, numeric, categorical, classes, **options).model()
+
+
+def binned(data: DataFrame, numeric: list[str], bins: int) -> DataFrame:
     """Each numeric value replaced by the greatest value of its bucket."""
     buckets = equal_frequency_buckets(data, numeric, bins)
     index = {c: f"_bucket_{i}" for i, c in enumerate(numeric)}
@@ -419,70 +364,6 @@ def _binned(data: DataFrame, numeric: list[str], bins: int) -> DataFrame:
     return placed.select(*[ends[c].alias(c) for c in numeric], *kept)
 
 
-def _may_split(node: Node, max_samples: int) -> bool:
-    return sum(c > 0 for c in node.counts) > 1 and node.n >= max_samples
-
-
-def _level(data: DataFrame, model: TreeModel, open_nodes: list[int], criterion: str, chunks) -> dict[int, list]:
-    """Candidate splits of all open nodes (one per node and kind of feature)."""
-    k = len(model.classes)
-    rows = data.withColumn("node", model.node_column())
-    leaves = sum(n.is_leaf for n in model.nodes.values())
-    if leaves > len(open_nodes):
-        kept = F.array(*[F.lit(i) for i in open_nodes]) if len(open_nodes) <= EXPRESSION_NODES else None
-        if kept is not None:
-            rows = rows.where(F.col("node").isin(open_nodes))
-        else:
-            table = session.small_frame(data.sparkSession, [(i,) for i in open_nodes], "node int")
-            wanted = F.broadcast(table) if len(open_nodes) <= BROADCAST_ROWS else table
-            rows = rows.join(wanted, "node", "left_semi")
-    parts = []
-    if model.numeric:
-        counts = value_counts(rows, model.numeric, k, chunks)
-        best = best_splits(numeric_scores(counts, k, criterion, chunks is not None))
-        parts.append(best.select("node", F.lit(False).alias("cat"), "f", "x", F.lit(None).cast("string").alias("v"), "mi", "left", "whole"))
-    if model.categorical:
-        counts = value_counts(rows, model.categorical, k)
-        best = best_splits(categorical_scores(counts, k, criterion, len(open_nodes) * len(model.categorical)))
-        parts.append(best.select("node", F.lit(True).alias("cat"), "f", F.lit(None).cast("double").alias("x"), F.col("x").alias("v"), "mi", "left", "whole"))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    found: dict[int, list] = {}
-    for r in both.collect():
-        found.setdefault(r.node, []).append(r)
-    return found
-
-
-def _split_nodes(model, open_nodes, found, max_samples, max_mutual_inf, criterion) -> list[int]:
-    """Turn the chosen splits into child nodes; return the children that may split again."""
-    opened = []
-    for i in open_nodes:
-        candidates = sorted(found.get(i, []), key=lambda r: (-round(r.mi, MI_DIGITS), r["cat"], r.f))
-        if not candidates:
-            continue
-        best, node = candidates[0], model.nodes[i]
-        node.mi = best.mi
-        if max_mutual_inf != 0 and best.mi < max_mutual_inf:
-            continue
-        if criterion == "full" and round(best.mi, MI_DIGITS) <= 0:
-            continue
-        left = list(best.left)
-        right = [w - l for l, w in zip(best.left, best.whole)]
-        missing = [n - w for n, w in zip(node.counts, best.whole)]
-        node.null_left = sum(left) >= sum(right)
-        grown = left if node.null_left else right
-        for c, m in enumerate(missing):
-            grown[c] += m
-        node.categorical = best["cat"]
-        node.feature = (model.categorical if best["cat"] else model.numeric)[best.f]
-        node.threshold, node.level = best.x, best.v
-        node.left, node.right = len(model.nodes) + 1, len(model.nodes) + 2
-        for child, counts in ((node.left, left), (node.right, right)):
-            model.nodes[child] = Node(child, i, node.depth + 1, counts)
-            if _may_split(model.nodes[child], max_samples):
-                opened.append(child)
-    return opened
-
-
 class DecisionTreeClassifier:
     """Initialise, split, estimate, predict and score."""
 
@@ -493,6 +374,7 @@ class DecisionTreeClassifier:
         self.evaluation: DataFrame | None = None
         self.predictions: DataFrame | None = None
         self.model: TreeModel | None = None
+        self.stored = None
         self.name = "dataset"
         self.target = ""
         self.target_classes: list[Any] = []
@@ -518,7 +400,7 @@ class DecisionTreeClassifier:
         numeric, categorical = session.split_features(self.dataset, [self.target])
         self.numeric = [c for c in numeric if features is None or c in features]
         self.categorical = [c for c in categorical if features is None or c in features]
-        self.model = self.predictions = None
+        self.model = self.stored = self.predictions = None
         return self
 
     def train_test_split(
@@ -539,10 +421,12 @@ class DecisionTreeClassifier:
 
     def estimate(self, max_samples: int = 2, max_mutual_inf: float = 0.0, **options) -> "DecisionTreeClassifier":
         source = self.train if self.train is not None else self._given()
-        self.model = grow_tree(
+        from statloom.plans import stored_tree
+
+        self.stored = stored_tree.grow(
             source, self.target, self.numeric, self.categorical, self.target_classes, max_samples, max_mutual_inf, **options
         )
-        self.predictions = None
+        self.model = self.predictions = None
         return self
 
     def create_model(self, file_output: str | None = None) -> str:
@@ -563,7 +447,8 @@ class DecisionTreeClassifier:
             source = session.as_frame(self.spark, table)
         else:
             source = self.evaluation if self.evaluation is not None else self._given()
-        self.predictions = self._fitted().transform(source)
+        fitted = self.stored if self.stored is not None else self._fitted()
+        self.predictions = fitted.transform(source)
         return self.predictions
 
     def score(self) -> float:
@@ -578,7 +463,7 @@ class DecisionTreeClassifier:
         self._fitted().save(self.spark, path)
 
     def read_dtc_tree(self, path: str) -> "DecisionTreeClassifier":
-        self.model = TreeModel.load(self.spark, path)
+        self.model, self.stored = TreeModel.load(self.spark, path), None
         self.target, self.target_classes = self.model.target, self.model.classes
         self.numeric, self.categorical = self.model.numeric, self.model.categorical
         return self
@@ -590,5 +475,7 @@ class DecisionTreeClassifier:
 
     def _fitted(self) -> TreeModel:
         if self.model is None:
-            raise RuntimeError("estimate first")
+            if self.stored is None:
+                raise RuntimeError("estimate first")
+            self.model = self.stored.model()
         return self.model

@@ -6,6 +6,7 @@ import logging
 import math
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -59,20 +60,47 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=fields)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Pin `df` in reliable storage so that lost executors cannot change it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; only a local session without one gets a temporary folder."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="statloom-checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="statloom-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Pin `df` in reliable storage so that lost executors cannot change it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written below a folder that all executors share, each read back with a known size."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark = spark
+        self.folder = folder or f"{shared_folder(spark)}/statloom-{uuid.uuid4()}"
+        self.written: list[str] = []
+
+    def settle(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """Write `df` and read it back."""
+        path = f"{self.folder}/{name or len(self.written)}"
+        df.write.mode("overwrite").parquet(path)
+        self.written.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Empty what was written so far."""
+        for path in self.written:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        self.written = []
+
+
 def number(column: str | Column) -> Column:
     """A numeric column as DOUBLE with NaN turned into NULL."""
     value = (F.col(quoted(column)) if isinstance(column, str) else column).cast("double")

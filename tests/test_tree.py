@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom import DecisionTreeClassifier, TreeModel, grow_tree
-from statloom.plans import tree
+from statloom.plans import stored_tree, tree
 from statloom.plans.tree import class_labels, numeric_scores, prepare, value_counts
 
 
@@ -50,11 +50,43 @@ def test_scores_match_brute_force(rows):
         assert math.isclose(r.mi, information(Counter(y for x, y in pairs if x <= r.x), whole), abs_tol=1e-9)
 
 
-def test_growth_in_chunks_is_the_same(rows):
-    options = dict(max_depth=4)
+@pytest.mark.parametrize("criterion", ["full", "partial"])
+def test_every_way_to_grow_is_the_same(rows, criterion):
+    options = dict(max_depth=3, criterion=criterion)
     whole = grow_tree(rows, "y", ["a", "b"], ["c"], **options)
-    for chunked in (grow_tree(rows, "y", ["a", "b"], ["c"], chunk_rows=40, **options), grow_tree(rows, "y", ["a", "b"], ["c"], cache=False, **options)):
-        assert [vars(n) for n in chunked.nodes.values()] == [vars(n) for n in whole.nodes.values()]
+    for other in (dict(local_rows=0, chunk_rows=40), dict(local_rows=200)) if criterion == "full" else (dict(local_rows=200),):
+        grown = grow_tree(rows, "y", ["a", "b"], ["c"], **options, **other)
+        assert list(grown.nodes) == list(whole.nodes)
+        for n, m in zip(grown.nodes.values(), whole.nodes.values()):
+            a, b = dict(vars(n)), dict(vars(m))
+            assert a.pop("mi") == pytest.approx(b.pop("mi")) and a == b
+
+
+def test_noise_is_grown_to_the_end(spark):
+    draw = np.random.default_rng(6)
+    frame = pd.DataFrame({"a": draw.normal(size=4000), "b": draw.integers(0, 40, 4000), "c": draw.choice(list("uvwxyz"), 4000), "y": draw.integers(0, 3, 4000)})
+    rows = spark.createDataFrame(frame)
+    stored = stored_tree.grow(rows, "y", ["a", "b"], ["c"])
+    assert stored.nodes() > 1000
+    assert stored.transform(rows).where("y <> prediction").count() == 0
+
+
+def test_stored_trees_route_by_joins(rows, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_tree, "WALK_ROWS", 40)
+    stored = stored_tree.grow(rows, "y", ["a", "b"], ["c"], max_depth=5, local_rows=250, folder=str(tmp_path / "grown"))
+    expected = {r.id: r.prediction for r in stored.transform(rows).collect()}
+    odd = rows.withColumnsRenamed({"y": "_node"}).withColumn("_class", F.lit(1)).withColumn("_to", F.lit(2))
+    stored.save(str(tmp_path / "saved"))
+    again = stored_tree.StoredTree.load(spark, str(tmp_path / "saved"))
+    for tree_ in (stored, again):
+        found = tree_.routed(odd)
+        assert found.columns == [*odd.columns, "prediction"]
+        assert {r.id: r.prediction for r in found.collect()} == expected
+    assert again.model().case_text() == stored.model().case_text()
+    with pytest.raises(ValueError):
+        stored_tree.StoredTree.load(spark, str(tmp_path / "saved")).model(limit=2)
+    shallow = stored_tree.grow(rows, "y", ["a"], [], max_depth=0)
+    assert shallow.routed(rows).select("prediction").distinct().count() == 1
 
 
 def test_every_way_to_predict_agrees(rows, spark, monkeypatch):
@@ -70,12 +102,6 @@ def test_every_way_to_predict_agrees(rows, spark, monkeypatch):
     assert counts == {i: n.n for i, n in model.nodes.items() if n.is_leaf}
 
 
-def test_large_trees_grow_in_batches(rows, monkeypatch):
-    small = grow_tree(rows, "y", ["a", "b"], ["c"], max_depth=3)
-    monkeypatch.setattr(tree, "EXPRESSION_NODES", 0)
-    assert [vars(n) for n in grow_tree(rows, "y", ["a", "b"], ["c"], max_depth=3).nodes.values()] == [vars(n) for n in small.nodes.values()]
-
-
 def test_equal_rows_of_two_classes_end(spark):
     frame = spark.createDataFrame([(1.0, 0), (1.0, 1), (1.0, 1)], "a double, y int")
     model = grow_tree(frame, "y", ["a"], [])
