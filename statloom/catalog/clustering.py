@@ -76,7 +76,7 @@ def ideal(spark: SparkSession, d: str) -> DataFrame:
     supplier = load(spark, d, "supplier")
     starts = {k: first_rows(supplier, "s_suppkey", SUPPLIER, k) for k in (2, 3)}
     factory = KMeans(spark)
-    best = factory.create_ideal_model(supplier, SUPPLIER, [2, 3], "supplier", "z-score", starts=starts, max_steps=2)
+    best = factory.create_ideal_model(supplier, SUPPLIER, [2, 3], "supplier", "z-score", metric="euclidean", starts=starts, max_steps=2)
     kept = best.get_information()["k"]
     rows = [(k, value, k == kept) for k, value in factory.silhouettes.items()]
     return rounded(small_frame(spark, rows, "k int, silhouette double, kept boolean"), silhouette=8)
@@ -90,9 +90,9 @@ def seeded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 500 rows of every cluster, without copies."""
+    """Up to 200 rows of every cluster, without copies."""
     model = _fitted(spark, d, "part", "p_partkey", PART, 3, 1)
-    return rounded(model.cluster_sample(), x_0=8, x_1=8)
+    return rounded(model.cluster_sample(200), x_0=8, x_1=8)
 
 
 def embedding_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -206,8 +206,10 @@ ORACLES = {
     "kmeans_silhouette_squared": f"WITH {_CUSTOMER}, {_silhouette('a2', _SQUARED)} SELECT silhouette FROM sil",
     "kmeans_ideal": _ideal_sql(),
     "kmeans_cluster_sample": (
-        f"WITH {_steps(*_PART, 1)}, w AS (SELECT x0, x1, j, row_number() OVER (PARTITION BY j ORDER BY x0, x1) AS place FROM a0) "
-        "SELECT DISTINCT round(x0, 8) AS x_0, round(x1, 8) AS x_1, j FROM w WHERE place <= 500"
+        f"WITH {_steps(*_PART, 1)}, h AS (SELECT p_partkey AS i, md5('1:' || CAST(CAST(p_retailprice AS DOUBLE) AS VARCHAR) || ':' || "
+        "CAST(CAST(p_size AS DOUBLE) AS VARCHAR)) AS h FROM part), "
+        "w AS (SELECT x0, x1, j, row_number() OVER (PARTITION BY j ORDER BY h, x0, x1) AS place FROM a0 JOIN h USING (i)) "
+        "SELECT DISTINCT round(x0, 8) AS x_0, round(x1, 8) AS x_1, j FROM w WHERE place <= 200"
     ),
     "kmeans_embedding_steps": (
         "WITH v AS (SELECT vec_id AS i, CAST(unnest(range(64)) AS INT) AS l, unnest(embedding)::DOUBLE AS v FROM embeddings), "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statloom.catalog.common import load, rounded
 from statloom.functions.metrics import accuracy
 from statloom.plans.gaussian import GaussianModel, fit_gaussian
+from statloom.plans.gaussian_table import fit_gaussian_table
 
 THREE = ["l_quantity", "l_extendedprice", "l_discount"]
 TWO = ["p_size", "p_retailprice"]
@@ -102,6 +103,13 @@ def embedding_confusion(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(wide).groupBy("label", "y_prediction").agg(F.count("*").alias("n"))
 
 
+def many_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every order by the likeliest of all customers, whose parameters are a table."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.dayofyear("o_orderdate").alias("day"))
+    found = fit_gaussian_table(orders, ["o_totalprice", "day"], "o_custkey", multivariate=False).transform(orders)
+    return rounded(found.select("o_orderkey", "y_prediction", F.ln("probability").alias("log_probability")), log_probability=6)
+
+
 def _univariate(table: str, key: str, x: list[str], y: str) -> str:
     """Log of prior * density per row and class."""
     stats = ", ".join(f"avg({c}) AS m{i}, var_pop({c}) AS v{i}" for i, c in enumerate(x))
@@ -137,6 +145,7 @@ _LINE_MULTI = f"{_NUMBERED}, {_multivariate('l', 'i', ('l_quantity', 'l_extended
 _PREDICTED = "SELECT p_partkey, y_class AS y_prediction, round(exp(score), 12) AS probability FROM w"
 
 QUERIES = {
+    "gaussian_many_classes": many_classes,
     "gaussian_parameters": parameters,
     "gaussian_priors": priors,
     "gaussian_univariate_predict": univariate_predict,
@@ -154,6 +163,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "gaussian_many_classes": (
+        "WITH f AS (SELECT o_orderkey, o_custkey, o_totalprice AS a, dayofyear(o_orderdate) AS b FROM orders), "
+        "c AS (SELECT o_custkey AS y, count(*) / (SELECT count(*) FROM f) AS p, avg(a) AS ma, var_pop(a) AS va, avg(b) AS mb, var_pop(b) AS vb FROM f GROUP BY 1), "
+        "g AS (SELECT y, p, ma, mb, greatest(va, 1e-9 * max(va) OVER ()) AS va, greatest(vb, 1e-9 * max(vb) OVER ()) AS vb FROM c), "
+        "s AS (SELECT o_orderkey, y, ln(p) - 0.5 * (ln(2 * pi() * va) + ln(2 * pi() * vb)) - (a - ma) * (a - ma) / (2 * va) - (b - mb) * (b - mb) / (2 * vb) AS score "
+        "FROM f, g QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, y) = 1) "
+        "SELECT o_orderkey, y AS y_prediction, round(ln(exp(score)), 6) AS log_probability FROM s"
+    ),
     "gaussian_parameters": " UNION ALL ".join(
         f"SELECT l_returnflag AS y, count(*) AS n, round(count(*) / (SELECT count(*) FROM lineitem), 10) AS prior, "
         f"'{c}' AS feature, round(avg({c}), 6) AS mean, round(var_pop({c}), 2) AS variance FROM lineitem GROUP BY l_returnflag"

@@ -82,6 +82,12 @@ def ranking(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rank_features(load(spark, d, "lineitem"), categorical, numeric, bins, "l_returnflag"), mi=10)
 
 
+def ranking_in_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with buckets found in chunks of a thousand rows."""
+    numeric, categorical, bins = RANKED["lineitem"]
+    return rounded(rank_features(load(spark, d, "lineitem"), categorical, numeric, bins, "l_returnflag", 1_000), mi=10)
+
+
 def _bucket(column: str, bins: int = BINS) -> str:
     return f"CAST(({bins} * rank() OVER (ORDER BY {column}) + count(*) OVER () - 1) // count(*) OVER () AS INT)"
 
@@ -150,6 +156,7 @@ QUERIES = {
     "histogram_density_1d_categorical": density_categorical,
     "histogram_density_2d": density_two,
     "rank_features": ranking,
+    "rank_features_chunked": ranking_in_chunks,
 }
 
 ORACLES = {
@@ -203,3 +210,4 @@ ORACLES = {
         "SELECT f, round(sum(n / nn * log2((n / nn) / ((nx / nn) * (ny / nn)))), 10) AS mi FROM w GROUP BY f"
     ),
 }
+ORACLES["rank_features_chunked"] = ORACLES["rank_features"]

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from statloom.catalog.common import load, rounded
 from statloom.operators.matrix import (
     cross_products,
+    from_blocks,
     multiply_coordinates,
     multiply_matrices,
+    salted,
+    to_blocks,
     to_coordinates,
     to_wide,
     transpose,
+    transpose_blocks,
     transpose_coordinates,
 )
 
@@ -74,6 +78,27 @@ def coordinates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(transpose_coordinates(to_coordinates(_label_means(spark, d))), v=8)
 
 
+def transposed_tall(spark: SparkSession, d: str) -> DataFrame:
+    """All orders by three measures, transposed in blocks: three rows of as many columns as there are orders."""
+    orders = load(spark, d, "orders")
+    wide = orders.select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_custkey", F.month("o_orderdate").alias("month"))
+    return from_blocks(transpose_blocks(to_blocks(wide)))
+
+
+def _with_hot_part(key: str) -> F.Column:
+    """A key that is 0 for half of the rows."""
+    return F.when(F.col(key) % 2 == 0, F.col(key)).otherwise(F.lit(0).cast("long"))
+
+
+def sparse_product_hot(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities by order and part group, times sizes by part group; one group holds half of all cells."""
+    left = load(spark, d, "lineitem").select((F.col("l_orderkey") % 2000).alias("i"), _with_hot_part("l_partkey").alias("k"), F.col("l_quantity").alias("v"))
+    right = load(spark, d, "part").select(_with_hot_part("p_partkey").alias("k"), (F.col("p_partkey") % 7).alias("j"), F.col("p_size").cast("double").alias("v"))
+    # The salted way, whatever the size of the right side.
+    a, b = left.groupBy("i", "k").agg(F.sum("v").alias("va")), right.groupBy("k", "j").agg(F.sum("v").alias("vb"))
+    return salted(a, b, 500).groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
+
+
 _CELLS = (
     "v AS (SELECT vec_id, label, CAST(unnest(range(64)) + 1 AS INT) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), "
     "m AS (SELECT label, k, avg(v) AS m FROM v GROUP BY label, k)"
@@ -83,8 +108,10 @@ QUERIES = {
     "matrix_product": product,
     "matrix_product_small": product_small,
     "matrix_transpose": transposed,
+    "matrix_transpose_tall": transposed_tall,
     "matrix_cross_products": squares,
     "sparse_product": sparse_product,
+    "sparse_product_hot_key": sparse_product_hot,
     "matrix_coordinates": coordinates,
 }
 
@@ -112,5 +139,15 @@ ORACLES = {
     "sparse_product": (
         "SELECT l_partkey AS i, s_nationkey AS j, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
     ),
+    "matrix_transpose_tall": (
+        "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS k, o_totalprice, o_custkey, month(o_orderdate) AS m FROM orders) "
+        "SELECT CAST(1 AS BIGINT) AS i, k, CAST(o_totalprice AS DOUBLE) AS v FROM o UNION ALL SELECT 2, k, CAST(o_custkey AS DOUBLE) FROM o "
+        "UNION ALL SELECT 3, k, CAST(m AS DOUBLE) FROM o"
+    ),
+    "sparse_product_hot_key": (
+        "WITH a AS (SELECT l_orderkey % 2000 AS i, CASE WHEN l_partkey % 2 = 0 THEN l_partkey ELSE 0 END AS k, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), "
+        "b AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE 0 END AS k, p_partkey % 7 AS j, sum(p_size) AS v FROM part GROUP BY ALL) "
+        "SELECT i, j, CAST(sum(a.v * b.v) AS DOUBLE) AS v FROM a JOIN b USING (k) GROUP BY ALL"
+    ),
     "matrix_coordinates": f"WITH {_CELLS} SELECT k AS i, label AS k, round(m, 8) AS v FROM m",
 }

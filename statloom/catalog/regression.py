@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.catalog.common import load, rounded
 from statloom.functions.metrics import r2
-from statloom.operators.encode import category_levels, one_hot, one_hot_name
+from statloom.operators.encode import category_levels, one_hot, one_hot_name, one_hot_sparse
 from statloom.operators.matrix import cross_products
-from statloom.plans.linear_regression import LinearModel, fit_linear
-from statloom.session import small_frame
+from statloom.plans.linear_regression import LinearModel, LinearRegression, fit_linear
+from statloom.session import shared_folder, small_frame
 
 THREE = ["l_quantity", "l_discount", "l_tax"]
 PART_X = ["p_partkey", "p_size"]
@@ -77,6 +79,48 @@ def one_hot_encode(spark: SparkSession, d: str) -> DataFrame:
     return one_hot(customer, category_levels(customer, ["c_mktsegment"])).drop("c_mktsegment")
 
 
+def _orders_by_name(spark: SparkSession, d: str) -> DataFrame:
+    names = load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return load(spark, d, "orders").join(names, "o_custkey").select("o_orderkey", "c_name", F.month("o_orderdate").alias("month"), "o_totalprice")
+
+
+def many_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Prices by customer name, a level each, and month: levels are a table, not columns."""
+    model = fit_linear(_orders_by_name(spark, d), ["c_name", "month"], "o_totalprice", encode=True, inline_levels=100)
+    return rounded(model.coefficient_table(spark).select("name", "value"), value=4)
+
+
+def many_levels_predict(spark: SparkSession, d: str) -> DataFrame:
+    orders = _orders_by_name(spark, d)
+    scored = fit_linear(orders, ["c_name", "month"], "o_totalprice", encode=True, inline_levels=100).transform(orders)
+    return rounded(scored.select("o_orderkey", "y_prediction"), y_prediction=6)
+
+
+def one_hot_many(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each customer's 1 among as many columns as there are names."""
+    return one_hot_sparse(load(spark, d, "customer").select("c_custkey", "c_name"), "c_name").drop("c_name")
+
+
+def saved_predicts(spark: SparkSession, d: str) -> DataFrame:
+    """A model saved, loaded under its name and used again; with its quality, as saved."""
+    part = load(spark, d, "part")
+    base = f"{shared_folder(spark)}/models-{uuid.uuid4()}"
+    LinearRegression(spark, base).create_model(part, PART_X, "p_retailprice", "prices").estimate().predict().score()
+    again = LinearRegression(spark, base).load_model("prices")
+    return rounded(again.predict(part).predictions.select("p_partkey", "y_prediction", F.lit(again.get_score()).alias("r2")), y_prediction=6, r2=9)
+
+
+def saved_models(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, names and states of saved models, one of which was dropped."""
+    part = load(spark, d, "part")
+    base = f"{shared_folder(spark)}/models-{uuid.uuid4()}"
+    for name in ("first", "second", "third"):
+        LinearRegression(spark, base).create_model(part, ["p_size"], "p_retailprice", name).estimate()
+    LinearRegression(spark, base).load_model("first").predict(part).score()
+    LinearRegression(spark, base).drop_model("second")
+    return LinearRegression(spark, base).get_model_list().select("name", "state")
+
+
 def products(spark: SparkSession, d: str) -> DataFrame:
     """Sums of products of every pair of lineitem's measures."""
     names = ["l_quantity", "l_discount", "l_tax"]
@@ -126,6 +170,14 @@ _GROUPS = (
     "t AS (SELECT sum(level) / (count(*) + 1) AS t0, any_value(slope) AS slope FROM a)"
 )
 
+_NAMES = (
+    "o AS (SELECT o_orderkey, c_name, month(o_orderdate) AS month, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey), "
+    "g AS (SELECT c_name, avg(month) AS gx, avg(o_totalprice) AS gy, count(*) * var_pop(month) AS sxx, "
+    "count(*) * covar_pop(month, o_totalprice) AS sxy FROM o GROUP BY c_name), "
+    "s AS (SELECT sum(sxy) / sum(sxx) AS slope FROM g), a AS (SELECT c_name, gy - slope * gx AS level, slope FROM g, s), "
+    "t AS (SELECT sum(level) / (count(*) + 1) AS t0, any_value(slope) AS slope FROM a)"
+)
+
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 def _one_regressor(x: str, digits: int) -> str:
@@ -148,7 +200,12 @@ QUERIES = {
     "linreg_r2": score,
     "linreg_one_hot_coefficients": one_hot_coefficients,
     "linreg_one_hot_predict": one_hot_predict,
+    "linreg_many_levels": many_levels,
+    "linreg_many_levels_predict": many_levels_predict,
+    "linreg_saved_predict": saved_predicts,
+    "linreg_saved_models": saved_models,
     "one_hot_encode": one_hot_encode,
+    "one_hot_sparse": one_hot_many,
     "sums_of_products": products,
 }
 
@@ -186,6 +243,21 @@ ORACLES = {
     "linreg_one_hot_predict": (
         f"WITH {_GROUPS} SELECT p_partkey, round(level + slope * p_size, 6) AS y_prediction FROM part JOIN a USING (p_type)"
     ),
+    "linreg_many_levels": (
+        f"WITH {_NAMES} SELECT 'intercept' AS name, round(t0, 4) AS value FROM t UNION ALL "
+        "SELECT 'linreg_ohe_c_name_' || c_name, round(level - t0, 4) FROM a, t UNION ALL SELECT 'month', round(slope, 4) FROM t"
+    ),
+    "linreg_many_levels_predict": f"WITH {_NAMES} SELECT o_orderkey, round(level + slope * month, 6) AS y_prediction FROM o JOIN a USING (c_name)",
+    "linreg_saved_predict": (
+        f"WITH {_covariances('part', PART_X, 'p_retailprice')}, {_TWO}, "
+        "p AS (SELECT p_partkey, p_retailprice AS y, ay + b1 * (p_partkey - a1) + b2 * (p_size - a2) AS f FROM part, b), "
+        "q AS (SELECT 1 - sum((y - f) * (y - f)) / (count(*) * var_pop(y)) AS r2 FROM p) "
+        "SELECT p_partkey, round(f, 6) AS y_prediction, round(r2, 9) AS r2 FROM p, q"
+    ),
+    "linreg_saved_models": "SELECT * FROM (VALUES ('first', CAST(3 AS INT)), ('third', 1)) AS v(name, state) WHERE (SELECT count(*) FROM part) > 0",
+    "one_hot_sparse": (
+        "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS index, (SELECT count(DISTINCT c_name) FROM customer) AS size FROM customer"
+    ),
     "one_hot_encode": "SELECT c_custkey, "
     + ", ".join(
         f"CAST(c_mktsegment = '{s}' AS INT) AS {one_hot_name('c_mktsegment', s)}" for s in _SEGMENTS

@@ -86,6 +86,17 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return value_ranks(load(spark, d, "lineitem"), "l_extendedprice")
 
 
+def ranked_in_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same in chunks of a thousand rows, whose borders come from merged sketches."""
+    return value_ranks(load(spark, d, "lineitem"), "l_extendedprice", 1_000)
+
+
+def numbered_taken_names(spark: SparkSession, d: str) -> DataFrame:
+    """Row numbers beside columns whose names the numbering could want for itself."""
+    taken = load(spark, d, "orders").selectExpr("o_orderkey AS _seen", "o_totalprice AS _place", "o_custkey AS _part", "o_orderstatus AS _start")
+    return number_rows(taken, ["_place", "_seen"], "i")
+
+
 def levels(spark: SparkSession, d: str) -> DataFrame:
     found = category_levels(load(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
     rows = [(f, n, v) for f, values in found.items() for n, v in enumerate(values, 1)]
@@ -142,7 +153,9 @@ QUERIES = {
     "ordinal_encode": ordinal_few,
     "ordinal_encode_many": ordinal_many,
     "row_numbers": numbered,
+    "number_rows_taken_names": numbered_taken_names,
     "value_ranks": ranked,
+    "value_ranks_chunked": ranked_in_chunks,
     "category_levels": levels,
     "table_rows": rows_of,
     "table_columns": columns_of,
@@ -177,6 +190,14 @@ ORACLES = {
         "WITH r AS (SELECT l_extendedprice AS x, rank() OVER (ORDER BY l_extendedprice) AS rank FROM lineitem) "
         "SELECT x, count(*) AS n, rank FROM r GROUP BY x, rank"
     ),
+    "value_ranks_chunked": (
+        "WITH r AS (SELECT l_extendedprice AS x, rank() OVER (ORDER BY l_extendedprice) AS rank FROM lineitem) "
+        "SELECT x, count(*) AS n, rank FROM r GROUP BY x, rank"
+    ),
+    "number_rows_taken_names": (
+        "SELECT o_orderkey AS _seen, o_totalprice AS _place, o_custkey AS _part, o_orderstatus AS _start, "
+        "row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders"
+    ),
     "category_levels": " UNION ALL ".join(
         f"SELECT '{c}' AS f, CAST(row_number() OVER (ORDER BY {c}) AS INT) AS position, {c} AS level "
         f"FROM (SELECT DISTINCT {c} FROM orders)"

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from statloom.session import number, quoted, small_frame, unused_names
 
 SINGLE_CHUNK_ROWS = 2_000_000
+#: Chunks of a column at most; beyond this many times SINGLE_CHUNK_ROWS rows chunks grow instead, and their tasks spill.
 MAX_CHUNKS = 10_000
+#: Tasks that merge sketches before the last one does.
+SKETCH_GROUPS = 64
 
 
 @dataclass(frozen=True)
@@ -37,15 +40,24 @@ def chunk_count(rows: int, chunk_rows: int = SINGLE_CHUNK_ROWS) -> int:
 
 
 def cut_points(df: DataFrame, columns: list[str], chunks: int) -> dict[str, list[float]]:
-    """Approximate quantiles of every column in one aggregate (no row shuffle)."""
+    """Approximate quantiles of every column, from sketches that are merged in two levels.
+
+    Each task sketches its rows, SKETCH_GROUPS tasks merge those of their share, and one
+    merges what these give, so no task reads all sketches. Chunks need not be equal: what
+    is computed from them is exact wherever their borders lie.
+    """
     if chunks <= 1:
         return {c: [] for c in columns}
-    shares = [i / chunks for i in range(1, chunks)]
-    accuracy = max(10_000, 20 * chunks)
-    row = df.agg(
-        *[F.percentile_approx(number(c), shares, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c: sorted(set(row[f"c{i}"] or [])) for i, c in enumerate(columns)}
+    shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    size = F.lit(min(65_535, max(4_000, 8 * chunks)))
+    names = [f"c{i}" for i in range(len(columns))]
+    share = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("share")
+    values = df.select(share, *[number(c).alias(n) for c, n in zip(columns, names)])
+    partial = values.groupBy("share").agg(*[F.kll_sketch_agg_double(n, size).alias(n) for n in names])
+    whole = partial.agg(*[F.kll_merge_agg_double(n, size).alias(n) for n in names])
+    read = [F.when(F.kll_sketch_get_n_double(n) > 0, F.kll_sketch_get_quantile_double(n, shares)).alias(n) for n in names]
+    row = whole.select(*read).first()
+    return {c: sorted(set(row[n] or [])) for c, n in zip(columns, names)}
 
 
 def bucket_index(df: DataFrame, cuts: dict[str, list[float]], out: dict[str, str]) -> DataFrame:

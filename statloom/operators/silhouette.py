@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +14,8 @@ from statloom.functions.scores import linear, squared_distances, total
 from statloom.session import bounded_rows, literal_sql
 
 BLOCK_ROWS = 2048
-PAIRS_PER_TASK = 16
+#: Blocks of a group at most; a task holds those of two groups.
+BLOCKS_PER_GROUP = 16
 MAX_CLUSTERS = 10_000
 
 
@@ -20,9 +23,9 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
     """Average of (b - a) / max(a, b) with Euclidean distances over all pairs.
 
     Copies of a point are counted once with their weight. The different points
-    are dealt into blocks of bounded size by hash, and every pair of blocks is
-    one matrix computation that returns distance sums per point and cluster;
-    pairs of points are never rows. A point alone in its cluster, or 0/0, has
+    are dealt into blocks of bounded size by hash, and blocks into groups; a task takes the
+    blocks of two groups and returns distance sums per point and cluster, so what is moved
+    grows with the points times the square root of the tasks. Pairs of points are never rows. A point alone in its cluster, or 0/0, has
     no silhouette and drops out.
     """
     weighted = points.groupBy(*features, cluster).agg(F.count("*").alias("w"))
@@ -36,6 +39,9 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
 
     spark = points.sparkSession
     d = len(features)
+    # Blocks are dealt to groups; a task takes one pair of groups, so a block is shipped as often as there are groups.
+    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(-(-blocks // BLOCKS_PER_GROUP), min(blocks, math.ceil(math.sqrt(2 * wanted))))
     cells = [f"v{i}" for i in range(d)] + ["c", "w"]
     own_place = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col(cluster)).cast("int") - 1
     cell = F.struct(*[F.col(f).alias(f"v{i}") for i, f in enumerate(features)], own_place.alias("c"), F.col("w").cast("double").alias("w"))
@@ -43,15 +49,10 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
         weighted.select(F.pmod(F.xxhash64(*features, cluster), F.lit(blocks)).alias("block"), cell.alias("p"))
         .groupBy("block")
         .agg(F.collect_list("p").alias("p"))
+        .select("block", F.pmod("block", F.lit(groups)).cast("int").alias("own"), *[F.col("p")[c].alias(c) for c in cells])
     )
-    left = packed.select(F.col("block").alias("a"), *[F.col("p")[c].alias(f"a_{c}") for c in cells])
-    right = packed.select(F.col("block").alias("b"), *[F.col("p")[c].alias(f"b_{c}") for c in cells])
-    pairs = spark.range(blocks * blocks).select(
-        F.floor(F.col("id") / blocks).alias("a"), F.pmod("id", F.lit(blocks)).alias("b")
-    )
-    paired = blocks * (blocks + 1) // 2
-    tasks = max(-(-paired // PAIRS_PER_TASK), min(paired, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    matched = pairs.where("a <= b").join(left, "a").join(right, "b").repartition(tasks)
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     k = len(labels)
 
     def weights(c, w):
@@ -59,21 +60,28 @@ def euclidean_silhouette(points: DataFrame, features: list[str], cluster: str, b
         to[np.arange(len(c)), c.astype(int)] = w
         return to
 
-    def sums(batches):
-        for batch in batches:
-            for _, row in batch.iterrows():
-                xa = np.column_stack([row[f"a_v{i}"] for i in range(d)])
-                xb = np.column_stack([row[f"b_v{i}"] for i in range(d)])
+    def sums(pair: pd.DataFrame) -> pd.DataFrame:
+        held = {}
+        for row in pair.to_dict("records"):
+            x = np.column_stack([row[f"v{i}"] for i in range(d)])
+            held[row["block"]] = (row["own"], x, np.asarray(row["c"]), np.asarray(row["w"]), np.zeros((len(x), k)))
+        low, high, order = pair["low"].iloc[0], pair["high"].iloc[0], sorted(held)
+        for n, a in enumerate(order):
+            for b in order[n:]:
+                if {held[a][0], held[b][0]} != {low, high}:
+                    continue
+                (_, xa, ca, wa, sa), (_, xb, cb, wb, sb) = held[a], held[b]
                 square = np.zeros((len(xa), len(xb)))
                 for l in range(d):
                     diff = xa[:, l, None] - xb[None, :, l]
                     square += diff * diff
                 dist = np.sqrt(square, out=square)
-                yield _sum_frame(xa, row["a_c"], row["a_w"], dist @ weights(row["b_c"], row["b_w"]))
-                if row["a"] != row["b"]:
-                    yield _sum_frame(xb, row["b_c"], row["b_w"], dist.T @ weights(row["a_c"], row["a_w"]))
+                sa += dist @ weights(cb, wb)
+                if a != b:
+                    sb += dist.T @ weights(ca, wa)
+        return pd.concat([_sum_frame(x, c, w, s) for _, x, c, w, s in held.values()])
 
-    per_block = matched.mapInPandas(sums, "x array<double>, own int, w double, sums array<double>")
+    per_block = met.groupBy("low", "high").applyInPandas(sums, "x array<double>, own int, w double, sums array<double>")
     per_point = per_block.groupBy("x", "own", "w").agg(
         *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(labels))]
     )

@@ -56,7 +56,7 @@ class GaussianModel:
     levels: dict[str, list[str]] = field(default_factory=dict)
 
     def _values(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-        helpers = {c: f"_code_{i}" for i, c in enumerate(self.levels)}
+        helpers = dict(zip(self.levels, session.unused_names(df, [f"_code_{i}" for i in range(len(self.levels))])))
         for c, name in helpers.items():
             df = apply_ordinal(df, c, self.levels[c], name)
         return df, [session.number_sql(helpers.get(c, c)) for c in self.x_columns], list(helpers.values())
@@ -68,11 +68,12 @@ class GaussianModel:
         """Add the class of the greatest prior * density (ties: first class) and that product."""
         df, values, helpers = self._values(df)
         best = scores.gaussian_best(values, [c.terms() for c in self.classes])
+        (found,) = session.unused_names(df, ["_best"])
         return (
-            df.withColumn("_best", best)
-            .withColumn(output, F.get(self._labels(), F.col("_best")["at"]))
-            .withColumn(probability, F.exp(F.col("_best")["score"]))
-            .drop("_best", *helpers)
+            df.withColumn(found, best)
+            .withColumn(output, F.get(self._labels(), F.col(found)["at"]))
+            .withColumn(probability, F.exp(F.col(found)["score"]))
+            .drop(found, *helpers)
         )
 
     def class_probabilities(self, df: DataFrame, label: str = "y_class", probability: str = PROBABILITY) -> DataFrame:
@@ -141,7 +142,7 @@ class GaussianModel:
         return T.StructType([T.StructField("y", self.label_type), *T.StructType.fromDDL(rest).fields])
 
 
-def _regular(cov: np.ndarray) -> tuple[np.ndarray, float]:
+def regular(cov: np.ndarray) -> tuple[np.ndarray, float]:
     """The matrix, with a growing ridge when it has no usable inverse."""
     scale = float(np.trace(cov)) / len(cov)
     scale = scale if scale > 0 else 1.0
@@ -160,9 +161,9 @@ def fit_gaussian(df: DataFrame, x_columns: list[str], y_column: str, multivariat
     categorical = [c for c in x_columns if session.is_categorical(df, c)]
     levels = category_levels(df, categorical)
     data, columns = df, list(x_columns)
-    for i, c in enumerate(categorical):
-        data = apply_ordinal(data, c, levels[c], f"_code_{i}")
-        columns[columns.index(c)] = f"_code_{i}"
+    for c, code in zip(categorical, session.unused_names(df, [f"_code_{i}" for i in range(len(categorical))])):
+        data = apply_ordinal(data, c, levels[c], code)
+        columns[columns.index(c)] = code
     groups = grouped_moments(data, columns, y_column, diagonal=not multivariate)
     if not groups:
         raise ValueError("no complete rows to fit")
@@ -173,7 +174,7 @@ def fit_gaussian(df: DataFrame, x_columns: list[str], y_column: str, multivariat
     for g in groups:
         cov, ridge = g.cov, 0.0
         if multivariate:
-            cov, ridge = _regular(cov)
+            cov, ridge = regular(cov)
         else:
             raised = np.maximum(np.diag(cov), floor)
             ridge = float((raised - np.diag(cov)).max())

@@ -11,7 +11,7 @@ from statloom import session
 from statloom.functions import metrics
 from statloom.operators.joins import BROADCAST_ROWS, lookup_join
 from statloom.operators.moments import MAX_GROUPS
-from statloom.operators.quantile import Bucket, equal_frequency_buckets, quantise
+from statloom.operators.quantile import SINGLE_CHUNK_ROWS, Bucket, equal_frequency_buckets, quantise
 from statloom.operators.split import bernoulli_split
 
 PREDICTION = "prediction"
@@ -26,11 +26,11 @@ def _pair(feature: str, value: Column, skip_null: bool) -> Column:
 
 
 def rank_features(
-    df: DataFrame, categorical: list[str], numeric: list[str], bins: int, target: str
+    df: DataFrame, categorical: list[str], numeric: list[str], bins: int, target: str, chunk_rows: int = SINGLE_CHUNK_ROWS
 ) -> DataFrame:
     """(f, mi): mutual information in bits with the target, after equal-frequency
     buckets for numeric features; greatest first."""
-    buckets = equal_frequency_buckets(df, numeric, bins)
+    buckets = equal_frequency_buckets(df, numeric, bins, chunk_rows)
     coded = quantise(df, buckets, {c: bucket_name(c) for c in numeric})
     pairs = [_pair(c, F.col(session.quoted(bucket_name(c))).cast("string"), True) for c in numeric]
     pairs += [_pair(c, F.col(session.quoted(c)), False) for c in categorical]
@@ -105,26 +105,28 @@ class HistogramModel:
     def predict(self, df: DataFrame) -> DataFrame:
         """Add the likeliest class of the row's cell, its joint probability and
         whether the cell was seen; unseen cells get the majority class."""
+        (found,) = session.unused_names(df, ["_best"])
         best = self.cells.groupBy(*self.keys).agg(
-            F.min_by(F.struct("y", "nxy"), F.struct(-F.col("nxy"), F.col("y"))).alias("_best")
+            F.min_by(F.struct("y", "nxy"), F.struct(-F.col("nxy"), F.col("y"))).alias(found)
         )
         joined = lookup_join(self.quantise(df), best, self.keys, BROADCAST_ROWS)
         label = self.cells.schema["y"].dataType
         return (
-            joined.withColumn("matched", F.col("_best").isNotNull())
-            .withColumn(PREDICTION, F.when(F.col("matched"), F.col("_best.y")).otherwise(F.lit(self.majority).cast(label)))
-            .withColumn("measure", F.col("_best.nxy") / F.lit(self.rows))
-            .drop("_best")
+            joined.withColumn("matched", F.col(found).isNotNull())
+            .withColumn(PREDICTION, F.when(F.col("matched"), F.col(f"{found}.y")).otherwise(F.lit(self.majority).cast(label)))
+            .withColumn("measure", F.col(f"{found}.nxy") / F.lit(self.rows))
+            .drop(found)
         )
 
     def density(self, df: DataFrame) -> DataFrame:
         """One row per input row and class seen in its cell, with the joint
         probability `measure`; a row in an unseen cell keeps NULLs."""
-        each = self.cells.groupBy(*self.keys).agg(F.collect_list(F.struct(F.col("y").alias("y_"), "nxy")).alias("_seen"))
+        (seen,) = session.unused_names(df, ["_seen"])
+        each = self.cells.groupBy(*self.keys).agg(F.collect_list(F.struct(F.col("y").alias("y_"), "nxy")).alias(seen))
         joined = lookup_join(self.quantise(df), each, self.keys, BROADCAST_ROWS)
-        columns = [session.quoted(c) for c in joined.columns if c != "_seen"]
+        columns = [session.quoted(c) for c in joined.columns if c != seen]
         return (
-            joined.select(*columns, F.inline_outer("_seen"))
+            joined.select(*columns, F.inline_outer(seen))
             .withColumn("measure", F.col("nxy") / F.lit(self.rows))
             .drop("nxy")
         )

@@ -221,17 +221,23 @@ class KMeansModel:
             return squared_silhouette(points, names, "j")
         raise ValueError("metric must be 'euclidean' or 'squared'")
 
-    def cluster_sample(self, per_cluster: int = SAMPLE_PER_CLUSTER) -> DataFrame:
-        """Distinct rows among the first `per_cluster` of every cluster, for a chart."""
+    def cluster_sample(self, per_cluster: int = SAMPLE_PER_CLUSTER, seed: int = 1) -> DataFrame:
+        """Distinct rows among `per_cluster` of every cluster, for a chart.
+
+        A row's place is a seeded hash of its values, taken in the order of the features' names,
+        so the sample is spread over the cluster. Each task keeps the first of its own rows of a
+        cluster before any are moved.
+        """
         names = coordinates(len(self.features))
-        window = Window.partitionBy("j").orderBy(*names)
-        return (
-            self._assigned_points()
-            .select(*names, "j", F.row_number().over(window).alias("_place"))
-            .where(F.col("_place") <= per_cluster)
-            .select(*names, "j")
-            .distinct()
-        )
+        raw = [session.number(c).cast("string") for c in sorted(self.features)]
+        draw = F.md5(F.concat_ws(":", F.lit(str(seed)), *raw).cast("binary"))
+        values = self._scaled()
+        (place,) = session.unused_names(self._table(), ["_place"])
+        points = self._table().where(session.known(values)).select(*[v.alias(x) for v, x in zip(values, names)], draw.alias(place))
+        near = points.select("*", scores.nearest(names, self.assigned_by)["j"].alias("j"))
+        window = Window.partitionBy("j").orderBy(place, *names)
+        first = near.withColumn(place, F.row_number().over(window)).where(F.col(place) <= per_cluster)
+        return first.select(*names, "j").distinct()
 
     def _store(self) -> None:
         if self.registry is None or self.model_id is None:
@@ -338,12 +344,12 @@ class KMeans:
         k_list: list[int],
         model_identifier: str,
         normalization: str | None = None,
-        metric: str = "euclidean",
+        metric: str = "squared",
         seed: int = 1,
         max_steps: int = 100,
         starts: dict[int, list[list[float]]] | None = None,
     ) -> KMeansModel | None:
-        """Fit every k and return the model with the best silhouette (the first on a tie)."""
+        """Fit every k and return the model with the best silhouette (the first on a tie); `metric` as in `get_silhouette_avg`."""
         best, best_value = None, None
         self.silhouettes = {}
         for k in k_list:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from statloom import session
 from statloom.functions import metrics, scores
-from statloom.operators.encode import category_levels, one_hot, one_hot_name
+from statloom.operators.encode import MAX_ONE_HOT_LEVELS, category_levels, level_counts, one_hot, one_hot_name
+from statloom.operators.joins import lookup_join
 from statloom.operators.moments import complete, gram
 from statloom.sources.registry import DEFAULT_ID, ModelRegistry
 
@@ -29,6 +30,9 @@ class LinearModel:
     coefficients: list[float]
     levels: dict[str, list[str]] = field(default_factory=dict)
     drop_first: bool = False
+    #: The category whose levels are a table (level, effect), as they are too many for columns.
+    absorbed: str | None = None
+    effects: DataFrame | None = None
 
     def transform(self, df: DataFrame, x_columns: list[str] | None = None, output: str = PREDICTION) -> DataFrame:
         """Add the prediction; `x_columns` renames the features, in fit order."""
@@ -40,6 +44,8 @@ class LinearModel:
         numeric: list[str] = []
         weights = dict(zip(self.features, self.coefficients[1:]))
         for x in self.x_columns:
+            if x == self.absorbed:
+                continue
             if x in self.levels:
                 values = self.levels[x][1:] if self.drop_first else self.levels[x]
                 for v in values:
@@ -48,37 +54,124 @@ class LinearModel:
             else:
                 numeric.append(x)
         linear = scores.linear([session.number_sql(named[x]) for x in numeric], [weights[x] for x in numeric], self.coefficients[0])
-        return df.withColumn(output, reduce(add, terms, linear))
+        if self.absorbed is None:
+            return df.withColumn(output, reduce(add, terms, linear))
+        key, effect = session.unused_names(df, ["_level", "_effect"])
+        table = self.effects.select(F.col("level").alias(key), F.col("effect").alias(effect))
+        keyed = df.withColumn(key, F.col(session.quoted(named[self.absorbed])).cast("string"))
+        joined = lookup_join(keyed, table, [key])
+        # A level unseen in the fit adds nothing, as it would in columns.
+        terms.append(F.coalesce(F.col(effect), F.lit(0.0)))
+        kept = [F.col(session.quoted(c)) for c in df.columns if c != output]
+        return joined.select(*kept, reduce(add, terms, linear).alias(output))
 
     def coefficient_rows(self) -> list[tuple[int, str, float]]:
+        """Coefficients that are no table's."""
         names = ["intercept", *self.features]
         return [(i, n, float(c)) for i, (n, c) in enumerate(zip(names, self.coefficients))]
 
+    def coefficient_table(self, spark: SparkSession) -> DataFrame:
+        """(position, name, value) of all coefficients; levels of a table have no position."""
+        rows = session.small_frame(spark, self.coefficient_rows(), "position int, name string, value double")
+        if self.absorbed is None:
+            return rows
+        name = F.concat(F.lit(one_hot_name(self.absorbed, "")), F.col("level"))
+        return rows.unionByName(self.effects.select(F.lit(None).cast("int").alias("position"), name.alias("name"), F.col("effect").alias("value")))
+
 
 def fit_linear(
-    df: DataFrame, x_columns: list[str], y_column: str, encode: bool = False, drop_first: bool = False
+    df: DataFrame, x_columns: list[str], y_column: str, encode: bool = False, drop_first: bool = False, inline_levels: int = MAX_ONE_HOT_LEVELS
 ) -> LinearModel:
     """Means and deviations, one aggregate of centred products, then a small least-squares solve.
 
     Rows with a missing value are left out as a whole; a singular system gets
-    its minimum-norm answer.
+    its minimum-norm answer. Categories become columns while they have at most `inline_levels`
+    levels together; of more, the one with most levels is a table (see `_absorbed`).
     """
     categorical = [c for c in x_columns if session.is_categorical(df, c)]
     if categorical and not encode:
         raise ValueError(f"columns {categorical} are not numeric; ask for one-hot handling")
-    levels = category_levels(df, categorical)
+    absorbed = None
     if categorical:
-        df = one_hot(df.where(session.known(categorical)), levels, drop_first)
+        df = df.where(session.known(categorical))
+        counts = level_counts(df, categorical)
+        if sum(counts.values()) > inline_levels:
+            absorbed = max(categorical, key=lambda c: counts[c])
+            if sum(counts.values()) - counts[absorbed] > inline_levels:
+                raise ValueError(f"only one category may have many levels; {counts} are more than {inline_levels} beside the largest")
+    inline = [c for c in categorical if c != absorbed]
+    levels = category_levels(df, inline)
+    if inline:
+        df = one_hot(df, levels, drop_first)
     features: list[str] = []
     for c in x_columns:
         if c in levels:
             features += [one_hot_name(c, v) for v in (levels[c][1:] if drop_first else levels[c])]
-        else:
+        elif c != absorbed:
             features.append(c)
+    if absorbed is not None:
+        theta, effects = _absorbed(df, features, absorbed, y_column, drop_first)
+        return LinearModel(list(x_columns), y_column, features, [float(t) for t in theta], levels, drop_first, absorbed, effects)
     theta = _least_squares(df, features, y_column)
     return LinearModel(list(x_columns), y_column, features, [float(t) for t in theta], levels, drop_first)
 
 
+def _absorbed(df: DataFrame, features: list[str], category: str, y_column: str, drop_first: bool) -> tuple[np.ndarray, DataFrame]:
+    """Least squares of which one category's levels are a table, by block elimination of the normal equations.
+
+    The block of the levels is diagonal, so they are eliminated by centring every other column within its level: an
+    aggregate by level gives the means, a second pass the centred products of the other
+    columns, which alone reach the driver. A level's effect is then an expression of its
+    means. Of the answers of the singular system (an intercept beside all levels, columns
+    constant within levels) the one of least norm is found from sums of products over the table of levels.
+    """
+    spark, p = df.sparkSession, len(features)
+    level = F.col(session.quoted(category)).cast("string").alias("level")
+    names = [f"z{i}" for i in range(p + 1)]
+    values = [session.number(c) for c in [*features, y_column]]
+    data = df.select(level, *[v.alias(n) for v, n in zip(values, names)]).where(session.known(["level", *names]))
+    means = [f"m{i}" for i in range(p + 1)]
+    table = session.Tables(spark).settle(data.groupBy("level").agg(F.count("*").alias("n"), *[F.avg(z).alias(m) for z, m in zip(names, means)]))
+    rows = table.agg(F.sum("n")).first()[0]
+    if not rows:
+        raise ValueError("no complete rows to fit")
+    centred = lookup_join(data, table.drop("n"), ["level"]).select(*[(F.col(z) - F.col(m)).alias(z) for z, m in zip(names, means)])
+    sums = gram(centred, names)[1:, 1:] / rows
+    spread = np.array(table.agg(*[F.max(F.abs(m)) for m in means]).first(), dtype=float)
+    scale = np.sqrt(np.diag(sums))
+    constant = scale <= 1e-14 * spread
+    scale = np.where(constant | (scale == 0), 1.0, scale)
+    sums = sums / np.outer(scale, scale)
+    sums[constant, :] = sums[:, constant] = 0.0
+    kinds, vectors = np.linalg.eigh(sums[:-1, :-1])
+    open_ = kinds > max(kinds.max(initial=0.0), 0.0) * p * 1e-12
+    slopes = vectors[:, open_] @ ((vectors[:, open_].T @ sums[:-1, -1]) / kinds[open_]) * scale[-1] / scale[:-1]
+    free = (vectors[:, ~open_] / scale[:-1, None]).T
+    # A direction is (intercept, slopes, weights of [1, means]), where the weights give the effect of any level.
+    answer = [0.0, slopes, np.concatenate([[0.0], -slopes, [1.0]])]
+    directions = [[0.0, u, np.concatenate([[0.0], -u, [0.0]])] for u in free]
+    if drop_first:
+        first = table.orderBy("level").select(*means).first()
+        at = np.concatenate([[1.0], np.array(first, dtype=float)])
+        for d in [answer, *directions]:
+            d[0] = float(d[2] @ at)
+            d[2][0] -= d[0]
+    else:
+        directions.append([1.0, np.zeros(p), np.concatenate([[-1.0], np.zeros(p + 1)])])
+    products = gram(table, means)
+    inner = lambda a, b: a[0] * b[0] + a[1] @ b[1] + a[2] @ products @ b[2]
+    if directions:
+        shares = np.linalg.lstsq(np.array([[inner(a, b) for b in directions] for a in directions]), np.array([inner(a, answer) for a in directions]), rcond=None)[0]
+        for t, d in zip(shares, directions):
+            answer = [a - t * b for a, b in zip(answer, d)]
+    weights = answer[2]
+    effect = scores.linear([session.quoted(m) for m in means], [float(w) for w in weights[1:]], float(weights[0]))
+    effects = table.select("level", effect.alias("effect"))
+    if drop_first:
+        effects = effects.where(F.col("level") != F.lit(table.agg(F.min("level")).first()[0]))
+    return np.concatenate([[answer[0]], answer[1]]), effects
+
+
 def _least_squares(df: DataFrame, features: list[str], y_column: str) -> np.ndarray:
     """Intercept and slopes of least squares; of all answers of a singular system the one of least norm.
 
@@ -205,9 +298,13 @@ class LinearRegression:
         self._pending = (meta["x_columns"], meta["y_column"])
         self.r2, self.input, self.predictions, self.model = meta["r2"], None, None, None
         if meta["state"] > 0:
-            rows = self._saved().params(self.id).orderBy("position").collect()
+            rows = self._saved().params(self.id).where("position IS NOT NULL").orderBy("position").collect()
+            absorbed = meta.get("absorbed")
+            start = len(one_hot_name(absorbed, "")) + 1 if absorbed else 1
+            effects = self._saved().params(self.id).where("position IS NULL").select(F.expr(f"substring(name, {start})").alias("level"), F.col("value").alias("effect"))
             self.model = LinearModel(
-                meta["x_columns"], meta["y_column"], [r.name for r in rows[1:]], [r.value for r in rows], meta["levels"]
+                meta["x_columns"], meta["y_column"], [r.name for r in rows[1:]], [r.value for r in rows], meta["levels"],
+                absorbed=absorbed, effects=effects if absorbed else None,
             )
         return self
 
@@ -232,7 +329,6 @@ class LinearRegression:
     def _store(self) -> None:
         if self.registry is None or self._pending is None:
             return
-        rows = self.model.coefficient_rows() if self.model else []
         meta = {
             "name": self.name,
             "state": self._state(),
@@ -240,8 +336,12 @@ class LinearRegression:
             "y_column": self._pending[1],
             "encode": self.encode,
             "levels": self.model.levels if self.model else {},
+            "absorbed": self.model.absorbed if self.model else None,
             "r2": self.r2,
         }
-        self.registry.save(
-            self.id, meta, session.small_frame(self.spark, rows, "position int, name string, value double")
-        )
+        empty = session.small_frame(self.spark, [], "position int, name string, value double")
+        params = self.model.coefficient_table(self.spark) if self.model else empty
+        if self.model and self.model.absorbed:
+            # The effects may be read from the very table that is to be replaced.
+            params = session.Tables(self.spark).settle(params)
+        self.registry.save(self.id, meta, params)
