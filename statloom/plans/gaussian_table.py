@@ -21,8 +21,10 @@ from statloom.plans.gaussian import PREDICTION, PROBABILITY, SMOOTHING, regular
 
 #: Rows of a block, and numbers of the classes' parameters that a block holds.
 ROW_BLOCK, CLASS_NUMBERS = 4096, 200_000
-#: Scores that a task computes at a time.
-SCORES = 1 << 21
+#: Pairs of blocks that a task takes in large tables.
+PAIRS_PER_TASK = 16
+#: Scores that a task computes at a time, and features up to which pairs of them are taken one by one.
+SCORES, PAIRED_FEATURES = 1 << 17, 8
 
 
 @dataclass
@@ -61,7 +63,10 @@ class GaussianTable:
                     place, value = best_of(x, mean, precision, const)
                     yield pd.DataFrame({"b": row["b"], "r": row["r"], "place": place, "score": value})
 
-        found = met.mapInPandas(score, "b int, r long, place int, score double")
+        # A pair of blocks is much work in few bytes, so tasks are counted, not sized.
+        paired = row_blocks * class_blocks
+        tasks = min(paired, max(-(-paired // PAIRS_PER_TASK), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        found = met.repartition(tasks).mapInPandas(score, "b int, r long, place int, score double")
         # The place within the block of classes stands for the label there.
         labels = held.select("b", F.col("classes.label").alias("labels"))
         named = found.join(labels, "b").select("r", F.get("labels", F.col("place")).alias("label"), "score")
@@ -74,12 +79,22 @@ class GaussianTable:
 def best_of(x: np.ndarray, mean: np.ndarray, precision: np.ndarray, const: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the place of the class of the greatest log score, the first on a tie, and that score."""
     place, value = np.zeros(len(x), np.int32), np.full(len(x), -np.inf)
-    step = max(1, SCORES // max(1, len(x) * x.shape[1]))
+    d, every = x.shape[1], np.arange(len(x))
+    diagonal = not (precision * (1 - np.eye(d))).any()
+    step = max(1, SCORES // max(1, len(x)))
     for c in range(0, len(mean), step):
-        gap = x[:, None, :] - mean[None, c : c + step]
-        scores = const[c : c + step] - 0.5 * np.einsum("nci,cij,ncj->nc", gap, precision[c : c + step], gap, optimize=True)
+        part = slice(c, c + step)
+        scores = np.repeat(const[None, part], len(x), axis=0)
+        if diagonal or d <= PAIRED_FEATURES:
+            gaps = [x[:, i, None] - mean[None, part, i] for i in range(d)]
+            for i in range(d):
+                for j in range(i, i + 1 if diagonal else d):
+                    scores -= (0.5 if i == j else 1.0) * precision[None, part, i, j] * gaps[i] * gaps[j]
+        else:
+            gap = x[None, :, :] - mean[part, None, :]
+            scores -= 0.5 * (np.matmul(gap, precision[part]) * gap).sum(axis=2).T
         own = scores.argmax(axis=1)
-        top = scores[np.arange(len(x)), own]
+        top = scores[every, own]
         better = top > value
         place[better], value[better] = own[better] + c, top[better]
     return place, value
