@@ -3,12 +3,11 @@
 The fit list, each distinct vector once, is written as a table and read by every
 pass; no pass moves a vector. A pass multiplies the covariance by a block of `b`
 columns, V Q = X'(X Q) / n over centred rows: each task gives one row for each
-dimension, the rows of a dimension are added up in the tasks of one small shuffle, and
-the driver holds d x b numbers.
+dimension, SUMMERS tasks add these up, and the driver adds what they give, d x b numbers each.
 
-* A cycle filters the block by a Chebyshev polynomial of V, a pass for each degree. Between
-  0 and the least Ritz value of the block it is small, above it grows as fast as any
-  polynomial can, so the unwanted spectrum is damped.
+* A few Lanczos steps bound the spectrum from below. A cycle filters the block by a Chebyshev
+  polynomial of V, a pass for each degree. Between that bound and the least Ritz value of the
+  block it is small, above it grows as fast as any polynomial can, so the unwanted spectrum is damped.
 * QR makes the block orthonormal, and Rayleigh-Ritz rotates it to approximate eigenvectors.
 * It ends once certified: the residual |V q - e q| of every wanted pair is at most
   `TOLERANCE` of the largest eigenvalue, or no longer falls because rounding is all that is
@@ -47,9 +46,13 @@ from statloom.llm import vectors as V
 from statloom.llm.common import Scratch, fresh, quoted
 
 #: Degree of a cycle's polynomial, and the cycles after which a result that is not certified is refused.
-DEGREE, MOST_CYCLES = 8, 200
+DEGREE, MOST_CYCLES = 10, 200
+#: Lanczos steps that bound the spectrum from below.
+LANCZOS = 6
 #: Residuals of certified pairs, in shares of the largest eigenvalue, and those that may stall.
 TOLERANCE, FLOOR = 2e-15, 1e-12
+#: Tasks that add up the products of all others.
+SUMMERS = 8
 #: Numbers that are multiplied at a time.
 PIECE = 1 << 20
 #: Entries are bounded by this after scaling.
@@ -152,9 +155,10 @@ def _added(rows: DataFrame, d: int, width: int, product: Callable[[np.ndarray],
             yield _row_batch(np.array(list(held), np.int32), np.array(list(held.values())))
 
     schema = "i int, v array<double>"
-    spread = rows.mapInArrow(partial, schema).repartition("i").mapInArrow(sums, schema)
-    found = sorted((r["i"], r["v"]) for r in spread.collect())
-    return np.array([v for _, v in found]).reshape(-1, width)
+    found: dict[int, np.ndarray] = {}
+    for r in rows.mapInArrow(partial, schema).repartition(SUMMERS).mapInArrow(sums, schema).collect():
+        found[r["i"]] = found.get(r["i"], 0) + np.array(r["v"])
+    return np.array([found[i] for i in sorted(found)]).reshape(-1, width)
 
 
 def _row_batch(place: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -190,23 +194,46 @@ class Covariance:
         return whole_[:k, :k] - np.outer(whole_[:k, k], whole_[k, :k])
 
 
-def filtered(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, cut: float, top: float, degree: int) -> np.ndarray:
-    """A Chebyshev polynomial of V times the block: small on [0, cut], one at `top`."""
-    half = cut / 2
-    sigma = half / (top - half)
+def filtered(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, low: float, cut: float, top: float, degree: int) -> np.ndarray:
+    """A Chebyshev polynomial of V times the block: small on [low, cut], one at `top`."""
+    middle, half = (cut + low) / 2, (cut - low) / 2
+    sigma = half / (top - middle)
     first = sigma
-    before, now = block, (times(block) - half * block) * (sigma / half)
+    before, now = block, (times(block) - middle * block) * (sigma / half)
     for _ in range(degree - 1):
         sigma_next = 1 / (2 / first - sigma)
-        before, now = now, (times(now) - half * now) * (2 * sigma_next / half) - sigma * sigma_next * before
+        before, now = now, (times(now) - middle * now) * (2 * sigma_next / half) - sigma * sigma_next * before
         sigma = sigma_next
     return now
 
 
+def least_bound(times: Callable[[np.ndarray], np.ndarray], d: int, draw: np.random.Generator) -> float:
+    """A bound below the spectrum by Lanczos steps: the least Ritz value less the last residual, 0 at least.
+
+    What lay below it would be filtered less, which costs passes but no certainty.
+    """
+    q = draw.normal(size=(d, 1))
+    q, base, diagonal, beside = q / np.linalg.norm(q), [], [], []
+    for _ in range(min(LANCZOS, d)):
+        base.append(q)
+        r = times(q)
+        diagonal.append(float((q.T @ r).item()))
+        held = np.hstack(base)
+        for _ in range(2):
+            r = r - held @ (held.T @ r)
+        beside.append(float(np.linalg.norm(r)))
+        if beside[-1] <= 1e-12 * max(map(abs, diagonal)):
+            return max(0.0, 0.5 * float(np.linalg.eigvalsh(np.diag(diagonal) + np.diag(beside[:-1], 1) + np.diag(beside[:-1], -1))[0]))
+        q = r / beside[-1]
+    ritz = np.linalg.eigvalsh(np.diag(diagonal) + np.diag(beside[:-1], 1) + np.diag(beside[:-1], -1))
+    return max(0.0, float(ritz[0]) - beside[-1])
+
+
 def largest_pairs(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The `k` largest eigenvalues and their eigenvectors of the matrix behind `times`."""
     draw = np.random.default_rng(seed)
     b = min(d, 3 * k)
+    low = 0.0 if b == d else least_bound(times, d, draw)
     values, block, residuals = _ritz(times, draw.normal(size=(d, b)))
     best, probed = np.inf, b == d
     for _ in range(MOST_CYCLES):
@@ -215,7 +242,7 @@ def largest_pairs(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, see
         if b == d or top == 0 or worst <= TOLERANCE * top or (worst <= FLOOR * top and worst > 0.5 * best):
             if probed or top == 0:
                 return values[:k], block[:, :k]
-            fresh_block, exceeds = _probe(times, block, values, k, draw)
+            fresh_block, exceeds = _probe(times, block, values, k, draw, low)
             if not exceeds:
                 return values[:k], block[:, :k]
             # Something larger had been missed: it takes the place of the least columns.
@@ -225,7 +252,7 @@ def largest_pairs(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, see
             continue
         best = min(best, worst)
         cut = max(values[-1], top * 1e-12)
-        block = filtered(times, block, cut, top, DEGREE) if values[0] > cut else block
+        block = filtered(times, block, min(low, 0.9 * cut), cut, top, DEGREE) if values[0] > cut else block
         values, block, residuals = _ritz(times, block)
     raise RuntimeError(f"{k} eigenpairs were not certified in {MOST_CYCLES} cycles")
 
@@ -241,7 +268,7 @@ def _ritz(times: Callable, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return values, vectors, np.linalg.norm(images - vectors * values, axis=0)
 
 
-def _probe(times: Callable, block: np.ndarray, values: np.ndarray, k: int, draw: np.random.Generator) -> tuple[np.ndarray, bool]:
+def _probe(times: Callable, block: np.ndarray, values: np.ndarray, k: int, draw: np.random.Generator, low: float = 0.0) -> tuple[np.ndarray, bool]:
     """Random columns outside the block, filtered there, and whether one of them reaches into the wanted spectrum."""
 
     def outside(x: np.ndarray) -> np.ndarray:
@@ -249,7 +276,7 @@ def _probe(times: Callable, block: np.ndarray, values: np.ndarray, k: int, draw:
 
     start = outside(draw.normal(size=(len(block), min(2, len(block) - block.shape[1]))))
     cut = max(values[-1], values[0] * 1e-12)
-    found = filtered(lambda x: outside(times(outside(x))), start, cut, values[0], DEGREE) if values[0] > cut else start
+    found = filtered(lambda x: outside(times(outside(x))), start, min(low, 0.9 * cut), cut, values[0], DEGREE) if values[0] > cut else start
     theta, vectors, _ = _ritz(lambda x: outside(times(outside(x))), outside(found))
     return vectors, bool(theta[0] > values[k - 1] * (1 + 1e-9))
 

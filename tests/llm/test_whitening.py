@@ -92,7 +92,7 @@ def test_a_missed_component_is_found():
     values = np.r_[50.0, np.linspace(40, 1, 99)]
     matrix = np.diag(values)
     block = np.eye(100)[:, 1:25]
-    fresh, exceeds = whitening._probe(lambda x: matrix @ x, block, values[1:25], 8, np.random.default_rng(1))
+    fresh, exceeds = whitening._probe(lambda x: matrix @ x, block, values[1:25], 8, np.random.default_rng(1), 0.5)
     assert exceeds and abs(fresh[0, 0]) > 0.99
     assert not whitening._probe(lambda x: matrix @ x, np.eye(100)[:, :24], values[:24], 8, np.random.default_rng(1))[1]
 
