@@ -28,6 +28,8 @@ kept, and a taken result name is refused.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,9 @@ SHARED = 3.4
 #: Four chances count as a chi-squared figure of mean 8 with so many degrees of freedom.
 FREEDOM = 2 * 8**2 / (4 * 4 + 2 * SHARED)
 
+#: Elements of a block of running sums, code points of a part of a text, and its stretches: their least size and how many at most.
+BLOCK, PART, STRETCH, STRETCHES = 128, 4096, 1024, 256
+
 DIGITS, CAPITALS, SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,16 +63,36 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once; inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(z: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array the fold of the values of all earlier ones, from 0.
+
+    Taken over blocks of BLOCK elements first, so that the work is no square of the array's size.
+    """
+    zero = F.lit(0)
+    fold = lambda part: F.aggregate(part, zero, lambda a, e: combine(a, value(e)))
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+
+    def placed(earlier: Column) -> Column:
+        return F.transform(z, lambda _, i: combine(F.get(earlier, block(i)), fold(F.slice(z, block(i) * BLOCK + 1, i % BLOCK))))
+
+    def summed(blocks: Column) -> Column:
+        earlier = F.transform(blocks, lambda _, k: F.aggregate(F.slice(blocks, F.lit(1), k), zero, combine))
+        return _let(earlier, placed)
+
+    blocks = F.transform(F.sequence(zero, block(F.size(z) - 1)), lambda k: fold(F.slice(z, k * BLOCK + 1, F.lit(BLOCK))))
+    return F.when(F.size(z) > 0, _let(blocks, summed)).otherwise(F.array().cast("array<int>"))
+
+
 def _starts(found: Column, between: Column) -> Column:
     """Where each match begins: all that stands between matches, and the matches before it."""
     sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("b"), F.length(f).alias("f")))
-    empty = F.array().cast("array<int>")
-    walked = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("starts")),
-        lambda a, s: F.struct((a["at"] + s["b"] + s["f"]).alias("at"), F.array_append(a["starts"], a["at"] + s["b"]).alias("starts")),
-    )
-    return walked["starts"]
+    add = lambda a, b: a + b
+    return _let(sizes, lambda z: F.zip_with(z, _before(z, lambda e: e["b"] + e["f"], add), lambda e, at: at + e["b"]))
 
 
 NO_SPANS = "CAST(array() AS array<struct<start:int,rank:int,end:int,token:string>>)"
@@ -153,11 +178,17 @@ def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans") -> Dat
     scored = scored.withColumn(judged, F.expr(f"filter({judged}, j -> j.score.chance IS NOT NULL)"))
     # The step-up rule: what is at or below the largest weighted chance within its share of the rate is text.
     mean = f"aggregate({judged}, 0D, (a, j) -> a + j.score.weight) / size({judged})"
-    weighted = f"transform({judged}, j -> struct(j.score.chance * ({mean}) / j.score.weight AS chance, j.span AS span))"
+    weighted = f"transform(array({mean}), m -> transform({judged}, j -> struct(j.score.chance * m / j.score.weight AS chance, j.span AS span)))[0]"
     ranked = scored.withColumn(picked, F.expr(f"IF(size({judged}) = 0, NULL, array_sort({weighted}))"))
     cut = f"array_max(transform({picked}, (p, i) -> IF(p.chance <= {RATE}D * (i + 1) / size({picked}), p.chance, -1D)))"
-    overlaps = f"exists({base}, b -> b.start < p.span.end AND p.span.start < b.end)"
-    added = f"IF({picked} IS NULL, {NO_SPANS}, transform(filter({picked}, p -> p.chance > {cut} AND NOT {overlaps}), p -> p.span))"
+    # A token meets the base spans of its own stretches of the text only.
+    width = f"greatest({STRETCH}, length({quoted(text)}) div {STRETCHES})"
+    stretches = f"transform(sequence(0, CAST(length({quoted(text)}) div w AS INT)), k -> filter({base}, b -> b.start < (k + 1) * w AND b.end > k * w))"
+    own = "flatten(slice(g, CAST(p.span.start div w AS INT) + 1, CAST(p.span.end div w - p.span.start div w AS INT) + 1))"
+    overlaps = f"exists({own}, b -> b.start < p.span.end AND p.span.start < b.end)"
+    apart = f"filter({picked}, p -> p.chance > c AND (size({base}) = 0 OR NOT {overlaps}))"
+    bound = f"transform(array({width}), w -> transform(array({stretches}), g -> transform(array({cut}), c -> transform({apart}, p -> p.span))[0])[0])[0]"
+    added = f"IF({picked} IS NULL, {NO_SPANS}, {bound})"
     named = f"element_at(array({', '.join(_text(k) for k in KINDS)}), s.rank + 1)"
     every = f"array_sort(concat({base}, {added}))"
     return ranked.select(
@@ -173,10 +204,25 @@ def listed(spans: str, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "spans", mask: str = "[secret]") -> DataFrame:
-    """Put `mask` in place of every run of characters that spans cover; NULL texts stay NULL."""
-    t, s = quoted(text), quoted(spans)
-    state = "named_struct('at', 0, 'out', '')"
-    step = f"""(a, s) -> named_struct('at', greatest(a.at, s.end),
-        'out', IF(s.start < a.at, a.out, concat(a.out, substring({t}, a.at + 1, s.start - a.at), {_text(mask)})))"""
-    done = f"aggregate({s}, {state}, {step}, a -> concat(a.out, substring({t}, a.at + 1, length({t}) - a.at)))"
-    return df.withColumn(text, F.expr(f"IF(coalesce(size({s}), 0) <= 0, {t}, {done})"))
+    """Put `mask` in place of every run of characters that spans cover; NULL texts stay NULL.
+
+    The text is cut in parts once, so that a piece of it costs its own length and that of a part.
+    """
+    source, found = F.col(quoted(text)), F.col(quoted(spans))
+
+    def piece(parts: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PART).cast("int")
+        held = F.array_join(F.slice(parts, first + 1, F.floor(end / PART).cast("int") - first + 1), "")
+        return F.substring(held, start % PART + 1, end - start)
+
+    def joined(parts: Column, before: Column) -> Column:
+        # A span that begins inside an earlier one belongs to its run.
+        pieces = F.zip_with(found, before, lambda s, at: F.when(s["start"] < at, "").otherwise(F.concat(piece(parts, at, s["start"]), F.lit(mask))))
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.array_join(F.concat(pieces, F.array(piece(parts, last, F.length(source)))), "")
+
+    ends = _before(found, lambda s: s["end"], lambda a, b: F.greatest(a, b))
+    parts = F.regexp_extract_all(source, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    done = _let(parts, lambda p: _let(ends, lambda b: joined(p, b)))
+    # Where one span touches the next, each has its mask, as it would if text stood between them.
+    return df.withColumn(text, F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, source).otherwise(done))

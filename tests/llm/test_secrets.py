@@ -87,6 +87,26 @@ def test_redaction(spark):
     assert [r["text"] for r in df.collect()] == [None, "", "clean", "a [secret] b", "x [secret]' é"]
 
 
+def test_many_spans_in_one_text(spark):
+    draw = random.Random(9)
+    pieces = []
+    for _ in range(3000):
+        pieces.append(draw.choice(["".join(draw.choices("0123456789abcdef", k=32)), "token: " + "".join(draw.choices("abcXYZ019", k=12)), "AKIA" + "A1B2" * 4, "plain wörds \U0001f600"]))
+    text = draw.choice([" ", "\n"]).join(pieces)
+    found = S.find_secrets(spark.createDataFrame([(text,)], "text string"))
+    spans = [(s["kind"], s["start"], s["end"]) for s in found.first()["spans"]]
+    base = [s for s in spans if s[0] != "random"]
+    assert base == base_spans(text) and len(base) > 1500
+    masked, at = [], 0
+    for _, start, end in sorted(spans, key=lambda s: (s[1], s[2])):
+        if start >= at:
+            masked += [text[at:start], "[secret]"]
+        at = max(at, end)
+    assert S.redact(found).first()["text"] == "".join([*masked, text[at:]])
+    for kind, start, end in spans:
+        assert kind != "random" or not any(a < end and start < b for _, a, b in base)
+
+
 def test_empty_table_and_taken_name(spark):
     df = spark.createDataFrame([], "text string")
     assert S.find_secrets(df).count() == 0
