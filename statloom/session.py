@@ -20,11 +20,12 @@ logger = logging.getLogger("statloom")
 LOG_LEVELS = {"INFO": logging.INFO, "DEBUG": logging.DEBUG, "NONE": logging.CRITICAL + 1}
 
 
-def local_session(app: str = "statloom", cpus: int | None = None) -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+def local_session(app: str = "statloom", cpus: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, with `shared` as its checkpoint folder; a cluster brings its own."""
     cpus = cpus or os.cpu_count() or 8
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")

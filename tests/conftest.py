@@ -10,8 +10,7 @@ from statloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", 4)
+    session = local_session("tests", 4, str(tmp_path_factory.mktemp("checkpoint")))
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
