@@ -103,6 +103,15 @@ def embedding_confusion(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(wide).groupBy("label", "y_prediction").agg(F.count("*").alias("n"))
 
 
+def embedding_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of every vector to every label's mean over 64 features, by whole batches."""
+    vectors = load(spark, d, "embeddings")
+    names = [f"e{i}" for i in range(64)]
+    wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    model = fit_gaussian(wide, names, "label", multivariate=False)
+    return rounded(model.mahalanobis(wide).select("vec_id", "y_class", "distance"), distance=6)
+
+
 def many_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every order by the likeliest of all customers, whose parameters are a table."""
     orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.dayofyear("o_orderdate").alias("day"))
@@ -160,6 +169,7 @@ QUERIES = {
     "gaussian_multivariate_confusion": multivariate_confusion,
     "gaussian_encoded_feature": encoded_feature,
     "gaussian_embedding_confusion": embedding_confusion,
+    "gaussian_embedding_distances": embedding_distances,
 }
 
 ORACLES = {
@@ -227,4 +237,9 @@ ORACLES = {
         "s AS (SELECT vec_id, y_true, y_class, density + prior AS score FROM d JOIN p USING (y_class)), "
         f"{_best('vec_id')} SELECT y_true AS label, y_class AS y_prediction, count(*) AS n FROM w GROUP BY 1, 2"
     ),
+    "gaussian_embedding_distances": (
+        "WITH v AS (SELECT vec_id, label, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), "
+        "c AS (SELECT label AS y_class, k, avg(v) AS m, var_pop(v) AS s FROM v GROUP BY label, k) "
+        "SELECT vec_id, y_class, round(sum((v - m) ** 2 / s), 6) AS distance FROM v JOIN c USING (k) GROUP BY ALL"
+    ),
 }

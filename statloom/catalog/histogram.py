@@ -6,6 +6,8 @@ values between, below and above the fitted buckets and unseen cells occur.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,19 @@ def density_two(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_fitted(spark, d)[0].density_2d("o_totalprice", "o_orderpriority"), x_=4, p=10, p_given_y=10)
 
 
+def predict_by_width(spark: SparkSession, d: str) -> DataFrame:
+    """The same prediction with buckets of equal width."""
+    train, rest = _parts(spark, d)
+    model = fit_histogram(train, "o_orderstatus", ["o_orderpriority"], NUMERIC, BINS, edges="width")
+    return rounded(model.predict(rest).select("o_orderkey", "prediction", "measure", "matched"), measure=12)
+
+
+def density_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Joint probability of each class in a row's cell of two of the three features."""
+    model, rest = _fitted(spark, d)
+    return rounded(model.density(rest, ["o_totalprice", "o_orderpriority"]).select("o_orderkey", "y_", "measure"), measure=12)
+
+
 def ranking(spark: SparkSession, d: str) -> DataFrame:
     """Features of lineitem by information about the return flag."""
     numeric, categorical, bins = RANKED["lineitem"]
@@ -102,6 +117,11 @@ def _edge(name: str, column: str) -> str:
     )
 
 
+def _width(column: str) -> str:
+    least, most = f"min({column}) OVER ()", f"max({column}) OVER ()"
+    return f"CAST(least(greatest(floor({BINS} * (CAST({column} AS DOUBLE) - {least}) / ({most} - {least})) + 1, 1), {BINS}) AS INT)"
+
+
 _FIT = (
     f"t AS (SELECT * FROM orders WHERE {_DRAW} < 0.8), r AS (SELECT * FROM orders WHERE {_DRAW} >= 0.8), "
     f"q AS (SELECT *, {_bucket('o_totalprice')} AS q_o_totalprice, {_bucket('o_custkey')} AS q_o_custkey FROM t), "
@@ -155,6 +175,8 @@ QUERIES = {
     "histogram_density_1d_numeric": density_numeric,
     "histogram_density_1d_categorical": density_categorical,
     "histogram_density_2d": density_two,
+    "histogram_predict_equal_width": predict_by_width,
+    "histogram_density_chosen": density_chosen,
     "rank_features": ranking,
     "rank_features_chunked": ranking_in_chunks,
 }
@@ -211,3 +233,10 @@ ORACLES = {
     ),
 }
 ORACLES["rank_features_chunked"] = ORACLES["rank_features"]
+ORACLES["histogram_predict_equal_width"] = reduce(
+    lambda sql, c: sql.replace(_bucket(c), _width(c)), ["o_totalprice", "o_custkey"], ORACLES["histogram_predict"]
+)
+ORACLES["histogram_density_chosen"] = (
+    f"WITH {_PLACED}, two AS (SELECT y, q_o_totalprice, o_orderpriority, sum(nxy) AS nxy FROM cells GROUP BY ALL) "
+    "SELECT o_orderkey, y AS y_, round(nxy / n_all, 12) AS measure FROM e LEFT JOIN two USING (q_o_totalprice, o_orderpriority), nn"
+)

@@ -256,3 +256,17 @@ def equal_width(df: DataFrame, columns: list[str], bins: int, out: dict[str, str
         bucket = F.lit(None).cast("int") if low is None else equal_width_bucket(c, low, high, bins)
         added.append(bucket.alias(out[c]))
     return df.select("*", *added)
+
+
+def equal_width_buckets(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[Bucket]]:
+    """Buckets of equal width between each column's least and greatest value, by the values they hold; empty ones are left out."""
+    index = {c: f"_width_{i}" for i, c in enumerate(columns)}
+    index = dict(zip(columns, unused_names(df, list(index.values()))))
+    placed = equal_width(df, columns, bins, index)
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(index[c]).alias("xq"), number(c).alias("x")) for i, c in enumerate(columns)]))
+    held = placed.select(each).where("xq IS NOT NULL").groupBy("f", "xq").agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count("*").alias("n"))
+    found: dict[str, list[Bucket]] = {c: [] for c in columns}
+    # At most `bins` rows a column.
+    for r in sorted(held.collect()) if columns else []:
+        found[columns[r.f]].append(Bucket(r.xq, r.mn, r.mx, r.n))
+    return found

@@ -11,10 +11,11 @@ from statloom import session
 from statloom.functions import metrics
 from statloom.operators.joins import BROADCAST_ROWS, lookup_join
 from statloom.operators.moments import MAX_GROUPS
-from statloom.operators.quantile import SINGLE_CHUNK_ROWS, Bucket, equal_frequency_buckets, quantise
+from statloom.operators.quantile import SINGLE_CHUNK_ROWS, Bucket, equal_frequency_buckets, equal_width_buckets, quantise
 from statloom.operators.split import bernoulli_split
 
 PREDICTION = "prediction"
+EDGES = {"frequency": equal_frequency_buckets, "width": equal_width_buckets}
 
 
 def bucket_name(feature: str) -> str:
@@ -118,12 +119,18 @@ class HistogramModel:
             .drop(found)
         )
 
-    def density(self, df: DataFrame) -> DataFrame:
+    def density(self, df: DataFrame, features: list[str] | None = None) -> DataFrame:
         """One row per input row and class seen in its cell, with the joint
-        probability `measure`; a row in an unseen cell keeps NULLs."""
+        probability `measure`; a row in an unseen cell keeps NULLs. Cells are those of
+        the chosen features, of all by default."""
+        chosen = [*self.numeric, *self.categorical] if features is None else features
+        for f in chosen:
+            self._require(f, [*self.numeric, *self.categorical])
+        keys = [bucket_name(f) if f in self.numeric else f for f in chosen]
         (seen,) = session.unused_names(df, ["_seen"])
-        each = self.cells.groupBy(*self.keys).agg(F.collect_list(F.struct(F.col("y").alias("y_"), "nxy")).alias(seen))
-        joined = lookup_join(self.quantise(df), each, self.keys, BROADCAST_ROWS)
+        summed = self.cells if features is None else self.cells.groupBy(*keys, "y").agg(F.sum("nxy").alias("nxy"))
+        each = summed.groupBy(*keys).agg(F.collect_list(F.struct(F.col("y").alias("y_"), "nxy")).alias(seen))
+        joined = lookup_join(self.quantise(df), each, keys, BROADCAST_ROWS)
         columns = [session.quoted(c) for c in joined.columns if c != seen]
         return (
             joined.select(*columns, F.inline_outer(seen))
@@ -189,9 +196,9 @@ class HistogramModel:
 
 
 def fit_histogram(
-    df: DataFrame, target: str, categorical: list[str], numeric: list[str] | None = None, bins: int = 50
+    df: DataFrame, target: str, categorical: list[str], numeric: list[str] | None = None, bins: int = 50, edges: str = "frequency"
 ) -> HistogramModel:
-    """Quantise by exact equal-frequency edges and count per cell and class.
+    """Quantise by exact edges, of equal "frequency" or equal "width", and count per cell and class.
 
     Rows without a value in a numeric feature or in the target are left out;
     without a feature list every numeric column but the target is used.
@@ -199,7 +206,9 @@ def fit_histogram(
     if numeric is None:
         numeric = session.split_features(df, [target])[0]
     known = df.where(F.col(session.quoted(target)).isNotNull()).where(session.known([session.number(c) for c in numeric]))
-    buckets = equal_frequency_buckets(known, numeric, bins)
+    if edges not in EDGES:
+        raise ValueError(f"edges must be one of {sorted(EDGES)}, not {edges!r}")
+    buckets = EDGES[edges](known, numeric, bins)
     coded = quantise(known, buckets, {c: bucket_name(c) for c in numeric})
     keys = [bucket_name(c) for c in numeric] + categorical
     cells = (
@@ -233,8 +242,10 @@ class MultidimensionalHistogram:
         source = self._training() if table_train is None else session.as_frame(self.spark, table_train)
         return rank_features(source, cat_features, num_features, bins, self.target)
 
-    def estimate(self, cat_features: list[str], bins: int = 50, num_features: list[str] | None = None) -> "MultidimensionalHistogram":
-        self.model = fit_histogram(self._training(), self.target, cat_features, num_features, bins)
+    def estimate(
+        self, cat_features: list[str], bins: int = 50, num_features: list[str] | None = None, edges: str = "frequency"
+    ) -> "MultidimensionalHistogram":
+        self.model = fit_histogram(self._training(), self.target, cat_features, num_features, bins, edges)
         self.predictions = None
         return self
 
@@ -242,8 +253,8 @@ class MultidimensionalHistogram:
         self.predictions = self._fitted().predict(self._evaluated(evaluation))
         return self
 
-    def density(self, evaluation: DataFrame | str | None = None) -> DataFrame:
-        return self._fitted().density(self._evaluated(evaluation))
+    def density(self, evaluation: DataFrame | str | None = None, features: list[str] | None = None) -> DataFrame:
+        return self._fitted().density(self._evaluated(evaluation), features)
 
     def accuracy(self) -> DataFrame:
         if self.predictions is None:

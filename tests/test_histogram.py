@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from statloom import MDH, fit_histogram
 from statloom.operators import joins
+from statloom.operators.quantile import equal_width_buckets
 from statloom.plans import histogram
 from statloom.plans.histogram import rank_features
 
@@ -74,3 +75,14 @@ def test_whole_flow(small, spark):
     assert mdh.visualize2D("x", "c").count() > 0
     assert mdh.density(small).count() >= 12
     assert joins.BROADCAST_ROWS == 200_000
+
+
+def test_edges_of_equal_width(spark):
+    frame = spark.createDataFrame([(float(x), None if x == 3 else "a") for x in (0, 1, 2, 3, 9, 10)] + [(None, "b")], "x double, y string")
+    model = fit_histogram(frame, "y", [], ["x"], 5, edges="width")
+    assert [(b.xq, b.mn, b.mx, b.n) for b in model.buckets["x"]] == [(1, 0.0, 1.0, 2), (2, 2.0, 2.0, 1), (5, 9.0, 10.0, 2)]
+    assert equal_width_buckets(frame.where("x IS NULL"), ["x"], 3) == {"x": []}
+    with pytest.raises(ValueError):
+        fit_histogram(frame, "y", [], ["x"], 5, edges="other")
+    with pytest.raises(ValueError):
+        model.density(frame, ["z"])
