@@ -185,8 +185,9 @@ class KMeansModel:
     def transform(self, df: DataFrame, centroids: np.ndarray | None = None) -> DataFrame:
         """Add `min_dist` and cluster `j` by the given (default: current) centroids."""
         best = scores.nearest([scaled_sql(c, *s) for c, s in zip(self.features, self.scales)], self.centroids if centroids is None else centroids)
-        return df.withColumn("_b", best).select(
-            *[session.quoted(c) for c in df.columns], F.col("_b.dist").alias("min_dist"), F.col("_b.j").alias("j")
+        (found,) = session.unused_names(df, ["_b"])
+        return df.withColumn(found, best).select(
+            *[session.quoted(c) for c in df.columns], F.col(found)["dist"].alias("min_dist"), F.col(found)["j"].alias("j")
         )
 
     def assignments(self) -> DataFrame:
@@ -194,8 +195,9 @@ class KMeansModel:
         names = coordinates(len(self.features))
         best = scores.nearest(names, self.assigned_by)
         points = self._table().select("*", *[v.alias(x) for v, x in zip(self._scaled(), names)])
-        return points.withColumn("_b", best).select(
-            *[session.quoted(c) for c in points.columns], F.col("_b.dist").alias("min_dist"), F.col("_b.j").alias("j")
+        (found,) = session.unused_names(points, ["_b"])
+        return points.withColumn(found, best).select(
+            *[session.quoted(c) for c in points.columns], F.col(found)["dist"].alias("min_dist"), F.col(found)["j"].alias("j")
         )
 
     def centroid_table(self) -> DataFrame:

@@ -274,9 +274,12 @@ def grow(
     local_rows = max(1, LOCAL_CELLS // (len(numeric) + len(categorical) + len(classes))) if local_rows is None else local_rows
     rules = Rules(max_samples, max_mutual_inf, criterion, max_depth, local_rows)
     tables = session.Tables(spark, folder)
-    data = tree_plan.prepare(df, target, classes, numeric, categorical)
+    # Features go by their place, so that none is called like a column that growth adds.
+    xs, ts = [f"x{i}" for i in range(len(numeric))], [f"t{i}" for i in range(len(categorical))]
+    placed = df.select(*[F.col(session.quoted(c)).alias(a) for c, a in zip([*numeric, *categorical], [*xs, *ts])], F.col(session.quoted(target)).alias("label"))
+    data = tree_plan.prepare(placed, "label", classes, xs, ts)
     if numeric and max_bins is not None:
-        data = tree_plan.binned(data, numeric, max_bins)
+        data = tree_plan.binned(data, xs, max_bins)
     data = tables.settle(data, "rows")
     by_class = dict(data.groupBy("_y").count().collect())
     counts = [by_class.get(c, 0) for c in range(len(classes))]
@@ -287,10 +290,10 @@ def grow(
     kind = open_.first()["kind"]
     chunks, routed = None, data
     if kind == LARGE and numeric and max_bins is None and (pieces := chunk_count(sum(counts), chunk_rows)) > 1:
-        chunks = {c: f"_chunk_{i}" for i, c in enumerate(numeric)}
-        routed = bucket_index(data, cut_points(data, numeric, pieces), chunks)
+        chunks = {c: f"_chunk_{i}" for i, c in enumerate(xs)}
+        routed = bucket_index(data, cut_points(data, xs, pieces), chunks)
     rows = routed.withColumns({"node": F.lit(1).cast("long"), "depth": F.lit(0), "kind": F.lit(kind)})
-    growth = _Growth(tables, rules, list(numeric), categorical, len(classes), chunks)
+    growth = _Growth(tables, rules, xs, ts, len(classes), chunks)
     top, small = growth.levels(open_, rows)
     under = growth.finish(small)
     return StoredTree(list(numeric), categorical, target, classes, df.schema[target].dataType, top, under)

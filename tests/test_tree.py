@@ -62,6 +62,15 @@ def test_every_way_to_grow_is_the_same(rows, criterion):
             assert a.pop("mi") == pytest.approx(b.pop("mi")) and a == b
 
 
+def test_features_may_have_any_name(rows):
+    names = {"a": "depth", "b": "node", "c": "kind"}
+    plain = grow_tree(rows, "y", ["a", "b"], ["c"], max_depth=3, local_rows=200)
+    named = grow_tree(rows.withColumnsRenamed({**names, "y": "label"}), "label", ["depth", "node"], ["kind"], max_depth=3, local_rows=200)
+    assert [(n.feature and names[n.feature], n.counts, n.threshold, n.level) for n in plain.nodes.values()] == [(n.feature, n.counts, n.threshold, n.level) for n in named.nodes.values()]
+    taken = grow_tree(rows.withColumnsRenamed({"a": "_y", "b": "_chunk_0"}), "y", ["_y", "_chunk_0"], ["c"], max_depth=2)
+    assert [n.counts for n in taken.nodes.values()] == [n.counts for n in plain.nodes.values() if n.depth <= 2]
+
+
 def test_noise_is_grown_to_the_end(spark):
     draw = np.random.default_rng(6)
     frame = pd.DataFrame({"a": draw.normal(size=4000), "b": draw.integers(0, 40, 4000), "c": draw.choice(list("uvwxyz"), 4000), "y": draw.integers(0, 3, 4000)})
