@@ -6,9 +6,10 @@ A log holds events of conversations: (conversation, seq, kind, message, role, te
   `regenerate` throws it away, to be streamed anew. A regenerated message also
   supersedes the messages that were opened between it and the regeneration.
 * Folding is associative, so a message is folded in blocks of `BLOCK` sequence numbers
-  first and the blocks then: what stands before the last reset of a block never moves on.
-  Messages are rendered in blocks of their places as well, so a conversation of any
-  length is sorted, marked and joined by many tasks, and only its finished blocks meet.
+  first and the blocks then: what stands before the last reset of a block is gone there.
+  A conversation's messages are folded in many tasks and meet only as rendered turns.
+  So texts are shuffled twice, by message and by conversation; what is superseded is found
+  from numbers alone.
 * A turn becomes its role's marks around the text. Control strings inside a text get
   one backslash after their first character, whatever backslashes are there already,
   which can be undone exactly. `loss` lists the stretches of the result that hold texts
@@ -16,7 +17,7 @@ A log holds events of conversations: (conversation, seq, kind, message, role, te
 
 Defined results: a NULL text or role is empty; a NULL kind, or one that is none of the
 four, counts as `message`. Events are ordered by `seq`, NULL first, then resets before deltas,
-then by text; messages by their first `seq`, then by message. Events without a message id
+then by text; messages by their first `seq`, then by message, role and rendered text. Events without a message id
 are no part of a fold: each of them is a message by itself, repeated ones too. A NULL
 conversation is a conversation. Extra columns are ignored, so their names cannot clash. An
 empty log gives an empty table. A formatted conversation is one value, which Spark bounds at 2 GB.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import quoted
+from statloom.llm.common import fold_before, let, quoted
 
 #: Sequence numbers of a block.
 BLOCK = 1024
@@ -55,11 +56,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, UNESCAPED, "$1$2$3")
 
 
-def _let(value: Column, use) -> Column:
-    """`use` of a value that is computed once, as lambdas would compute it for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _folded(steps: Column) -> tuple[Column, Column]:
     """Whether a sorted array of (.., reset, text) holds a reset, and the text from the last one on."""
     behind = F.array_position(F.reverse(F.transform(steps, lambda s: s["reset"])), True)
@@ -84,38 +80,45 @@ def fold(events: DataFrame, conv: str = "conv_id", seq: str = "seq", kind: str =
         F.col(quoted(role)).alias("role"),
         F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"),
     )
-    single = log.where("message IS NULL").select("conv", F.col("seq").alias("place"), "message", "role", F.when(F.col("rank") == 3, "").otherwise(F.col("text")).alias("text"), F.lit(None).cast(log.schema["seq"].dataType).alias("again"))
+    kept = ["conv", "place", "message", "role", "text"]
+    single = log.where("message IS NULL").select("conv", F.col("seq").alias("place"), "message", "role", F.when(F.col("rank") == 3, "").otherwise(F.col("text")).alias("text"))
     step = F.struct("seq", (-F.col("rank")).alias("order"), F.when(F.col("rank") == 3, "").otherwise(F.col("text")).alias("text"), "role", (F.col("rank") > 0).alias("reset"))
-    again = F.max(F.when(F.col("rank") == 3, F.col("seq"))).alias("again")
+    # Both levels of the fold need a message's events together, so they share one shuffle of the texts.
     parts = (
         log.where("message IS NOT NULL")
+        .repartition("conv", "message")
         .groupBy("conv", "message", F.floor(F.col("seq") / BLOCK).alias("block"))
-        .agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("seq").alias("place"), again)
+        .agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min("seq").alias("place"))
     )
     reset, rest = _folded(F.col("steps"))
-    parts = parts.select("conv", "message", "place", "again", F.struct("block", rest.alias("text"), _first_role(F.col("steps")).alias("role"), reset.alias("reset")).alias("part"))
-    whole = parts.groupBy("conv", "message").agg(F.array_sort(F.collect_list("part")).alias("steps"), F.min("place").alias("place"), F.max("again").alias("again"))
+    parts = parts.select("conv", "message", "place", F.struct("block", rest.alias("text"), _first_role(F.col("steps")).alias("role"), reset.alias("reset")).alias("part"))
+    whole = parts.groupBy("conv", "message").agg(F.array_sort(F.collect_list("part")).alias("steps"), F.min("place").alias("place"))
     _, rest = _folded(F.col("steps"))
-    kept = whole.select("conv", "place", "message", _first_role(F.col("steps")).alias("role"), rest.alias("text"), "again")
-    return _standing(kept.unionByName(single), _before(log))
+    folded = whole.select("conv", "place", "message", _first_role(F.col("steps")).alias("role"), rest.alias("text"))
+    gone, places = _superseded(log)
+    folded = folded.join(gone, F.expr("conv <=> gone_conv AND message = gone_message"), "left_anti")
+    single = single.join(places, F.expr("conv <=> gone_conv AND place = gone_place"), "left_anti")
+    return folded.select(*kept).unionByName(single.select(*kept))
+
 
+def _superseded(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages that a regeneration of an earlier one supersedes, and places of events without a message that it does; no text is moved.
 
-def _before(log: DataFrame) -> DataFrame:
-    """For each block of places (shelf) the furthest regeneration of messages on earlier shelves; no text is moved for it."""
+    The furthest regeneration of all earlier messages is taken over blocks of places (shelves)
+    first and within a shelf then, so no task sees all messages of a conversation.
+    """
+    kind = log.schema["seq"].dataType
     opened = log.where("message IS NOT NULL").groupBy("conv", "message").agg(F.min("seq").alias("place"), F.max(F.when(F.col("rank") == 3, F.col("seq"))).alias("again"))
-    single = log.where("message IS NULL").select("conv", "message", F.col("seq").alias("place"), F.lit(None).cast(log.schema["seq"].dataType).alias("again"))
-    shelves = opened.unionByName(single).groupBy("conv", F.floor(F.col("place") / BLOCK).alias("shelf")).agg(F.max("again").alias("reach"))
+    single = log.where("message IS NULL").select("conv", "message", F.col("seq").alias("place"), F.lit(None).cast(kind).alias("again")).distinct()
+    shelved = opened.unionByName(single).withColumn("shelf", F.floor(F.col("place") / BLOCK))
+    shelves = shelved.groupBy("conv", "shelf").agg(F.max("again").alias("reach"))
     earlier = Window.partitionBy("conv").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
-    return shelves.select("conv", "shelf", F.max("reach").over(earlier).alias("before")).where("before IS NOT NULL")
-
-
-def _standing(messages: DataFrame, before: DataFrame) -> DataFrame:
-    """Messages, with their shelf, that no regeneration of an earlier one supersedes."""
-    shelved = messages.withColumn("shelf", F.floor(F.col("place") / BLOCK))
-    before = before.select(F.col("conv").alias("c"), F.col("shelf").alias("s"), "before")
-    inside = Window.partitionBy("conv", "shelf").orderBy("place", "message", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = shelves.select(F.col("conv").alias("c"), F.col("shelf").alias("s"), F.max("reach").over(earlier).alias("before")).where("before IS NOT NULL")
+    inside = Window.partitionBy("conv", "shelf").orderBy("place", "message").rowsBetween(Window.unboundedPreceding, -1)
     told = shelved.join(before, F.expr("conv <=> c AND shelf <=> s"), "left").withColumn("reach", F.greatest("before", F.max("again").over(inside)))
-    return told.where("NOT coalesce(reach > place, false)").select("conv", "shelf", "place", "message", "role", "text")
+    gone = told.where("reach > place")
+    named = gone.where("message IS NOT NULL").select(F.col("conv").alias("gone_conv"), F.col("message").alias("gone_message"))
+    return named, gone.where("message IS NULL").select(F.col("conv").alias("gone_conv"), F.col("place").alias("gone_place"))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -130,20 +133,25 @@ def _turn(role: Column, text: Column) -> Column:
 
 def render(messages: DataFrame, learned: str = "assistant") -> DataFrame:
     """(conv, formatted, loss): each conversation of `fold`'s messages as one text, and where texts of the learned role stand in it."""
-    turns = messages.withColumn("turn", _turn(F.col("role"), F.col("text")))
-    turns = turns.select("conv", "shelf", "place", "message", "role", "text", (F.col("role") == learned).alias("learned"), F.concat("turn.open", "turn.body", "turn.close").alias("turn"), F.length("turn.open").alias("skip"), F.length("turn.body").alias("size"))
-    inside = Window.partitionBy("conv", "shelf").orderBy("place", "message", "role", "text")
-    at = F.coalesce(F.sum(F.length("turn").cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    number = F.row_number().over(inside)
-    placed = turns.select("conv", "shelf", number.alias("number"), "turn", "learned", (at + F.col("skip")).alias("start"), "size")
-    span = F.when(F.col("learned"), F.struct(F.col("start").alias("start"), (F.col("start") + F.col("size")).alias("end")))
-    blocks = placed.groupBy("conv", "shelf").agg(F.array_sort(F.collect_list(F.struct("number", "turn"))).alias("turns"), F.array_sort(F.collect_list(span)).alias("loss"))
-    blocks = blocks.select("conv", "shelf", F.array_join(F.col("turns.turn"), "").alias("turns"), "loss")
-    earlier = Window.partitionBy("conv").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
-    moved = blocks.withColumn("at", F.coalesce(F.sum(F.length("turns").cast("long")).over(earlier), F.lit(0).cast("long")))
-    moved = moved.select("conv", "shelf", "turns", F.expr("transform(loss, s -> named_struct('start', s.start + at, 'end', s.end + at))").alias("loss"))
-    whole = moved.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("shelf", "turns", "loss"))).alias("blocks"))
-    return whole.select("conv", F.array_join(F.col("blocks.turns"), "").alias("formatted"), F.flatten("blocks.loss").alias("loss"))
+    turns = messages.select("conv", "place", "message", "role", _turn(F.col("role"), F.col("text")).alias("turn"))
+    learn = F.coalesce(F.col("role") == learned, F.lit(False))
+    one = F.struct(
+        "place",
+        "message",
+        "role",
+        F.concat("turn.open", "turn.body", "turn.close").alias("turn"),
+        F.length("turn.open").alias("skip"),
+        F.length("turn.body").alias("size"),
+        learn.alias("learn"),
+    )
+    whole = turns.groupBy("conv").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+
+    def spans(turns: Column) -> Column:
+        at = fold_before(turns, lambda t: F.length(t["turn"]), lambda a, b: a + b)
+        each = F.zip_with(turns, at, lambda t, a: F.when(t["learn"], F.struct((a + t["skip"]).cast("long").alias("start"), (a + t["skip"] + t["size"]).cast("long").alias("end"))))
+        return F.filter(each, lambda s: s.isNotNull())
+
+    return whole.select("conv", F.array_join(F.col("turns.turn"), "").alias("formatted"), spans(F.col("turns")).alias("loss"))
 
 
 def format_chats(events: DataFrame, conv: str = "conv_id", learned: str = "assistant", **names: str) -> DataFrame:
@@ -183,7 +191,7 @@ def masked_texts(formatted: Column, loss: Column) -> Column:
         return unescape(F.substring(held, (span["start"] % PART + 1).cast("int"), (span["end"] - span["start"]).cast("int")))
 
     parts = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
-    return _let(parts, lambda p: F.transform(loss, lambda s: cut(p, s)))
+    return let(parts, lambda p: F.transform(loss, lambda s: cut(p, s)))
 
 
 def streamed(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = 512) -> DataFrame:

@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ __all__ = ["cut_lineage", "quoted"]
 SLICE_BYTES = 2 << 20
 #: Rows of a batch that holds texts.
 BATCH_ROWS = 500
+#: Elements of a block of running folds.
+FOLD_BLOCK = 128
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -132,3 +134,28 @@ def row_key(*columns: str | Column) -> Column:
         c = F.col(quoted(c)) if isinstance(c, str) else c
         parts += [c.isNull(), c]
     return F.xxhash64(*parts)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once; inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold_before(z: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array the fold of the values of all earlier ones, from 0.
+
+    Taken over blocks of FOLD_BLOCK elements first, so that the work is no square of the array's size.
+    """
+    zero = F.lit(0)
+    fold = lambda part: F.aggregate(part, zero, lambda a, e: combine(a, value(e)))
+    block = lambda i: F.floor(i / FOLD_BLOCK).cast("int")
+
+    def placed(earlier: Column) -> Column:
+        return F.transform(z, lambda _, i: combine(F.get(earlier, block(i)), fold(F.slice(z, block(i) * FOLD_BLOCK + 1, i % FOLD_BLOCK))))
+
+    def summed(blocks: Column) -> Column:
+        earlier = F.transform(blocks, lambda _, k: F.aggregate(F.slice(blocks, F.lit(1), k), zero, combine))
+        return let(earlier, placed)
+
+    blocks = F.transform(F.sequence(zero, block(F.size(z) - 1)), lambda k: fold(F.slice(z, k * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK))))
+    return F.when(F.size(z) > 0, let(blocks, summed)).otherwise(F.array().cast("array<int>"))

@@ -28,12 +28,10 @@ kept, and a taken result name is refused.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.common import fresh, quoted
+from statloom.llm.common import fold_before, fresh, let, quoted
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,8 +51,8 @@ SHARED = 3.4
 #: Four chances count as a chi-squared figure of mean 8 with so many degrees of freedom.
 FREEDOM = 2 * 8**2 / (4 * 4 + 2 * SHARED)
 
-#: Elements of a block of running sums, code points of a part of a text, and its stretches: their least size and how many at most.
-BLOCK, PART, STRETCH, STRETCHES = 128, 4096, 1024, 256
+#: Code points of a part of a text, and its stretches: their least size and how many at most.
+PART, STRETCH, STRETCHES = 4096, 1024, 256
 
 DIGITS, CAPITALS, SMALL = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,36 +61,11 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once; inside a lambda it would be computed for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _before(z: Column, value: Callable[[Column], Column], combine: Callable[[Column, Column], Column]) -> Column:
-    """For each element of an array the fold of the values of all earlier ones, from 0.
-
-    Taken over blocks of BLOCK elements first, so that the work is no square of the array's size.
-    """
-    zero = F.lit(0)
-    fold = lambda part: F.aggregate(part, zero, lambda a, e: combine(a, value(e)))
-    block = lambda i: F.floor(i / BLOCK).cast("int")
-
-    def placed(earlier: Column) -> Column:
-        return F.transform(z, lambda _, i: combine(F.get(earlier, block(i)), fold(F.slice(z, block(i) * BLOCK + 1, i % BLOCK))))
-
-    def summed(blocks: Column) -> Column:
-        earlier = F.transform(blocks, lambda _, k: F.aggregate(F.slice(blocks, F.lit(1), k), zero, combine))
-        return _let(earlier, placed)
-
-    blocks = F.transform(F.sequence(zero, block(F.size(z) - 1)), lambda k: fold(F.slice(z, k * BLOCK + 1, F.lit(BLOCK))))
-    return F.when(F.size(z) > 0, _let(blocks, summed)).otherwise(F.array().cast("array<int>"))
-
-
 def _starts(found: Column, between: Column) -> Column:
     """Where each match begins: all that stands between matches, and the matches before it."""
     sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("b"), F.length(f).alias("f")))
     add = lambda a, b: a + b
-    return _let(sizes, lambda z: F.zip_with(z, _before(z, lambda e: e["b"] + e["f"], add), lambda e, at: at + e["b"]))
+    return let(sizes, lambda z: F.zip_with(z, fold_before(z, lambda e: e["b"] + e["f"], add), lambda e, at: at + e["b"]))
 
 
 NO_SPANS = "CAST(array() AS array<struct<start:int,rank:int,end:int,token:string>>)"
@@ -221,8 +194,8 @@ def redact(df: DataFrame, text: str = "text", spans: str = "spans", mask: str =
         last = F.array_max(F.transform(found, lambda s: s["end"]))
         return F.array_join(F.concat(pieces, F.array(piece(parts, last, F.length(source)))), "")
 
-    ends = _before(found, lambda s: s["end"], lambda a, b: F.greatest(a, b))
+    ends = fold_before(found, lambda s: s["end"], lambda a, b: F.greatest(a, b))
     parts = F.regexp_extract_all(source, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
-    done = _let(parts, lambda p: _let(ends, lambda b: joined(p, b)))
+    done = let(parts, lambda p: let(ends, lambda b: joined(p, b)))
     # Where one span touches the next, each has its mask, as it would if text stood between them.
     return df.withColumn(text, F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, source).otherwise(done))

@@ -1,6 +1,7 @@
 """Folded and rendered logs against a plain replay, and texts that hold control strings."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -16,6 +17,10 @@ PIECES = ["<", ">", "/", "s", "\\", "[", "]", "INST", "<s>", "</s>", "[INST]", "
 LOG = "conv_id long, seq long, kind string, message long, role string, text string"
 
 
+def escaped(text):
+    return re.sub(chat.ESCAPED, lambda m: m[1] + "\\" + m[2] + m[3], text)
+
+
 def replay(events):
     """Messages of each conversation, event by event."""
     rank = {"message": 1, "edit": 2, "regenerate": 3, "delta": 0}
@@ -33,7 +38,7 @@ def replay(events):
     for m in held.values():
         out.setdefault(m["conv"], []).append(m)
     for conv, all_ in out.items():
-        all_.sort(key=lambda m: (low if m["place"] is None else m["place"], m["id"] is not None, m["id"] or 0, m["role"] is not None, m["role"] or "", m["text"]))
+        all_.sort(key=lambda m: (low if m["place"] is None else m["place"], m["id"] is not None, m["id"] or 0, m["role"] is not None, m["role"] or "", escaped(m["text"])))
         kept, reach = [], low
         for m in all_:
             if m["place"] is None or not reach > m["place"]:
