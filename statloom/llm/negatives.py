@@ -200,13 +200,12 @@ def mine(
     packed = dealt.groupBy("dim", "cell", "s").agg(F.collect_list(F.struct("id", "label", "angle", "v")).alias("all"))
     packed = packed.select("dim", "cell", "s", F.col("all.id").alias("ids"), F.col("all.label").alias("labels"), F.col("all.angle").alias("angles"), F.flatten("all.v").alias("vs"))
     groups = max(1, -(-asked.count() // group))
-    places = table.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
-
     def met(queries: DataFrame) -> DataFrame:
         grouped = queries.groupBy(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.lit("group"), "id"), F.lit(groups)).alias("g"))
         grouped = grouped.agg(F.collect_list(F.struct("id", "label", "v", "wanted")).alias("all"))
         grouped = grouped.select("dim", F.col("all.id").alias("qids"), F.col("all.label").alias("qlabels"), F.flatten("all.v").alias("qvs"), F.col("all.wanted").alias("wanted"))
-        return grouped.join(F.broadcast(places), "dim").join(packed, ["dim", "cell", "s"]).drop("s")
+        every = grouped.join(F.broadcast(table), "dim").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return every.join(packed, ["dim", "cell", "s"]).drop("s")
 
     def run(find, names: list[str]):
         def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
