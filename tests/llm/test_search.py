@@ -9,7 +9,7 @@ from oracle import connect, difference
 from pyspark.sql import functions as F
 
 from statloom.llm import queries as Q
-from statloom.llm import vafile, vptree
+from statloom.llm import vafile, vectors, vptree
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -127,3 +127,27 @@ def test_recall_of_query_op10(spark):
         total += len(best)
         assert len(found[q]) == 10 and found[q] == sorted(found[q], key=lambda x: (x[1], x[0]))
     assert hits / total >= 0.9
+
+
+@pytest.mark.parametrize("numbers, shards", [(1 << 23, 64), (1 << 23, 2), (24, 64), (24, 1)])
+def test_parts_of_any_size(spark, monkeypatch, numbers, shards):
+    monkeypatch.setattr(vectors, "HELD_NUMBERS", numbers)
+    monkeypatch.setattr(vectors, "PART_SHARDS", shards)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        df = spark.createDataFrame(odd_rows(), "vec_id long, embedding array<double>")
+        found = vafile.largest(df, df.where("vec_id % 10 = 0"), k=5, shard=20)
+        assert sorted(map(tuple, found.collect())) == plain(odd_rows(), 5, product, -1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_no_row_holds_a_shard(spark, capsys):
+    """Neither a shard nor a group of queries is one row, of which a batch would hold thousands."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    for found in (vafile.largest(df, df.where("vec_id % 50 = 0"), shard=20), vptree.nearest(df, df.where("vec_id % 100 = 0"), shard=20)):
+        found.explain()
+        assert "collect_list" not in capsys.readouterr().out
