@@ -111,3 +111,44 @@ def test_classifier_and_saved_models(points, spark, tmp_path):
     assert gc.evaluation is None and gc.model is not None
     loaded.drop_model("pair")
     assert loaded.get_model_list().count() == 0
+
+
+@pytest.mark.parametrize("multivariate", [False, True])
+def test_no_row_of_a_box_leaves_the_bounds_of_its_scores(multivariate):
+    from statloom.plans import gaussian_table
+
+    draw = np.random.default_rng(4)
+    mean, roots = draw.normal(size=(300, 3)), draw.normal(size=(300, 3, 3)) * draw.choice([1, 300], (300, 1, 1))
+    precision = roots @ roots.transpose(0, 2, 1) if multivariate else np.eye(3) * draw.exponential(size=(300, 1, 3)) * 1e4
+    const = draw.normal(size=300)
+    x = draw.normal(size=(40, 1, 3)) + draw.uniform(0, 0.05, size=(40, 25, 3))
+    gap = x[:, :, None] - mean
+    scores = const - 0.5 * np.einsum("nrci,cij,nrcj->nrc", gap, precision, gap)
+    worst, best = gaussian_table.score_bounds(x.min(axis=1), x.max(axis=1), mean, precision, const)
+    assert (worst <= scores.min(axis=1)).all() and (best >= scores.max(axis=1)).all()
+    left = best >= worst.max(axis=1)[:, None]
+    assert left[np.arange(40)[:, None], scores.argmax(axis=2)].all()
+    # Few classes are compared with the rows of a box, so few are moved to them.
+    assert left.mean() < 0.3
+
+
+def test_many_classes_by_cells(spark, monkeypatch):
+    from statloom.plans import gaussian_table
+
+    monkeypatch.setattr(gaussian_table, "ROW_BLOCK", 50)
+    monkeypatch.setattr(gaussian_table, "CLASS_NUMBERS", 40)
+    monkeypatch.setattr(gaussian_table, "BOXES", 5)
+    monkeypatch.setattr(gaussian_table, "PAIRS_PER_TASK", 2)
+    draw = np.random.default_rng(2)
+    a, b, y = draw.normal(size=600).round(1), draw.uniform(size=600), draw.integers(0, 60, 600)
+    a[:150], b[:150] = a[0], b[0]
+    df = spark.createDataFrame(pd.DataFrame({"id": range(600), "a": a, "b": b, "y": y}))
+    found = {r["id"]: r for r in gaussian_table.fit_gaussian_table(df, ["a", "b"], "y", False).transform(df).collect()}
+    labels, n = np.unique(y, return_counts=True)
+    x = np.stack([a, b], axis=1)
+    mean, var = (np.array([f(x[y == c], axis=0) for c in labels]) for f in (np.mean, np.var))
+    var = np.maximum(var, 1e-9 * var.max(axis=0))
+    scores = np.log(n / 600) - 0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None] - mean) ** 2 / var).sum(axis=2)
+    assert len(found) == 600
+    for i in range(600):
+        assert np.log(found[i]["probability"]) == pytest.approx(scores[i].max()) and scores[i][labels == found[i]["y_prediction"]][0] == pytest.approx(scores[i].max())
