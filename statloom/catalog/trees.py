@@ -141,10 +141,8 @@ def stopped_early(spark: SparkSession, d: str) -> DataFrame:
 def full(spark: SparkSession, d: str) -> DataFrame:
     """A tree that ends only where no split helps; rows by the depth and class of their leaf."""
     part = load(spark, d, "part")
-    model = grow_tree(part, "p_type", ["p_size", "p_retailprice"], ["p_brand"])
-    depths = {n.node_id: n.depth for n in model.nodes.values()}
-    table = small_frame(spark, list(depths.items()), "node int, depth int")
-    rows = model.transform(part).withColumn("node", model.node_column()).join(table, "node")
+    tree = stored_tree.grow(part, "p_type", ["p_size", "p_retailprice"], ["p_brand"])
+    rows = tree.routed(part, depth_output="depth")
     return rows.groupBy("depth", "prediction").agg(F.count("*").alias("n"))
 
 

@@ -132,11 +132,11 @@ class StoredTree:
             return self.model().transform(df, output)
         return self.routed(df, output)
 
-    def routed(self, df: DataFrame, output: str = tree_plan.PREDICTION) -> DataFrame:
-        """The same by joins with the tree's tables, of trees of any size."""
+    def routed(self, df: DataFrame, output: str = tree_plan.PREDICTION, depth_output: str | None = None) -> DataFrame:
+        """The same by joins with the tree's tables, of trees of any size; `depth_output` adds the depth of a row's leaf."""
         spark, kept = self.spark, df.columns
         tables = session.Tables(spark)
-        at, known, place = session.unused_names(df, ["_node", "_walked", "_class"])
+        at, known, place, deep = session.unused_names(df, ["_node", "_walked", "_class", "_depth"])
         numbers, texts, to = session.unused_names(df, ["_numbers", "_texts", "_to"])
         rows = tables.settle(
             df.select(
@@ -150,21 +150,22 @@ class StoredTree:
         deepest = self.top.where("left IS NOT NULL").agg(F.max("depth")).first()[0]
         for depth in range(-1 if deepest is None else deepest + 1):
             splits = self.top.where(F.col("depth") == depth).where("left IS NOT NULL")
-            moved = _sent(rows, splits, at, numbers, texts, to)
-            rows = tables.settle(moved.where(F.col(to).isNotNull()).withColumn(at, F.col(to)).drop(to))
-            done.append(tables.settle(moved.where(F.col(to).isNull()).drop(to)))
+            moved = tables.settle(_sent(rows, splits, at, numbers, texts, to))
+            rows = moved.where(F.col(to).isNotNull()).withColumn(at, F.col(to)).drop(to)
+            done.append(moved.where(F.col(to).isNull()).drop(to))
         for part in done:
             rows = rows.unionByName(part)
-        leaf = self.top.where("NOT finished").select(F.col("node").alias(at), _majority("counts").alias(place))
+        leaf = self.top.where("NOT finished").select(F.col("node").alias(at), _majority("counts").alias(place), F.col("depth").alias(deep))
         above = lookup_join(rows, leaf, [at])
         ended = above.where(F.col(place).isNotNull()).drop(at, numbers, texts)
-        waiting = tables.settle(above.where(F.col(place).isNull()).drop(place))
-        below = self._walked(waiting, at, known, place, numbers, texts)
+        waiting = tables.settle(above.where(F.col(place).isNull()).drop(place, deep))
+        below = self._walked(waiting, at, known, place, deep, numbers, texts)
         both = ended.unionByName(below)
         classes = F.array(*[F.lit(c).cast(self.label_type) for c in self.classes])
-        return both.select(*[F.col(session.quoted(c)) for c in kept], F.get(classes, F.col(place)).alias(output))
+        added = [F.get(classes, F.col(place)).alias(output), *([F.col(deep).alias(depth_output)] if depth_output else [])]
+        return both.select(*[F.col(session.quoted(c)) for c in kept], *added)
 
-    def _walked(self, rows: DataFrame, at: str, salt: str, place: str, numbers: str, texts: str) -> DataFrame:
+    def _walked(self, rows: DataFrame, at: str, salt: str, place: str, deep: str, numbers: str, texts: str) -> DataFrame:
         """Rows down the finished subtrees; a subtree meets its rows in parts of about WALK_ROWS."""
         (count,) = session.unused_names(rows, ["_parts"])
         parts = rows.groupBy(at).agg(F.ceil(F.count("*") / WALK_ROWS).cast("int").alias(count))
@@ -172,11 +173,11 @@ class StoredTree:
         copies = lookup_join(self.under, parts.withColumnRenamed(at, "root"), ["root"]).where(F.col(count).isNotNull())
         copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop(count)
         names = [c for c in dealt.columns if c not in (at, salt, numbers, texts)]
-        schema = T.StructType([*[dealt.schema[c] for c in names], T.StructField(place, T.IntegerType())])
+        schema = T.StructType([*[dealt.schema[c] for c in names], T.StructField(place, T.IntegerType()), T.StructField(deep, T.IntegerType())])
 
         def walk(rows: pa.Table, nodes: pa.Table) -> pa.Table:
-            ended = _walk(nodes.to_pydict(), rows[numbers].to_pylist(), rows[texts].to_pylist())
-            return pa.Table.from_arrays([*[rows[c].combine_chunks() for c in names], pa.array(ended, pa.int32())], names=[*names, place])
+            ended, depths = _walk(nodes.to_pydict(), rows[numbers].to_pylist(), rows[texts].to_pylist())
+            return pa.Table.from_arrays([*[rows[c].combine_chunks() for c in names], pa.array(ended, pa.int32()), pa.array(depths, pa.int32())], names=[*names, place, deep])
 
         return dealt.groupBy(at, salt).cogroup(copies.groupBy("root", "_salt")).applyInArrow(walk, schema)
 
@@ -201,8 +202,8 @@ def _majority(counts: str):
     return (F.array_position(F.col(counts), F.array_max(counts)) - 1).cast("int")
 
 
-def _walk(nodes: dict[str, list], numbers: list[list[float | None]], texts: list[list[str | None]]) -> np.ndarray:
-    """The class that each row of features ends in, for one subtree."""
+def _walk(nodes: dict[str, list], numbers: list[list[float | None]], texts: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """The class that each row of features ends in, for one subtree, and the depth of its leaf."""
     size = max(nodes["place"], default=-1) + 1
     order = np.argsort(np.array(nodes["place"], np.int64))
     at = lambda name: [nodes[name][i] for i in order]
@@ -232,7 +233,8 @@ def _walk(nodes: dict[str, list], numbers: list[list[float | None]], texts: list
                 go[mine] = np.where(missing, null_left[node[mine]], test.astype(bool))
         place[active] = np.where(go, left[node], right[node])
         active = active[left[place[active]] >= 0]
-    return np.array([int(np.argmax(counts[p])) for p in place], np.int32)
+    depths = np.array(at("depth"), np.int32)
+    return np.array([int(np.argmax(counts[p])) for p in place], np.int32), depths[place]
 
 
 def _sent(rows: DataFrame, splits: DataFrame, at: str, numbers: str, texts: str, to: str = "_to") -> DataFrame:

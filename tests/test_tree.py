@@ -170,3 +170,25 @@ def test_classifier(rows, spark, tmp_path):
     again = DecisionTreeClassifier(spark).read_dtc_tree(str(tmp_path / "tree"))
     assert again.predict(tree_model.evaluation).where("prediction IS NULL").count() == 0
     assert tree_model.visualize_tree().where("is_leaf").count() > 1
+
+
+def test_depths_of_routed_rows(rows):
+    stored = stored_tree.grow(rows, "y", ["a", "b"], ["c"], max_depth=6, local_rows=40)
+    model = stored.model()
+    depths = {n.node_id: n.depth for n in model.nodes.values()}
+    expected = {r.id: (r.prediction, depths[r.node]) for r in model.transform(rows).withColumn("node", model.node_column()).collect()}
+    routed = stored.routed(rows, depth_output="depth").collect()
+    assert {r.id: (r.prediction, r.depth) for r in routed} == expected and len(routed) == len(expected)
+
+
+def test_full_tree_is_not_held_as_one_object(spark, monkeypatch, tmp_path):
+    from statloom.catalog import trees
+
+    def refuse(*_, **__):
+        raise ValueError("nodes of a tree: more than 500000 rows")
+
+    monkeypatch.setattr(stored_tree.StoredTree, "_collected", refuse)
+    part = spark.createDataFrame([(i, f"t{i * 7 % 3}", i % 11, i / 4, f"b{i % 5}") for i in range(90)], "p_partkey long, p_type string, p_size int, p_retailprice double, p_brand string")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    found = trees.full(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in found) == 90 and {r.prediction for r in found} == {"t0", "t1", "t2"}
