@@ -117,7 +117,8 @@ class GaussianTable:
 
         found = met.mapInPandas(score, "r long, place long, score double")
         first = found.groupBy("r").agg(F.min_by(F.struct("place", "score"), F.struct(-F.col("score"), F.col("place"))).alias("s")).select("r", "s.*")
-        first = lookup_join(first, classes.select("place", "label"), ["place"]).select(F.col("r").alias(rid), F.struct("label", "score").alias(best))
+        # Written, as the join reads its rows more than once where classes are many.
+        first = lookup_join(tables.settle(first), classes.select("place", "label"), ["place"]).select(F.col("r").alias(rid), F.struct("label", "score").alias(best))
         joined = kept.join(first, rid, "left")
         columns = [F.col(session.quoted(c)) for c in df.columns if c not in (output, probability)]
         return joined.select(*columns, F.col(best)["label"].alias(output), F.exp(F.col(best)["score"]).alias(probability))
