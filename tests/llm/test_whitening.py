@@ -88,6 +88,16 @@ def test_iteration_on_close_and_repeated_eigenvalues():
         assert np.linalg.norm(matrix @ vectors - vectors * found) <= 1e-9 * max(1.0, values[0])
 
 
+def test_iteration_beside_far_larger_eigenvalues():
+    draw = np.random.default_rng(5)
+    for values in (np.r_[1e4, np.linspace(100, 98, 199)], np.r_[1e9, 1e9, 1e2, np.linspace(76, 53, 197)], np.r_[1e8, 3e6, 2e4, 100, 90, np.linspace(3, 2, 195)]):
+        q, _ = np.linalg.qr(draw.normal(size=(200, 200)))
+        matrix = (q * values) @ q.T
+        found, vectors = whitening.largest_pairs(lambda x, m=matrix: m @ x, 200, 6)
+        np.testing.assert_allclose(found, values[:6], atol=1e-13 * values[0])
+        assert np.linalg.norm(matrix @ vectors - vectors * found) <= 1e-13 * values[0]
+
+
 def test_a_missed_component_is_found():
     values = np.r_[50.0, np.linspace(40, 1, 99)]
     matrix = np.diag(values)
