@@ -199,9 +199,19 @@ def _least_squares(df: DataFrame, features: list[str], y_column: str) -> np.ndar
     theta = np.concatenate([[mean[-1] - mean[:-1] @ slopes], slopes])
     free = vectors[:, ~open_] / scale[:-1, None]
     if free.size:
-        # Directions that change no fitted value, with the intercept they need.
-        free = np.vstack([-(mean[:-1] @ free), free])
-        theta = theta - free @ np.linalg.lstsq(free, theta, rcond=None)[0]
+        # Directions that change no fitted value, with the intercept they need, where it is more than rounding.
+        needed = -(mean[:-1] @ free)
+        needed[np.abs(needed) <= 1e-13 * (np.abs(mean[:-1]) @ np.abs(free))] = 0.0
+        if needed.any():
+            # Turned so that one direction has all of the intercept and the others exactly none.
+            free = free @ np.linalg.qr(needed[:, None], mode="complete")[0]
+        flat = np.linalg.qr(free[:, 1:] if needed.any() else free)[0]
+        # The intercept, however large, takes no part where it is not needed, so its rounding reaches no slope.
+        theta[1:] -= flat @ (flat.T @ theta[1:])
+        if needed.any():
+            slope = free[:, 0] - flat @ (flat.T @ free[:, 0])
+            last = np.concatenate([[-(mean[:-1] @ free[:, 0])], slope])
+            theta -= last * (last @ theta) / (last @ last)
     return theta
 
 

@@ -42,6 +42,15 @@ def test_regression_far_from_the_origin(spark):
     assert twice.coefficients[0] == pytest.approx(5.0) and twice.coefficients[1] == pytest.approx(2e-6 / 5) and twice.coefficients[2] == pytest.approx(4e-6 / 5)
 
 
+@pytest.mark.parametrize("times", [3, 7, 11])
+def test_least_norm_beside_a_large_intercept(spark, times):
+    df = spark.range(400).select((F.col("id") * 1_500_000).alias("x")).withColumn("y", 5e9 + F.col("x") * 2e-6).withColumn("z", F.col("x") * times)
+    assert fit_linear(df, ["x", "z"], "y").coefficients == pytest.approx([5e9, 2e-6 / (1 + times**2), 2e-6 * times / (1 + times**2)], rel=1e-5)
+    low = df.withColumn("one", F.lit(1.0)).withColumn("y", F.col("y") - 5e9 + 5)
+    fixed = fit_linear(low, ["x", "z", "one"], "y").coefficients
+    assert fixed == pytest.approx([2.5, 2e-6 / (1 + times**2), 2e-6 * times / (1 + times**2), 2.5], rel=1e-5)
+
+
 def test_splits_of_missing_and_repeated_ids(spark):
     df = spark.createDataFrame([(None if i % 10 == 0 else i % 7, i) for i in range(1000)], "id int, n int")
     for first, second in (bernoulli_split(df, 0.8, 1, "id"), bernoulli_split(df, 0.8, 1, "id", "md5"), exact_split(df, "id", 0.8)):
