@@ -212,7 +212,8 @@ class KMeansModel:
     def get_silhouette_avg(self, metric: str = "euclidean") -> float | None:
         """Average silhouette.
 
-        "euclidean" is exact over all pairs and so quadratic work in the number
+        "euclidean" takes all pairs: of many different rows in one or two features far cells are
+        summed by interpolation to about 1e-12, otherwise it is quadratic work in the number
         of different rows; "squared" is linear work on per-cluster sums.
         """
         names = coordinates(len(self.features))

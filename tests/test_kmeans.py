@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from statloom import KMeans
 from statloom.functions import scores
+from statloom.operators import silhouette
 from statloom.operators.silhouette import euclidean_silhouette, squared_silhouette
 from statloom.plans.kmeans import normalise, start_rows
 
@@ -104,6 +105,29 @@ def test_silhouettes_match_brute_force(points, spark, block_rows, monkeypatch):
     assert np.isclose(squared_silhouette(frame, ["a", "b"], "j"), brute_silhouette(x, j, squared=True))
 
 
+@pytest.mark.parametrize("d", [1, 2])
+def test_silhouette_by_cells_matches_brute_force(spark, d):
+    draw = np.random.default_rng(d)
+    # Uneven: a dense spot, lines, a far point and a cluster of one, with copies.
+    x = np.concatenate([draw.normal(0, 1e-3, (500, 2)), np.c_[draw.uniform(-3, 3, 2000), draw.integers(0, 5, 2000)], [[40.0, -7.0]]])
+    x = np.concatenate([x, x[:100]])[:, :d]
+    j = (np.abs(x[:, 0]) > 1).astype(int) + (x[:, 0] > 30)
+    frame = spark.createDataFrame([(*map(float, row), int(c)) for row, c in zip(x, j)], ["a", "b"][:d] + ["j"])
+    found = euclidean_silhouette(frame, ["a", "b"][:d], "j", far_rows=100)
+    assert np.isclose(found, brute_silhouette(x, j), rtol=1e-12, atol=0)
+
+
+def test_far_cells_lose_no_distance(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    x = draw.uniform(-1, 1, (60_000, 2))
+    j = (x[:, 0] + 0.3 * x[:, 1] > 0.1).astype(int)
+    frame = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "j": j}))
+    pairs = []
+    monkeypatch.setattr(silhouette, "_by_cells", lambda *a, by=silhouette._by_cells: pairs.append(a) or by(*a))
+    found = euclidean_silhouette(frame, ["a", "b"], "j")
+    assert len(pairs) == 1 and np.isclose(found, euclidean_silhouette(frame, ["a", "b"], "j", far_rows=1 << 60), rtol=1e-12, atol=0)
+
+
 def test_best_k_and_saved_models(points, spark, tmp_path):
     factory = KMeans(spark, str(tmp_path))
     points.createOrReplaceTempView("km_points")
