@@ -8,8 +8,8 @@ dimension, SUMMERS tasks add these up, and the driver adds what they give, d x b
 * A few Lanczos steps bound the spectrum from below. A cycle filters the block by a Chebyshev
   polynomial of V, a pass for each degree. Between that bound and the least Ritz value of the
   block it is small, above it grows as fast as any polynomial can, so the unwanted spectrum is damped.
-* QR makes the block orthonormal, and Rayleigh-Ritz rotates it to approximate eigenvectors. Leading pairs
-  that are done stay in the block but out of the filter, so eigenvalues may differ by any factor.
+* QR makes the block orthonormal, and Rayleigh-Ritz rotates it to approximate eigenvectors. Where eigenvalues
+  differ by large factors, leading pairs that are done stay in the block but out of the filter.
 * It ends once certified: the residual |V q - e q| of every wanted pair is at most
   `TOLERANCE` of the largest eigenvalue, or no longer falls because rounding is all that is
   left (below `FLOOR`). Then the largest Ritz value of fresh random columns, orthogonal to
@@ -52,6 +52,8 @@ DEGREE, MOST_CYCLES = 10, 200
 LANCZOS = 6
 #: Residuals of certified pairs, in shares of the largest eigenvalue, and those that may stall.
 TOLERANCE, FLOOR = 2e-15, 1e-12
+#: Logarithm of the filter's growth beyond which pairs that are done stay out of it.
+MOST_GROWTH = 30.0
 #: Tasks that add up the products of all others.
 SUMMERS = 8
 #: Numbers that are multiplied at a time.
@@ -208,6 +210,11 @@ def filtered(times: Callable[[np.ndarray], np.ndarray], block: np.ndarray, low:
     return now
 
 
+def growth(low: float, cut: float, top: float, degree: int) -> float:
+    """The logarithm of how much more the filter makes of `top` than of `cut`."""
+    return float(degree * np.arccosh(max(1.0, (2 * top - cut - low) / (cut - low))))
+
+
 def least_bound(times: Callable[[np.ndarray], np.ndarray], d: int, draw: np.random.Generator) -> float:
     """A bound below the spectrum by Lanczos steps: the least Ritz value less the last residual, 0 at least.
 
@@ -256,11 +263,12 @@ def largest_pairs(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, see
             continue
         best = min(best, worst)
         cut = max(values[-1], top * 1e-12)
-        if values[done] > cut:
-            # What a far larger pair leaves in other columns by rounding would outgrow them, so pairs that are done stay out of the filter.
-            held = block[:, :done]
-            rest = outside(times, held) if done else times
-            block = np.hstack([held, filtered(rest, block[:, done:], min(low, 0.9 * cut), cut, values[done], DEGREE)])
+        # What a far larger pair leaves in other columns by rounding would outgrow them, so it stays out of the filter when done.
+        out = done if growth(min(low, 0.9 * cut), cut, top, DEGREE) > MOST_GROWTH else 0
+        if values[out] > cut:
+            held = block[:, :out]
+            rest = outside(times, held) if out else times
+            block = np.hstack([held, filtered(rest, block[:, out:], min(low, 0.9 * cut), cut, values[out], DEGREE)])
         values, block, residuals = _ritz(times, block)
     raise RuntimeError(f"{k} eigenpairs were not certified in {MOST_CYCLES} cycles")
 
