@@ -3,27 +3,27 @@
 A word's score is the logarithm of c(context word) / c(context) for the longest
 context whose n-gram with the word occurs `least` times or more in the corpus; each
 shortening of the context multiplies by `ALPHA`, and the shortest is the word's share
-of all words. An n-gram that is frequent enough has frequent beginnings and ends,
-so a document's score is a sum over levels that do not depend on each other: the
-shares of its words, with the backoff factors, and for each frequent n-gram the
-gain g = v(n-gram) - ln ALPHA - v(its end), where v is the logarithm of its count over
-that of its beginning. Each level is a join of exploded n-grams with a count
-table, then a sum by document:
-
-* a document's n-grams are exploded once each, with how often they occur;
-* they are partitioned by the n-gram; counts are sums over the same partitions, so
-  n-grams and counts meet without another shuffle;
-* the most frequent n-grams, at most `HOT` of each level, would make some
-  partitions large and much of the shuffle. They are found first by the shares of
-  tasks, counted in the tasks, and joined to documents by a broadcast of that
-  bounded table.
+of all words. Documents are dealt into slices of about `SLICE` bytes of text, and a
+slice asks for the counts it needs:
+
+* it sends each different n-gram of its documents once, whatever its order, with how
+  often it occurs there: a sorted run of 64-bit digests for each part of their range,
+  as differences, so that a row holds a run and an n-gram takes six to seven bytes;
+* a part adds up the runs of all slices and answers each with the corpus' counts in
+  the order of its run, nought for what is not frequent enough;
+* the slice, read again from the same shuffle of texts, finds its n-grams in the same
+  order and scores its words position by position, so that beginnings and ends of
+  n-grams are neither sent nor looked up.
+
+A slice asks for an n-gram once at most, so frequent ones make no part large. Slices and
+parts are groups of bounded size; their number grows with the texts.
 
 Logarithms are whole numbers of millionths, so sums do not depend on their order.
 
 Words are runs of ASCII letters and digits and of all code points beyond ASCII,
 lower-cased. Defined results: a text that is NULL, empty or without words has no
 words and a score of 0, mean NULL. Repeated rows count as often as they occur in the corpus
-and are scored alike. An empty table gives an empty table.
+and are scored alike; they share a slice. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,234 +32,194 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statloom.llm.common import Scratch, long_texts, mixed, quoted, row_key, row_slices
+from statloom.llm.common import mixed, quoted, row_key, row_slices
 from statloom.llm.shingles import NEXT, lowered, words
-from statloom.session import bounded_rows
 
 ALPHA = 0.4
-#: N-grams of a level that are handled as hot, and the share of a task's n-grams that makes one a candidate.
-HOT, HOT_SHARE = 20_000, 1 / 40_000
-#: Stands for no document where totals are passed on.
-NO_DOCUMENT = 0
+#: No n-gram is handled apart for being frequent any more; the name stays for callers that set it.
+HOT = 20_000
+#: Bytes of text whose documents make a slice, and for which there is one part of the digests' range at each level.
+SLICE = 8 << 20
 
+ASKED = "n int, part int, slice long, size int, keys binary, times binary, words long"
+ANSWERED = "n int, part int, slice long, size int, known binary, counts binary, words long"
 
-def keys(digest: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key, key of the beginning, key of the end) of each n-gram; a word's key is its digest."""
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    key, begin, end = digest, digest, np.zeros(len(digest), np.uint64)
-    for _ in range(1, n):
-        begin, end = key[:-1], key[1:]
-        key = mixed(begin * NEXT + end)
-    usable = owner[: len(key)] == owner[len(owner) - len(key) :]
-    return owner[: len(key)][usable], key[usable], begin[usable], end[usable]
 
-
-def distinct(owner: np.ndarray, key: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each different n-gram of a document first stands in an order by document, and how often it occurs."""
-    order = np.argsort(key)
-    narrow = owner[order].astype(np.uint16) if documents < 1 << 16 else owner[order]
-    order = order[np.argsort(narrow, kind="stable")]
-    new = np.ones(len(order), bool)
-    new[1:] = (owner[order[1:]] != owner[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(order)))
-
-
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row keys, word digests, first word of each document) of parts of batches (rid, text)."""
-    for batch in batches:
-        data, starts = lowered(batch.column(1))
-        ids = batch.column(0).to_numpy()
+def keys(digest: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each n-gram that lies in one document, and its key; a word's key is its digest."""
+    key = digest
+    for _ in range(1, n):
+        key = mixed(key[:-1] * NEXT + key[1:])
+    usable = np.ones(len(key), bool)
+    for k in range(1, n):
+        # A document that begins at word i ends the n-grams that begin 1 to n - 1 words earlier.
+        at = first[1:-1] - k
+        usable[at[(at >= 0) & (at < len(key))]] = False
+    start = np.flatnonzero(usable)
+    return start, key[start]
+
+
+def read_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of each word of all texts, and the first word of each text."""
+    digests, firsts, before = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for chunk in texts.chunks:
+        data, starts = lowered(chunk)
         for a, b in row_slices(starts):
             own = starts[a : b + 1]
             digest, first = words(data[own[0] : own[-1]], own - own[0])
-            yield ids[a:b], digest, first
+            digests.append(digest)
+            firsts.append(first[1:] + before)
+            before += len(digest)
+    return np.concatenate(digests), np.concatenate(firsts)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers by significance of their bytes, without the bytes that are zero in all."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    if data:
+        held = np.frombuffer(data, np.uint8).reshape(-1, size)
+        out[:, : len(held)] = held.T
+    return out.view(np.uint64).ravel()
+
+
+def part_edges(parts: int) -> np.ndarray:
+    """The least digest of each part."""
+    return np.array([-((-p << 64) // parts) for p in range(parts)], np.uint64)
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different keys and how often each occurs."""
+    key = np.sort(key)
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    return key[at], np.diff(np.append(at, len(key)))
+
+
+def asked(placed: DataFrame, order: int, parts: int) -> DataFrame:
+    """A row for each slice, level and part of the range: its different keys and how often each occurs in the slice."""
+
+    def ask(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        digest, first = read_words(rows["text"])
+        edges = part_edges(parts)
+        columns: list[list] = [[] for _ in range(7)]
+        for n in range(1, order + 1):
+            key, times = runs(keys(digest, first, n)[1])
+            bounds = np.append(np.searchsorted(key, edges), len(key))
+            for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                # Each part of the words gets to know how many words there are.
+                if b > a or (n == 1 and len(digest)):
+                    steps = np.diff(key[a:b], prepend=edges[part])
+                    row = (n, part, group[0].as_py(), b - a, packed(steps), packed(times[a:b] - 1), len(digest) if n == 1 else 0)
+                    for column, value in zip(columns, row):
+                        column.append(value)
+        return _table(columns, ASKED)
+
+    return placed.groupBy("slice").applyInArrow(ask, ASKED)
+
+
+def answered(asks: DataFrame, least: int, parts: int) -> DataFrame:
+    """Each row of `asks` with the corpus' counts of its keys; n-grams of two words or more that occur less than `least` times have 0."""
+
+    def answer(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        n, part = (x.as_py() for x in group)
+        edge = part_edges(parts)[part]
+        sizes = rows["size"].to_pylist()
+        key = [np.cumsum(unpacked(x.as_py(), size)) + edge for x, size in zip(rows["keys"], sizes)]
+        times = [unpacked(x.as_py(), size) + np.uint64(1) for x, size in zip(rows["times"], sizes)]
+        which, count = counted(np.concatenate(key), np.concatenate(times))
+        if n > 1:
+            count[count < least] = 0
+        count = count[which]
+        ends = np.cumsum(sizes)
+        each = [count[end - size : end] for size, end in zip(sizes, ends)]
+        known, data = [np.packbits(x > 0).tobytes() for x in each], [packed(x[x > 0]) for x in each]
+        total = sum(rows["words"].to_pylist())
+        return _table([[n] * len(sizes), [part] * len(sizes), rows["slice"].combine_chunks(), sizes, known, data, [total] * len(sizes)], ANSWERED)
+
+    return asks.groupBy("n", "part").applyInArrow(answer, ANSWERED)
+
+
+def counted(key: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the sorted different ones, and the sum of `times` of each of these (its rows, without)."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate([np.ones(min(len(key), 1), bool), ranked[1:] != ranked[:-1]])
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    if times is None:
+        return which, np.diff(np.append(at, len(key)))
+    return which, np.add.reduceat(times[order], at) if len(at) else times[:0]
 
 
-def micro_log(x: Column) -> Column:
+def micro_log(x: np.ndarray | float) -> np.ndarray:
     """The natural logarithm in millionths."""
-    return F.round(F.log(x) * 1e6).cast("long")
-
-
-def hot_keys(texts: DataFrame, order: int) -> tuple[int, list[np.ndarray]]:
-    """How many words there are, and (key, beginning, end) of the most frequent n-grams of each level, by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros((3, 0), np.uint64)] * order
-        often = [np.zeros(0, np.int64)] * order
-        total = [0] * order
-        for _, digest, first in slices(batches):
-            for n in range(order):
-                _, key, begin, end = keys(digest, first, n + 1)
-                total[n] += len(key)
-                found, at, count = np.unique(key, return_index=True, return_counts=True)
-                every = np.concatenate([seen[n], np.stack([found, begin[at], end[at]])], axis=1)
-                _, at, where = np.unique(every[0], return_index=True, return_inverse=True)
-                often[n] = np.bincount(where, weights=np.concatenate([often[n], count])).astype(np.int64)
-                # What is rare so far cannot be told from the rest, and is let go.
-                kept = often[n] > total[n] * HOT_SHARE / 4
-                seen[n], often[n] = every[:, at[kept]], often[n][kept]
-        for n in range(order):
-            kept = often[n] >= max(2, total[n] * HOT_SHARE)
-            size = int(kept.sum())
-            columns = [pa.array([n + 1] * size, pa.int32()), *(pa.array(x[kept].view(np.int64)) for x in seen[n]), pa.array(often[n][kept])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([0], pa.int64())] * 3, pa.array([total[0]], pa.int64())], names=names)
-
-    names = ["n", "key", "begin", "end", "c"]
-    found = long_texts(texts).mapInArrow(run, "n int, key long, begin long, end long, c long")
-    best = found.groupBy("n", "key", "begin", "end").agg(F.sum("c").alias("c"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("c"), "key"))).where(F.col("r") <= HOT).drop("r")
-    # A bounded table: HOT rows a level, and one for the number of words.
-    rows = bounded_rows(best, order * HOT + 1, "hot n-grams")
-    total = sum(r["c"] for r in rows if r["n"] == 0)
-    hot = []
-    for n in range(1, order + 1):
-        own = sorted((r["key"] % (1 << 64), r["begin"] % (1 << 64), r["end"] % (1 << 64)) for r in rows if r["n"] == n)
-        hot.append(np.array(own, np.uint64).reshape(-1, 3).T)
-    return total, hot
-
-
-def exploded(texts: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
-    """(key, begin, end, rid, times): the n-grams of each document that are not hot, and totals of hot ones without a document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, sides = np.zeros(len(hot), np.int64), np.zeros((2, len(hot)), np.uint64)
-        for ids, digest, first in slices(batches):
-            owner, key, begin, end = keys(digest, first, n)
-            at, times = distinct(owner, key, len(ids))
-            place, is_hot = found_in(hot, key[at])
-            totals += np.bincount(place[is_hot], weights=times[is_hot], minlength=len(hot)).astype(np.int64)
-            sides[:, place[is_hot]] = begin[at[is_hot]], end[at[is_hot]]
-            at, times = at[~is_hot], times[~is_hot]
-            yield _rows(key[at], begin[at], end[at], pa.array(ids[owner[at]]), times)
-        some = totals > 0
-        yield _rows(hot[some], *sides[:, some], pa.array(np.full(int(some.sum()), NO_DOCUMENT)), totals[some])
-
-    # Without NULLs: filters against them would make equal shuffles differ.
-    kinds = {"key": T.LongType(), "begin": T.LongType(), "end": T.LongType(), "rid": T.LongType(), "times": T.LongType()}
-    return long_texts(texts).mapInArrow(run, T.StructType([T.StructField(k, t, False) for k, t in kinds.items()]))
-
-
-def found_in(hot: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted hot keys, and which keys are there."""
-    if not len(hot):
-        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-    return place, hot[place] == key
-
-
-def _rows(key: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: pa.Array, times: np.ndarray) -> pa.RecordBatch:
-    columns = [*(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, begin, end)), ids, pa.array(times.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "begin", "end", "rid", "times"])
-
-
-def hot_of_documents(texts: DataFrame, order: int, hot: list[np.ndarray]) -> DataFrame:
-    """(n, key, rid, times): hot n-grams of each document, and with n = 0 how many words it has and how many contexts those have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, digest, first in slices(batches):
-            size = np.diff(first)
-            steps = sum((np.maximum(size - k, 0) for k in range(1, order)), np.zeros(len(size), np.int64))
-            parts = [(np.zeros(len(ids), np.int32), size, ids, steps)]
-            for n in range(order):
-                owner, key, _, _ = keys(digest, first, n + 1)
-                _, is_hot = found_in(hot[n], key)
-                owner, key = owner[is_hot], key[is_hot]
-                at, times = distinct(owner, key, len(ids))
-                parts.append((np.full(len(at), n + 1, np.int32), key[at].view(np.int64), ids[owner[at]], times))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["n", "key", "rid", "times"])
-
-    return long_texts(texts).mapInArrow(run, "n int, key long, rid long, times long")
+    return np.floor(np.log(x) * 1e6 + 0.5).astype(np.int64)
+
+
+def scored(placed: DataFrame, answers: DataFrame, order: int, ids: list[T.StructField]) -> DataFrame:
+    """The documents' ids with n_words, n_found and score_micro."""
+    names = [field.name for field in ids]
+    schema = T.StructType([*ids, *(T.StructField(c, T.LongType()) for c in ("n_words", "n_found", "score_micro"))])
+
+    def solve(texts: pa.Table, told: pa.Table) -> pa.Table:
+        digest, first = read_words(texts["text"])
+        value, found = np.zeros(len(digest), np.int64), np.zeros(len(digest), np.int64)
+        before = value
+        told = told.sort_by([("n", "ascending"), ("part", "ascending")])
+        level = told["n"].to_numpy()
+        for n in range(1, order + 1):
+            start, key = keys(digest, first, n)
+            if not len(start):
+                break
+            a, b = np.searchsorted(level, [n, n + 1])
+            own = told.slice(a, b - a)
+            bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=size.as_py()) for x, size in zip(own["known"], own["size"])]
+            counts = [unpacked(x.as_py(), int(own_bits.sum())) for x, own_bits in zip(own["counts"], bits)]
+            every = np.concatenate(bits).astype(np.int64)
+            every[every > 0] = np.concatenate(counts)
+            count = every[counted(key)[0]]
+            known = count > 0
+            log = np.zeros(len(digest), np.int64)
+            log[start[known]] = micro_log(count[known])
+            last = start + n - 1
+            if n == 1:
+                value = log - micro_log(float(own["words"][0].as_py()))
+            else:
+                value[last[~known]] += micro_log(ALPHA)
+                value[last[known]] = (log - before)[start[known]]
+                found[last[known]] += 1
+            before = log
+        sums = [np.diff(np.append(0, np.cumsum(x))[first]) for x in (found, value)]
+        out = [np.diff(first), *sums]
+        return pa.Table.from_arrays([*(texts[c] for c in names), *(pa.array(x) for x in out)], names=schema.names)
+
+    return placed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(solve, schema)
+
+
+def _table(columns: list, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: column if isinstance(column, pa.Array) else pa.array(column, kinds[kind]) for (name, kind), column in zip(fields, columns)})
 
 
 def score(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), order: int = 2, least: int = 2) -> DataFrame:
     """(ids, n_words, n_found, score_micro, mean_score): words, n-grams of two words or more that were frequent, and the sum of log scores."""
-    rows = df.select(*[F.col(quoted(c)) for c in ids], row_key(*ids, text).alias("rid"), F.col(quoted(text)).alias("text"))
-    texts = rows.select("rid", "text")
-    total, hot = hot_keys(texts, order)
-    every_hot = _hot_frame(df, hot)
-    base, back = micro_log(F.lit(float(max(total, 1)))), micro_log(F.lit(ALPHA))
-    lookups, sums, values = [], [], None
-    for n in range(1, order + 1):
-        by = ["key"] if n == 1 else ["begin", "end"]
-        # Counting and joining read one and the same shuffle, so both must take the same columns from it.
-        columns = ["key", "rid", "times"] if n == 1 else ["begin", "end", "rid", "times", *(["key"] if n < order else [])]
-        own = exploded(texts, n, hot[n - 1][0]).select(*columns).repartition(*by)
-        more = [F.first("key").alias("key")] if n > 1 and n < order else []
-        counted = own.groupBy(*by).agg(F.sum("times").alias("c"), F.count_if(F.col("rid") != NO_DOCUMENT).alias("documents"), *more).where("c >= 1 AND documents >= 0")
-        if n == 1:
-            log = micro_log(F.col("c"))
-            values = counted.select("key", log.alias("log"), (log - base).alias("v"), (log - base).alias("gain"))
-            known = values
-        else:
-            # An n-gram's value needs the count of its beginning and the value of its end.
-            few = every_hot.where(F.col("n") == n - 1).select("key")
-            known = _looked_up(counted.where(F.col("c") >= least), "begin", values.select("key", F.col("log").alias("before")), few)
-            known = _looked_up(known, "end", values.select("key", F.col("v").alias("shorter")), few)
-            v = micro_log(F.col("c")) - F.col("before")
-            known = known.select(*by, *(["key"] if n < order else []), v.alias("v"), micro_log(F.col("c")).alias("log"), (v - back - F.col("shorter")).alias("gain"))
-            if n < order:
-                # Each look-up names its table several times, so plans of higher levels would multiply.
-                known = Scratch(df.sparkSession).settle(known)
-            values = known.select("key", "v", "log") if n < order else None
-        found = F.col("times") if n > 1 else F.lit(0).cast("long")
-        joined = own.join(known.select(*by, "gain"), by)
-        sums.append(joined.select("rid", (F.col("times") * F.col("gain")).alias("s"), found.alias("found"), *_none("words", "copies")))
-        # The hot n-grams of a level, at most HOT.
-        if n == 1:
-            lookups.append(known.join(F.broadcast(every_hot.where("n = 1").select("key")), "key", "left_semi").select(F.lit(1).alias("n"), "key", "gain"))
-        else:
-            sides = every_hot.where(F.col("n") == n).select("key", "begin", "end")
-            lookups.append(known.select("begin", "end", "gain").join(F.broadcast(sides), ["begin", "end"]).select(F.lit(n).alias("n"), "key", "gain"))
-    told = lookups[0]
-    for more in lookups[1:]:
-        told = told.union(more)
-    often = hot_of_documents(texts, order, [h[0] for h in hot])
-    gained = often.join(F.broadcast(told), ["n", "key"], "left")
-    none = F.lit(0).cast("long")
-    is_size = F.col("n") == 0
-    sums.append(
-        gained.where("n = 0 OR gain IS NOT NULL").select(
-            "rid",
-            F.when(is_size, F.col("times") * back).otherwise(F.col("times") * F.col("gain")).alias("s"),
-            F.when(F.col("n") > 1, F.col("times")).otherwise(none).alias("found"),
-            F.when(is_size, F.col("key")).otherwise(none).alias("words"),
-            F.when(is_size, F.lit(1).cast("long")).otherwise(none).alias("copies"),
-        )
-    )
-    every = sums[0]
-    for part in sums[1:]:
-        every = every.union(part)
-    total_of = every.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("s", "found", "words", "copies")])
-    joined = rows.drop("text").join(total_of, "rid")
-    # Repeated rows share a key, and have equal parts of its sums.
-    each = {c: F.expr(f"{c} div copies") for c in ("words", "found", "s")}
-    out = joined.select(*[F.col(quoted(c)) for c in ids], each["words"].alias("n_words"), each["found"].alias("n_found"), each["s"].alias("score_micro"))
+    size = df.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+    slices = -(-size // SLICE) or 1
+    own = [F.col(quoted(c)).alias(f"id_{k}") for k, c in enumerate(ids)]
+    place = F.pmod(row_key(*ids, text), F.lit(slices)).alias("slice")
+    # Asking and scoring read one and the same shuffle, so both take all columns from it.
+    placed = df.select(*own, F.col(quoted(text)).alias("text"), place).repartition("slice")
+    answers = answered(asked(placed, order, slices), least, slices)
+    out = scored(placed, answers, order, placed.schema.fields[: len(ids)])
+    out = out.select(*[F.col(f"id_{k}").alias(c) for k, c in enumerate(ids)], "n_words", "n_found", "score_micro")
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / 1e6))
-
-
-def _none(*names: str) -> list[Column]:
-    return [F.lit(0).cast("long").alias(n) for n in names]
-
-
-def _hot_frame(df: DataFrame, hot: list[np.ndarray]) -> DataFrame:
-    """(n, key, begin, end) of all hot n-grams, a bounded local table."""
-    level = np.concatenate([np.full(h.shape[1], n + 1, np.int32) for n, h in enumerate(hot)])
-    sides = np.ascontiguousarray(np.concatenate(hot, axis=1)).view(np.int64)
-    table = pa.table({"n": pa.array(level, pa.int32()), **{k: pa.array(x, pa.int64()) for k, x in zip(("key", "begin", "end"), sides)}})
-    return df.sparkSession.createDataFrame(table)
-
-
-def _looked_up(rows: DataFrame, by: str, table: DataFrame, hot: DataFrame) -> DataFrame:
-    """`rows` with the value of the n-gram named in column `by`; the bounded hot part of the table is broadcast."""
-    value = [c for c in table.columns if c != "key"][0]
-    few = F.broadcast(table.join(F.broadcast(hot), "key", "left_semi").select(F.col("key").alias(by), F.col(value).alias("few")))
-    marked = rows.join(few, by, "left")
-    rest = marked.where("few IS NULL").drop("few").join(table.withColumnRenamed("key", by), by)
-    done = marked.where("few IS NOT NULL").withColumnRenamed("few", value)
-    return done.select(*rest.columns).union(rest)
