@@ -6,11 +6,12 @@ shortening of the context multiplies by `ALPHA`, and the shortest is the word's
 of all words. Documents are dealt into slices of about `SLICE` bytes of text, and a
 slice asks for the counts it needs:
 
-* it sends each different n-gram of its documents once, whatever its order, with how
-  often it occurs there: a sorted run of 64-bit digests for each part of their range,
+* it sends each different n-gram of its documents once, with how often it occurs
+  there (beyond two words only where beginning and end are frequent enough, as
+  otherwise it is not either): a sorted run of 64-bit digests for each part of their range,
   as differences, so that a row holds a run and an n-gram takes six to seven bytes;
 * a part adds up the runs of all slices and answers each with the corpus' counts in
-  the order of its run, nought for what is not frequent enough;
+  the order of its run, nothing for what is not frequent enough;
 * the slice, read again from the same shuffle of texts, finds its n-grams in the same
   order and scores its words position by position, so that beginnings and ends of
   n-grams are neither sent nor looked up.
@@ -28,10 +29,9 @@ and are scored alike; they share a slice. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +44,8 @@ ALPHA = 0.4
 HOT = 20_000
 #: Bytes of text whose documents make a slice, and for which there is one part of the digests' range at each level.
 SLICE = 8 << 20
+#: Levels that are asked for at once; of higher ones, one by one, only what can be frequent enough by the level below.
+AT_ONCE = 2
 
 ASKED = "n int, part int, slice long, size int, keys binary, times binary, words long"
 ANSWERED = "n int, part int, slice long, size int, known binary, counts binary, words long"
@@ -103,26 +105,55 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.diff(np.append(at, len(key)))
 
 
-def asked(placed: DataFrame, order: int, parts: int) -> DataFrame:
-    """A row for each slice, level and part of the range: its different keys and how often each occurs in the slice."""
+def worth_asking(start: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    """Which n-grams can be frequent enough: from three words on those whose beginning and end are, by where these start."""
+    return known[start] & known[start + 1] if n > AT_ONCE else np.ones(len(start), bool)
+
+
+def told_counts(told: pa.Table, n: int, key: np.ndarray) -> np.ndarray:
+    """The corpus' count of each key of a level, from the answers to a slice; 0 where it is not frequent enough."""
+    own = told.filter(pc.equal(told["n"], n)).sort_by("part")
+    bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=size.as_py()) for x, size in zip(own["known"], own["size"])]
+    counts = [unpacked(x.as_py(), int(each.sum())) for x, each in zip(own["counts"], bits)]
+    every = np.concatenate(bits).astype(np.int64)
+    every[every > 0] = np.concatenate(counts)
+    return every[counted(key)[0]]
+
+
+def asked(placed: DataFrame, levels: range, parts: int, answers: DataFrame | None = None) -> DataFrame:
+    """A row for each slice, level and part of the range: its different keys and how often each occurs in the slice.
 
-    def ask(group: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        digest, first = read_words(rows["text"])
+    From three words on `answers` has the counts of the levels below, and tells which n-grams need not be asked for.
+    """
+
+    def ask(texts: pa.Table, told: pa.Table | None = None) -> pa.Table:
+        digest, first = read_words(texts["text"])
         edges = part_edges(parts)
         columns: list[list] = [[] for _ in range(7)]
-        for n in range(1, order + 1):
-            key, times = runs(keys(digest, first, n)[1])
+        known = np.zeros(len(digest) + 1, bool)
+        for n in range(min(levels.start, AT_ONCE), levels.stop):
+            start, key = keys(digest, first, n)
+            worth = worth_asking(start, n, known)
+            start, key = start[worth], key[worth]
+            if n not in levels:
+                known = np.zeros(len(digest) + 1, bool)
+                if len(key):
+                    known[start] = told_counts(told, n, key) > 0
+                continue
+            key, times = runs(key)
             bounds = np.append(np.searchsorted(key, edges), len(key))
             for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                 # Each part of the words gets to know how many words there are.
                 if b > a or (n == 1 and len(digest)):
                     steps = np.diff(key[a:b], prepend=edges[part])
-                    row = (n, part, group[0].as_py(), b - a, packed(steps), packed(times[a:b] - 1), len(digest) if n == 1 else 0)
+                    row = (n, part, texts["slice"][0].as_py(), b - a, packed(steps), packed(times[a:b] - 1), len(digest) if n == 1 else 0)
                     for column, value in zip(columns, row):
                         column.append(value)
         return _table(columns, ASKED)
 
-    return placed.groupBy("slice").applyInArrow(ask, ASKED)
+    if answers is None:
+        return placed.groupBy("slice").applyInArrow(lambda texts: ask(texts), ASKED)
+    return placed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda texts, told: ask(texts, told), ASKED)
 
 
 def answered(asks: DataFrame, least: int, parts: int) -> DataFrame:
@@ -173,26 +204,20 @@ def scored(placed: DataFrame, answers: DataFrame, order: int, ids: list[T.Struct
     def solve(texts: pa.Table, told: pa.Table) -> pa.Table:
         digest, first = read_words(texts["text"])
         value, found = np.zeros(len(digest), np.int64), np.zeros(len(digest), np.int64)
-        before = value
-        told = told.sort_by([("n", "ascending"), ("part", "ascending")])
-        level = told["n"].to_numpy()
+        before, frequent = value, np.zeros(len(digest) + 1, bool)
         for n in range(1, order + 1):
             start, key = keys(digest, first, n)
             if not len(start):
                 break
-            a, b = np.searchsorted(level, [n, n + 1])
-            own = told.slice(a, b - a)
-            bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=size.as_py()) for x, size in zip(own["known"], own["size"])]
-            counts = [unpacked(x.as_py(), int(own_bits.sum())) for x, own_bits in zip(own["counts"], bits)]
-            every = np.concatenate(bits).astype(np.int64)
-            every[every > 0] = np.concatenate(counts)
-            count = every[counted(key)[0]]
+            count, worth = np.zeros(len(start), np.int64), worth_asking(start, n, frequent)
+            if worth.any():
+                count[worth] = told_counts(told, n, key[worth])
             known = count > 0
-            log = np.zeros(len(digest), np.int64)
-            log[start[known]] = micro_log(count[known])
+            log, frequent = np.zeros(len(digest), np.int64), np.zeros(len(digest) + 1, bool)
+            log[start[known]], frequent[start[known]] = micro_log(count[known]), True
             last = start + n - 1
             if n == 1:
-                value = log - micro_log(float(own["words"][0].as_py()))
+                value = log - micro_log(float(told["words"][told["n"].index(1).as_py()].as_py()))
             else:
                 value[last[~known]] += micro_log(ALPHA)
                 value[last[known]] = (log - before)[start[known]]
@@ -219,7 +244,9 @@ def score(df: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",),
     place = F.pmod(row_key(*ids, text), F.lit(slices)).alias("slice")
     # Asking and scoring read one and the same shuffle, so both take all columns from it.
     placed = df.select(*own, F.col(quoted(text)).alias("text"), place).repartition("slice")
-    answers = answered(asked(placed, order, slices), least, slices)
+    answers = answered(asked(placed, range(1, min(order, AT_ONCE) + 1), slices), least, slices)
+    for n in range(AT_ONCE + 1, order + 1):
+        answers = answers.union(answered(asked(placed, range(n, n + 1), slices, answers), least, slices))
     out = scored(placed, answers, order, placed.schema.fields[: len(ids)])
     out = out.select(*[F.col(f"id_{k}").alias(c) for k, c in enumerate(ids)], "n_words", "n_found", "score_micro")
     return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / 1e6))

@@ -74,7 +74,7 @@ def test_query_of_trigrams(spark):
     assert sorted(zip(found["doc_id"], found["n_words"], found["n_found"], found["score_micro"])) == expected
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_many_slices_and_parts(spark, monkeypatch, order):
     monkeypatch.setattr(M, "SLICE", 300)
     draw = random.Random(2)
