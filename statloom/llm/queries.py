@@ -14,8 +14,8 @@ from statloom.llm.common import load
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without its bytes in strings of 400 bytes that occur more than once."""
-    found = repeats.remove_repeats(load(spark, folder, "documents").select("doc_id", "text"))
+    """Every document without its bytes in strings of 400 bytes that occur more than once; shorter passages that do are counted."""
+    found = repeats.remove_repeats(load(spark, folder, "documents").select("doc_id", "text"), shorter=repeats.PASSAGE)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return found.select(
         "doc_id",
@@ -24,6 +24,8 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
         F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"]).alias("n_passage_bytes"),
     )
 
 

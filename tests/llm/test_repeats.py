@@ -82,3 +82,48 @@ def test_query(spark):
         r = found[d["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len((d["text"] or "").encode()), sum(b - a for a, b in spans), len(spans))
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("shorter,window", [(2, 3), (7, 30), (20, 33)])
+def test_shorter_passages_beside_the_window(spark, monkeypatch, shorter, window):
+    monkeypatch.setattr(R, "SHEET", 300)
+    monkeypatch.setattr(R, "PART", 1000)
+    rows = texts()
+    df = spark.createDataFrame([(i % 7, i, t) for i, t in enumerate([*rows, *rows[5:9]])], "doc_id int, rid int, text string")
+    found = {r["rid"]: r for r in R.remove_repeats(df, window=window, shorter=shorter).collect()}
+    rows = [*rows, *rows[5:9]]
+    for i, ((kept, spans), (_, passages)) in enumerate(zip(plain(rows, window), plain(rows, shorter))):
+        assert bytes(found[i]["kept"]) == kept and [tuple(s) for s in found[i]["spans"]] == spans, rows[i]
+        assert [tuple(s) for s in found[i]["passages"]] == passages, rows[i]
+    for wrong in (1, window):
+        with pytest.raises(ValueError):
+            R.remove_repeats(df, window=window, shorter=wrong)
+
+
+def test_equal_rows_and_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(R, "SHEET", 100)
+    draw = random.Random(4)
+    common = "".join(draw.choices("abcdefgh", k=60))
+    made = ["".join(draw.choices("abcdefgh", k=40)) + common + "".join(draw.choices("abcdefgh", k=40)) for _ in range(40)]
+    rows = [*made, *made[:1] * 30, None, ""]
+    df = spark.createDataFrame([(1, t) for t in rows], "doc_id int, text string")
+    found = R.remove_repeats(df, window=50, shorter=25).collect()
+    expected = [(t, kept, spans, passages) for t, (kept, spans), (_, passages) in zip(rows, plain(rows, 50), plain(rows, 25))]
+    got = [(r["text"], bytes(r["kept"]), [tuple(s) for s in r["spans"]], [tuple(s) for s in r["passages"]]) for r in found]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_query_counts_passages_shorter_than_its_window(spark, tmp_path):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.randint(3, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    assert 250 <= len(passage) < 400
+    rows = [(i, text(80) + (f" {passage} " if i < 2 else " ") + text(80)) for i in range(6)]
+    spark.createDataFrame([*rows, (6, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, (_, passages) in enumerate(plain([t for _, t in rows] + [None], 250)):
+        r = found[i]
+        assert (r["n_removed"], r["n_spans"]) == (0, 0)
+        assert (r["n_passages"], r["n_passage_bytes"]) == (len(passages), sum(b - a for a, b in passages))
+        assert r["n_passages"] == (1 if i < 2 else 0)
